@@ -59,20 +59,20 @@ _GEN_PRED = ",\n  ".join(
 
 _GENERATIONS = f"""
 fx_generations as (
-  select g_id, original_id, text, failed, intervention_aspect, base_direction, target_direction,
+  select g_id, original_id, split, text, failed, intervention_aspect, base_direction, target_direction,
     cast(generation_index as integer) as generation_index,
     case when g_id % 17 = 0 then null when g_id % 19 = 0 then '' when g_id % 13 = 0 then text
          when g_id % 11 = 0 then concat(other, ' reviewer') when g_id % 29 = 0 then concat(other, ' but')
          else concat(other, '.') end as generation,
   {_GEN_PRED}
   from (
-    select r.id * 12 + c.ci * 3 + t.ti as g_id, c.ci, t.ti as generation_index, r.original_id, r.description as text,
+    select r.id * 12 + c.ci * 3 + t.ti as g_id, c.ci, t.ti as generation_index, r.original_id, r.split, r.description as text,
            o.description as other, (r.id * 12) % 23 = 0 as failed, c.concept as intervention_aspect,
            t.target as target_direction,
            case c.ci when 0 then food_m when 1 then ambiance_m when 2 then service_m else noise_m end as base_direction,
            coalesce(nullif(food_m, ''), 'unknown') as l0, coalesce(nullif(ambiance_m, ''), 'unknown') as l1,
            coalesce(nullif(service_m, ''), 'unknown') as l2, coalesce(nullif(noise_m, ''), 'unknown') as l3
-    from (select id, original_id, description, food_aspect_majority as food_m, ambiance_aspect_majority as ambiance_m,
+    from (select id, original_id, split, description, food_aspect_majority as food_m, ambiance_aspect_majority as ambiance_m,
                  service_aspect_majority as service_m, noise_aspect_majority as noise_m from fx_reviews where is_original) r
     cross join (values (0, 'food'), (1, 'ambiance'), (2, 'service'), (3, 'noise')) c(ci, concept)
     cross join (values (0, 'Negative'), (1, 'unknown'), (2, 'Positive')) t(ti, target)

@@ -141,3 +141,171 @@ from (
 group by all""", O.ranked_matches(FLAGSHIP_K))
 
 register("score_cells", SCORE_CELLS_SQL)(flagship)
+
+
+# ---------------------------------------------------------------- phase 3: other explainers
+# Oracle per-pair error bodies: (explainer, split, pair_id, concept, base_direction, target_direction,
+# icace_error) plus the extra CTEs each needs.
+_CELL_OUT = "c.split, c.pair_id, c.concept, c.base_direction, c.target_direction"
+_OTHERS_SQL = ", ".join(
+    "case c.concept " + " ".join(
+        f"when '{c}' then c.{[x for x in CONCEPTS if x != c][i]}_pb" for c in CONCEPTS) + f" end as o{i + 1}"
+    for i in range(3))
+_BLOCK_ON = "s.concept = b.concept and s.label = b.target_direction and s.o1 = b.o1 and s.o2 = b.o2 and s.o3 = b.o3"
+
+ERR_SQL: dict[str, tuple[str, str]] = {
+    "Matching_k=3": (f"""
+select 'Matching_k=3' as explainer, {_CELL_OUT}, {O.l2('m.m', 'c.c')} as icace_error
+from cells c left join (
+  select r.qid, r.concept, r.label, avg(e.p1) as m1, avg(e.p2) as m2, avg(e.p3) as m3, avg(e.p4) as m4, avg(e.p5) as m5
+  from ranked r join emb e on e.vec_id = r.cid % {O.N_EMB} where r.sim > 0.0 group by r.qid, r.concept, r.label) m
+on m.qid = c.id_base and m.concept = c.concept and m.label = c.target_direction""", O.ranked_matches(FLAGSHIP_K)),
+    "approx": (f"""
+select 'approx' as explainer, {_CELL_OUT.replace('c.', 'b.')}, {O.l2('e.p', 'b.c')} as icace_error
+from abase b left join (select distinct concept, label, o1, o2, o3, n from apos) s on {_BLOCK_ON}
+left join apos p on p.concept = s.concept and p.label = s.label and p.o1 = s.o1 and p.o2 = s.o2 and p.o3 = s.o3
+     and p.pos = {O._md5_int('b.pair_id')} % s.n
+left join emb e on e.vec_id = p.cid % {O.N_EMB}""", f"""
+abase as (select c.*, {_OTHERS_SQL} from cells c),
+apos as (select *, row_number() over (partition by concept, label, o1, o2, o3 order by {O._md5('cid')}, cid) - 1 as pos,
+                count(*) over (partition by concept, label, o1, o2, o3) as n from cand)"""),
+    "approxiMatch": (f"""
+select 'approxiMatch' as explainer, {_CELL_OUT.replace('c.', 'b.')}, {O.l2('e.p', 'b.c')} as icace_error
+from xbase b left join xbest x on x.qid = b.id_base and x.concept = b.concept and x.label = b.target_direction
+     and x.o1 = b.o1 and x.o2 = b.o2 and x.o3 = b.o3
+left join emb e on e.vec_id = x.cid % {O.N_EMB}""", f"""
+xbase as (select c.*, {_OTHERS_SQL} from cells c),
+xq as (select distinct id_base as qid, concept, target_direction as label, o1, o2, o3 from xbase),
+xbest as (
+  select * from (
+    select q.*, k.cid, row_number() over (partition by q.qid, q.concept, q.label, q.o1, q.o2, q.o3
+                                          order by round(list_dot_product(eq.u, ec.u), 9) desc, k.cid) as rk
+    from xq q join cand k on k.concept = q.concept and k.label = q.label and k.o1 = q.o1 and k.o2 = q.o2 and k.o3 = q.o3
+    join emb eq on eq.vec_id = q.qid % {O.N_EMB} join emb ec on ec.vec_id = k.cid % {O.N_EMB}) z where rk = 1)"""),
+    "generative": (f"""
+select 'generative' as explainer, {_CELL_OUT}, {O.l2('m.m', 'c.c')} as icace_error
+from cells c left join (
+  select g.original_id, g.intervention_aspect, g.target_direction, avg(e.p1) as m1, avg(e.p2) as m2, avg(e.p3) as m3,
+         avg(e.p4) as m4, avg(e.p5) as m5
+  from fx_accepted g join emb e on e.vec_id = g.g_id % {O.N_EMB} where g.generation is not null group by 1, 2, 3) m
+on m.original_id = c.original_id_base and m.intervention_aspect = c.concept and m.target_direction = c.target_direction""",
+                   ""),
+    "generative_2": (f"""
+select 'generative_2' as explainer, {_CELL_OUT}, {O.l2('e.p', 'c.c')} as icace_error
+from cells c left join (select distinct original_id, intervention_aspect, target_direction, n from gpos) s
+  on s.original_id = c.original_id_base and s.intervention_aspect = c.concept and s.target_direction = c.target_direction
+left join gpos g on g.original_id = s.original_id and g.intervention_aspect = s.intervention_aspect
+  and g.target_direction = s.target_direction and g.pos = {O._md5_int('c.pair_id')} % s.n
+left join emb e on e.vec_id = g.g_id % {O.N_EMB}""", f"""
+gpos as (select g_id, original_id, intervention_aspect, target_direction,
+                row_number() over (partition by original_id, intervention_aspect, target_direction
+                                   order by {O._md5('g_id')}, g_id) - 1 as pos,
+                count(*) over (partition by original_id, intervention_aspect, target_direction) as n
+         from fx_accepted where generation is not null)"""),
+    "random matching": (f"""
+select 'random matching' as explainer, {_CELL_OUT.replace('c.', 'p.')}, {O.l2('e.p', 'p.c')} as icace_error
+from ppos p left join rpos r on r.concept = p.concept and r.label = p.target_direction and r.pos = p.pos
+left join emb e on e.vec_id = r.cid % {O.N_EMB}""", f"""
+ppos as (select c.*, row_number() over (partition by split, concept, base_direction, target_direction
+                                        order by {O._md5('pair_id')}, pair_id) - 1 as pos from cells c),
+rpos as (select cid, concept, label, row_number() over (partition by concept, label order by {O._md5('cid')}, cid) - 1 as pos
+         from cand)"""),
+}
+
+
+def _explainer(name: str):
+    return {
+        "Matching_k=3": X.MatchingExplainer(top_k=FLAGSHIP_K),
+        "approx": X.ApproxExplainer(exact=False),
+        "approxiMatch": X.ApproxExplainer(exact=True),
+        "generative": X.GenerativeExplainer(approach=1),
+        "generative_2": X.GenerativeExplainer(approach=2),
+        "random matching": X.RandomExplainer(),
+    }[name]
+
+
+def _err_oracle(names: list[str]) -> tuple[str, str]:
+    body = "\nunion all\n".join(ERR_SQL[n][0] for n in names)
+    extras = ",".join(ERR_SQL[n][1] for n in names if ERR_SQL[n][1])
+    return body, extras
+
+
+def _register_explainer(qname: str, ename: str):
+    body, extras = _err_oracle([ename])
+    sql = O.with_prelude(f"""select explainer, split, pair_id, concept, base_direction, target_direction,
+       round(icace_error, 6) as icace_error from ({body}) z""", extras)
+
+    def q(spark, sf_dir):
+        _, ctx = context(spark, sf_dir)
+        return _errors_out(_explainer(ename).pair_errors(ctx))
+
+    register(qname, sql)(q)
+
+
+_register_explainer("icace_approx_sample", "approx")
+_register_explainer("icace_approx_exact", "approxiMatch")
+_register_explainer("icace_generative", "generative")
+_register_explainer("icace_generative_sampled", "generative_2")
+_register_explainer("icace_random", "random matching")
+
+# ---------------------------------------------------------------- phase 4: report tables
+REPORT_EXPLAINERS = ["Matching_k=3", "approx", "generative", "random matching"]
+
+
+def all_errors(spark, sf_dir) -> DataFrame:
+    _, ctx = context(spark, sf_dir)
+    return X.union_errors([_explainer(n).pair_errors(ctx) for n in REPORT_EXPLAINERS])
+
+
+_REP_BODY, _REP_EXTRAS = _err_oracle(REPORT_EXPLAINERS)
+_REP_CELLS = f"""
+rep_err as ({_REP_BODY}),
+rep_cells as (select explainer, split, concept, base_direction, target_direction, count(*) as n_pairs,
+                     count(icace_error) as n_valid, avg(icace_error) as icace_error from rep_err group by all),
+rep_concept as (select explainer, split, concept, avg(round_even(icace_error, 2)) as average,
+                       count(icace_error) as n_cells from rep_cells group by all)"""
+_REP_CTES = (_REP_EXTRAS + "," if _REP_EXTRAS else "") + _REP_CELLS
+
+
+@register("score_by_concept", O.with_prelude(
+    "select explainer, split, concept, round(average, 6) as average, n_cells::bigint as n_cells from rep_concept",
+    _REP_CTES))
+def q_score_by_concept(spark, sf_dir):
+    b = M.score_by_concept(M.score_cells(all_errors(spark, sf_dir)))
+    return b.select("explainer", "split", "concept", r6("average"), "n_cells")
+
+
+@register("score_overall", O.with_prelude(
+    "select explainer, split, round_even(avg(average), 2) as score, count(average)::bigint as n_concepts "
+    "from rep_concept group by all", _REP_CTES))
+def q_score_overall(spark, sf_dir):
+    return M.score_overall(M.score_by_concept(M.score_cells(all_errors(spark, sf_dir))))
+
+
+_PIVOT_COLS = [M.direction_label(b, t) for b, t in M.DIRECTION_PAIRS]
+
+
+@register("score_pivot", O.with_prelude(
+    "select explainer, split, concept, "
+    + ", ".join(f"max(case when base_direction = '{b}' and target_direction = '{t}' then round_even(icace_error, 2) end)"
+                f" as {M.direction_label(b, t)}" for b, t in M.DIRECTION_PAIRS)
+    + ", round(avg(round_even(icace_error, 2)), 6) as average from rep_cells group by all", _REP_CTES))
+def q_score_pivot(spark, sf_dir):
+    p = M.score_pivot(M.score_cells(all_errors(spark, sf_dir)))
+    return p.select("explainer", "split", "concept", *[F.col(f"`{c}`") for c in _PIVOT_COLS], r6("average"))
+
+
+@register("coverage", O.with_prelude(
+    "select explainer, split, count(*)::bigint as n_optional, count(icace_error)::bigint as n_valid, "
+    "round(100.0 * count(icace_error) / count(*), 6) as pct_valid from rep_err group by all", _REP_CTES))
+def q_coverage(spark, sf_dir):
+    c = M.coverage(all_errors(spark, sf_dir))
+    return c.select("explainer", "split", "n_optional", "n_valid", r6("pct_valid"))
+
+
+@register("score_cells_all", O.with_prelude(
+    "select explainer, split, concept, base_direction, target_direction, n_pairs::bigint as n_pairs, "
+    "n_valid::bigint as n_valid, round(icace_error, 6) as icace_error from rep_cells", _REP_CTES))
+def q_score_cells_all(spark, sf_dir):
+    c = M.score_cells(all_errors(spark, sf_dir))
+    return c.select(*M.CELL_KEYS, "n_pairs", "n_valid", r6("icace_error"))
