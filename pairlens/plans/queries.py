@@ -309,3 +309,128 @@ def q_coverage(spark, sf_dir):
 def q_score_cells_all(spark, sf_dir):
     c = M.score_cells(all_errors(spark, sf_dir))
     return c.select(*M.CELL_KEYS, "n_pairs", "n_valid", r6("icace_error"))
+
+
+# ---------------------------------------------------------------- phase 5: generation hygiene
+from pairlens.operators import hygiene as H  # noqa: E402
+from pairlens.operators import ingest as I  # noqa: E402
+
+_GEN_OUT = ["g_id", "split", "original_id", "intervention_aspect", "base_direction", "target_direction",
+            "generation_index"]
+_GEN_OUT_SQL = ", ".join(_GEN_OUT) + ", length(generation)::bigint as gen_len, md5(generation) as gen_md5"
+
+
+def _gen_out(df: DataFrame) -> DataFrame:
+    return df.select(*_GEN_OUT, F.length("generation").cast("bigint").alias("gen_len"),
+                     F.md5("generation").alias("gen_md5"))
+
+
+@register("gen_hygiene", O.with_prelude(f"select {_GEN_OUT_SQL} from fx_clean"))
+def q_gen_hygiene(spark, sf_dir):
+    return _gen_out(Fixtures(spark, sf_dir).clean_generations)
+
+
+@register("gen_dedup", O.with_prelude(f"""
+select {_GEN_OUT_SQL} from (
+  select *, row_number() over (partition by generation, base_direction, target_direction order by g_id) as rn
+  from fx_generations where {O.F12_SQL}) d where rn = 1"""))
+def q_gen_dedup(spark, sf_dir):
+    g = Fixtures(spark, sf_dir).generations
+    return _gen_out(H.first_per_key(H.drop_no_change(H.drop_unsuccessful(g))))
+
+
+@register("gen_fault_words", O.with_prelude(
+    f"select {_GEN_OUT_SQL} from fx_generations where "
+    + O.F3_SQL.replace("lower(generation)", "coalesce(lower(generation), 'nan')")))
+def q_gen_fault_words(spark, sf_dir):
+    return _gen_out(H.drop_fault_words(Fixtures(spark, sf_dir).generations))
+
+
+@register("gen_fault_endings", O.with_prelude(
+    f"select {_GEN_OUT_SQL} from fx_generations where "
+    + O.F4_SQL.replace("lower(generation)", "coalesce(lower(generation), 'nan')")))
+def q_gen_fault_endings(spark, sf_dir):
+    return _gen_out(H.drop_fault_endings(Fixtures(spark, sf_dir).generations))
+
+
+@register("gen_treatment_filter", O.with_prelude(
+    f"select {_GEN_OUT_SQL}, " + ", ".join(f"{c}_predictions_generation" for c in CONCEPTS) + " from fx_accepted"))
+def q_gen_treatment_filter(spark, sf_dir):
+    a = Fixtures(spark, sf_dir).accepted_generations
+    return a.select(*_GEN_OUT, F.length("generation").cast("bigint").alias("gen_len"),
+                    F.md5("generation").alias("gen_md5"), *[f"{c}_predictions_generation" for c in CONCEPTS])
+
+
+@register("gen_funnel", O.with_prelude(f"""
+select split, count(*)::bigint as n_input,
+  count(*) filter (where not failed and generation is not null and generation <> '')::bigint as n_after_unsuccessful,
+  count(*) filter (where s2)::bigint as n_after_no_change,
+  count(*) filter (where s3)::bigint as n_after_dedup,
+  count(*) filter (where s3 and {O.F3_SQL})::bigint as n_after_fault_words,
+  count(*) filter (where s3 and {O.F3_SQL} and {O.F4_SQL})::bigint as n_clean,
+  case when count(*) > 0 then floor(100 * (count(*) - count(*) filter (where s3 and {O.F3_SQL} and {O.F4_SQL}))
+       / count(*))::bigint end as pct_dropped
+from (
+  select g.*, coalesce(s2, false) as s2, coalesce(s2 and rn = 1, false) as s3
+  from fx_generations g left join (
+    select g_id, true as s2, row_number() over (partition by generation, base_direction, target_direction order by g_id) as rn
+    from fx_generations where {O.F12_SQL}) d using (g_id)) z
+group by split"""))
+def q_gen_funnel(spark, sf_dir):
+    return H.funnel_counts(Fixtures(spark, sf_dir).generations, by=["split"])
+
+
+# ---------------------------------------------------------------- phase 6: ingest
+def _encode_sql(dataset_type: str) -> str:
+    enc = " ".join(f"when '{k}' then {v}" for k, v in __import__("pairlens.constants", fromlist=["x"])
+                   .SCORE_ENCODINGS[dataset_type].items())
+    drop3 = " and review_majority <> '3'" if dataset_type == "2-way" else ""
+    return O.with_prelude(f"""
+select id, split, cast(case review_majority {enc} end as integer) as review_majority
+from fx_reviews where not (split like 'train%' and review_majority = 'no majority'){drop3}""")
+
+
+for _dt in ("2-way", "3-way", "5-way"):
+    def _q(spark, sf_dir, _dt=_dt):
+        return I.encode_reviews(Fixtures(spark, sf_dir).reviews, _dt).select("id", "split", "review_majority")
+    register(f"encode_{_dt.replace('-', '')}", _encode_sql(_dt))(_q)
+
+
+@register("aspect_training_set", O.with_prelude(
+    " union all ".join(
+        f"select id, split, '{c}' as concept, {c}_aspect_majority as aspect_label, "
+        f"cast(case {c}_aspect_majority when 'Negative' then 1 when 'Positive' then 2 else 0 end as integer) as label "
+        f"from fx_reviews where {c}_aspect_majority in ('Negative', 'Positive', 'unknown')" for c in CONCEPTS)))
+def q_aspect_training_set(spark, sf_dir):
+    return I.aspect_training_set(Fixtures(spark, sf_dir).reviews).select("id", "split", "concept", "aspect_label",
+                                                                         "label")
+
+
+@register("split_halves", O.with_prelude(
+    f"select id, case when substr({O._md5('id')}, 1, 1) >= '8' then 'matching' else 'train' end as half "
+    "from fx_reviews where split = 'train_exclusive'"))
+def q_split_halves(spark, sf_dir):
+    r = Fixtures(spark, sf_dir).reviews.where(F.col("split") == "train_exclusive")
+    return I.split_halves(r).select("id", "half")
+
+
+@register("full_set", O.with_prelude(
+    "select rid, src, k, original_id, generation_index, intervention_aspect, "
+    + ", ".join(f"{c}_predictions" for c in CONCEPTS)
+    + ", length(text)::bigint as text_len, md5(text) as text_md5 from fx_full_set"))
+def q_full_set(spark, sf_dir):
+    f = Fixtures(spark, sf_dir).full_set
+    return f.select("rid", "src", "k", "original_id", "generation_index", "intervention_aspect",
+                    *[f"{c}_predictions" for c in CONCEPTS], F.length("text").cast("bigint").alias("text_len"),
+                    F.md5("text").alias("text_md5"))
+
+
+@register("onehot", O.with_prelude(
+    "select id, " + ", ".join(
+        f"case when rm is null then null when rm = {i} then 1.0 else 0.0 end as oh{i}" for i in range(5))
+    + " from (select id, case review_majority "
+    + " ".join(f"when '{k}' then {v}" for k, v in {'1': 0, '2': 1, '3': 2, '4': 3, '5': 4}.items())
+    + " end as rm from fx_reviews where not (split like 'train%' and review_majority = 'no majority')) z"))
+def q_onehot(spark, sf_dir):
+    e = I.onehot_scores(I.encode_reviews(Fixtures(spark, sf_dir).reviews, "5-way"))
+    return e.select("id", *[F.element_at("review_majority_onehot", i + 1).alias(f"oh{i}") for i in range(5)])
