@@ -434,3 +434,250 @@ def q_full_set(spark, sf_dir):
 def q_onehot(spark, sf_dir):
     e = I.onehot_scores(I.encode_reviews(Fixtures(spark, sf_dir).reviews, "5-way"))
     return e.select("id", *[F.element_at("review_majority_onehot", i + 1).alias(f"oh{i}") for i in range(5)])
+
+
+# ---------------------------------------------------------------- phase 7/8: contrastive sets and metrics
+from pairlens.operators import contrastive as C  # noqa: E402
+
+TREATMENT = "food"
+GEN_INDEX = "-101"
+_CONF = C.confounders(TREATMENT)
+_QI = ", ".join(str(i) for i in I.parse_generation_index(GEN_INDEX))
+
+
+def contrastive_parts(spark, sf_dir, seed: int = DEFAULT_SEED):
+    fx = Fixtures(spark, sf_dir, seed)
+    fs = fx.full_set
+    qs = C.query_rows(fs, GEN_INDEX)
+    tcf = C.treatment_members(fs, qs, TREATMENT)
+    ccf = C.confounder_members(fs, qs, TREATMENT)
+    return fx, fs, qs, tcf, ccf
+
+
+def kept_samples(spark, sf_dir):
+    fx, fs, qs, tcf, ccf = contrastive_parts(spark, sf_dir)
+    kept = C.kept_queries(C.role_counts(fs, qs, TREATMENT, tcf, ccf)).select("q_rid")
+    kq = qs.join(kept.withColumnRenamed("q_rid", "rid"), "rid", "left_semi")
+    samples = C.sample_members(fs, kq, TREATMENT, tcf.join(kept, "q_rid", "left_semi"),
+                               ccf.join(kept, "q_rid", "left_semi"))
+    return fx, fs, samples
+
+
+_c1, _c2, _c3 = (f"{c}_predictions" for c in _CONF)
+_CT_CTES = f"""
+cq as (select rid as q_rid, k as q_k, original_id as q_orig, text as q_text, {TREATMENT}_predictions as q_t,
+              {_c1} as q_c1, {_c2} as q_c2, {_c3} as q_c3
+       from fx_full_set where generation_index in ({_QI}) and length(text) > 2),
+ctcf as (select q.q_rid, m.rid as m_rid from cq q join fx_full_set m on m.original_id = q.q_orig
+         where m.rid <> q.q_rid and coalesce(m.text <> q.q_text, true) and coalesce(m.{TREATMENT}_predictions <> q.q_t, true)
+           and (m.intervention_aspect = '{TREATMENT}' or m.generation_index = -1)
+           and m.{_c1} = q.q_c1 and m.{_c2} = q.q_c2 and m.{_c3} = q.q_c3),
+cccf as (select q.q_rid, m.rid as m_rid from cq q join fx_full_set m on m.original_id = q.q_orig
+         where m.rid <> q.q_rid and coalesce(m.text <> q.q_text, true) and m.{TREATMENT}_predictions = q.q_t
+           and (m.intervention_aspect in ({", ".join(f"'{c}'" for c in _CONF)}) or m.generation_index = -1)
+           and (coalesce(m.{_c1} = q.q_c1, false)::int + coalesce(m.{_c2} = q.q_c2, false)::int
+                + coalesce(m.{_c3} = q.q_c3, false)::int) = 2),
+ccounts as (
+  select q.q_rid, coalesce(t.n, 0)::bigint as n_tcf, coalesce(c.n, 0)::bigint as n_ccf, a.n_approx::bigint as n_approx,
+         ((select count(*) from fx_full_set) - 1 - a.n_approx)::bigint as n_negative
+  from cq q
+  left join (select q_rid, count(*) as n from ctcf group by q_rid) t using (q_rid)
+  left join (select q_rid, count(*) as n from cccf group by q_rid) c using (q_rid)
+  join (select q.q_rid, count(r.rid) as n_approx from cq q left join fx_full_set r
+          on r.original_id <> q.q_orig and r.{_c1} = q.q_c1 and r.{_c2} = q.q_c2 and r.{_c3} = q.q_c3
+        group by q.q_rid) a using (q_rid)),
+ckept as (select * from ccounts where n_tcf > 0 and n_ccf > 0 and n_approx > 0 and n_negative > 0),
+cfs as (select rid, original_id, {_c1} as c1, {_c2} as c2, {_c3} as c3 from fx_full_set),
+cgp as (select *, row_number() over (partition by c1, c2, c3 order by {O._md5('rid')}, rid) - 1 as gpos,
+               count(*) over (partition by c1, c2, c3) as n_g from cfs),
+cgrp as (select c1, c2, c3, n_g, coalesce(sum(n_g) over (order by c1 nulls first, c2 nulls first, c3 nulls first
+                rows between unbounded preceding and 1 preceding), 0) as goff
+         from (select distinct c1, c2, c3, n_g from cgp) g),
+cglob as (select p.rid, p.original_id, p.c1, p.c2, p.c3, p.gpos, g.goff + p.gpos as glob from cgp p join cgrp g
+          on p.c1 is not distinct from g.c1 and p.c2 is not distinct from g.c2 and p.c3 is not distinct from g.c3),
+cop as (select rid, original_id, c1, c2, c3,
+               row_number() over (partition by original_id, c1, c2, c3 order by {O._md5('rid')}, rid) - 1 as opos,
+               count(*) over (partition by original_id, c1, c2, c3) as n_go from cfs),
+ckq as (
+  select q.q_rid, q.q_orig, q.q_c1, q.q_c2, q.q_c3, {O._md5_int('q.q_rid')} as h,
+         (q.q_c1 is not null and q.q_c2 is not null and q.q_c3 is not null) as keyed,
+         case when q.q_c1 is not null and q.q_c2 is not null and q.q_c3 is not null then g.n_g else 0 end as n_g,
+         case when q.q_c1 is not null and q.q_c2 is not null and q.q_c3 is not null then g.goff else 0 end as goff,
+         case when q.q_c1 is not null and q.q_c2 is not null and q.q_c3 is not null then o.n_go else 1 end as s,
+         o.opos as q_opos
+  from cq q join ckept using (q_rid) left join cgrp g on g.c1 = q.q_c1 and g.c2 = q.q_c2 and g.c3 = q.q_c3
+  join cop o on o.rid = q.q_rid),
+capprox as (
+  select q_rid, 'approx' as role, m_rid, (row_number() over (partition by q_rid order by d) - 1)::bigint as j from (
+    select k.q_rid, d.d, p.rid as m_rid, p.original_id as m_orig, k.q_orig
+    from ckq k, unnest(range(0, least(5 + k.s, k.n_g))) as d(d)
+    join cglob p on p.c1 = k.q_c1 and p.c2 = k.q_c2 and p.c3 = k.q_c3 and p.gpos = (k.h + d.d) % k.n_g
+    where k.keyed and k.n_g > 0) z
+  where m_orig <> q_orig qualify j < 5),
+cnegd as (
+  select k.*, d.d, (k.h + d.d) % k.total as u from (
+    select *, (select count(*) from fx_full_set) - n_g as avail,
+           (select count(*) from fx_full_set) - n_g + s - 1 as total from ckq) k,
+    unnest(range(0, least(5 + case when k.keyed then 0 else 1 end, k.total))) as d(d)
+  where k.total > 0),
+cneg as (
+  select q_rid, 'negative' as role, m_rid, (row_number() over (partition by q_rid order by d) - 1)::bigint as j from (
+    select n.q_rid, n.d, p.rid as m_rid from cnegd n join cglob p
+      on p.glob = case when n.u < n.goff then n.u else n.u + n.n_g end where n.u < n.avail
+    union all
+    select n.q_rid, n.d, o.rid from cnegd n join cop o on o.original_id = n.q_orig and o.c1 = n.q_c1 and o.c2 = n.q_c2
+      and o.c3 = n.q_c3 and o.opos = case when n.u - n.avail < n.q_opos then n.u - n.avail else n.u - n.avail + 1 end
+    where n.u >= n.avail) z
+  where m_rid <> q_rid qualify j < 5),
+csamples as (
+  select q_rid, 't_cf' as role, m_rid, (row_number() over (partition by q_rid order by
+         md5('{O.SEED}|' || cast(q_rid as varchar) || '|' || cast(m_rid as varchar)), m_rid) - 1)::bigint as j
+  from ctcf where q_rid in (select q_rid from ckept) qualify j < 5
+  union all
+  select q_rid, 'c_cf', m_rid, (row_number() over (partition by q_rid order by
+         md5('{O.SEED}|' || cast(q_rid as varchar) || '|' || cast(m_rid as varchar)), m_rid) - 1)::bigint as j
+  from cccf where q_rid in (select q_rid from ckept) qualify j < 5
+  union all select * from capprox
+  union all select * from cneg),
+ccos as (
+  select s.*, list_dot_product(eq.u, em.u) as cos from csamples s
+  join fx_full_set fq on fq.rid = s.q_rid join fx_full_set fm on fm.rid = s.m_rid
+  join emb eq on eq.vec_id = fq.k % {O.N_EMB} join emb em on em.vec_id = fm.k % {O.N_EMB}),
+cterms as (
+  select q_rid, role, avg(cos) as mean_cos, avg(exp(cos / 1.0)) as term1, avg(exp(cos / 0.1)) as term01
+  from ccos group by q_rid, role),
+cpiv as (
+  select q_rid, {", ".join(f"max(case when role = '{r}' then term1 end) as {r}_1, max(case when role = '{r}' then term01 end) as {r}_01" for r in C.ROLES)}
+  from cterms group by q_rid)"""
+
+
+def _ct(body: str) -> str:
+    return O.with_prelude(body, _CT_CTES)
+
+
+@register("contrastive_tcf", _ct("select q_rid, m_rid from ctcf"))
+def q_contrastive_tcf(spark, sf_dir):
+    return contrastive_parts(spark, sf_dir)[3]
+
+
+@register("contrastive_ccf", _ct("select q_rid, m_rid from cccf"))
+def q_contrastive_ccf(spark, sf_dir):
+    return contrastive_parts(spark, sf_dir)[4]
+
+
+@register("contrastive_role_counts", _ct("select * from ccounts"))
+def q_contrastive_role_counts(spark, sf_dir):
+    _, fs, qs, tcf, ccf = contrastive_parts(spark, sf_dir)
+    return C.role_counts(fs, qs, TREATMENT, tcf, ccf)
+
+
+@register("contrastive_kept", _ct("select * from ckept"))
+def q_contrastive_kept(spark, sf_dir):
+    _, fs, qs, tcf, ccf = contrastive_parts(spark, sf_dir)
+    return C.kept_queries(C.role_counts(fs, qs, TREATMENT, tcf, ccf))
+
+
+@register("contrastive_samples", _ct("select q_rid, role, m_rid, j from csamples"))
+def q_contrastive_samples(spark, sf_dir):
+    return kept_samples(spark, sf_dir)[2]
+
+
+def _terms(spark, sf_dir, temperature=1.0):
+    fx, fs, samples = kept_samples(spark, sf_dir)
+    cos = C.member_cosines(samples, fs, fx.table("embeddings"))
+    return C.role_terms(cos, temperature, mean_loss=True)
+
+
+@register("role_similarity", _ct(
+    "select role, round(avg(mean_cos), 6) as mean_sim, count(*)::bigint as n_queries from cterms group by role"))
+def q_role_similarity(spark, sf_dir):
+    return C.role_similarity(_terms(spark, sf_dir)).select("role", r6("mean_sim"), "n_queries")
+
+
+@register("order_relation", _ct("""
+select round(t - a, 6) as differences_positive, round(c - n, 6) as differences_negative,
+       round(a - n, 6) as differences_samples, round(t - c, 6) as differences_counterfactuals,
+       (t - a > 0 and c - n > 0 and a - n > 0 and t - c > 0)::int as is_order_relation
+from (select max(case when role = 't_cf' then m end) as t, max(case when role = 'c_cf' then m end) as c,
+             max(case when role = 'approx' then m end) as a, max(case when role = 'negative' then m end) as n
+      from (select role, avg(mean_cos) as m from cterms group by role) x) y"""))
+def q_order_relation(spark, sf_dir):
+    o = C.order_relation(C.role_similarity(_terms(spark, sf_dir)))
+    return o.select(*[r6(c) for c in o.columns if c.startswith("differences")], "is_order_relation")
+
+
+_V1 = "-ln((coalesce(t_cf_{s}, 0) + coalesce(approx_{s}, 0)) / (coalesce(t_cf_{s}, 0) + coalesce(approx_{s}, 0) + coalesce(negative_{s}, 0) + coalesce(c_cf_{s}, 0)))"
+
+
+def _v0(s: str, coef: dict) -> str:
+    names = {"t_cf": f"t_cf_{s}", "c_cf": f"c_cf_{s}", "approx": f"approx_{s}", "negative": f"negative_{s}"}
+    return " + ".join(f"{float(coef[n])} * -ln({names[a]} / ({names[a]} + {names[b]}))" for n, a, b in C.V0_TERMS)
+
+
+V0_SWEEP = {"tcf_cfc": 1, "tcf_pax": 1, "tcf_nax": 0, "pax_nax": 0, "pax_cfc": 1, "cfc_nax": 0}
+V0_FIXED = {n: 1 for n, _, _ in C.V0_TERMS}
+
+
+@register("contrastive_loss_v1", _ct(f"select q_rid, round({_V1.format(s='1')}, 6) as loss from cpiv"))
+def q_contrastive_loss_v1(spark, sf_dir):
+    return C.loss_v1(_terms(spark, sf_dir)).select("q_rid", r6("loss"))
+
+
+@register("contrastive_loss_v0", _ct(f"select q_rid, round({_v0('01', V0_SWEEP)}, 6) as loss from cpiv"))
+def q_contrastive_loss_v0(spark, sf_dir):
+    return C.loss_v0(_terms(spark, sf_dir, 0.1), V0_SWEEP).select("q_rid", r6("loss"))
+
+
+@register("loss_grid", _ct(f"""
+select loss_version, temperature, round(avg(loss), 6) as mean_loss, count(loss)::bigint as n_queries from (
+  select 1 as loss_version, 1.0::double as temperature, {_V1.format(s='1')} as loss from cpiv
+  union all select 1, 0.1::double, {_V1.format(s="01")} from cpiv
+  union all select 0, 1.0::double, {_v0("1", V0_SWEEP)} from cpiv
+  union all select 0, 0.1::double, {_v0("01", V0_SWEEP)} from cpiv) g
+group by all"""))
+def q_loss_grid(spark, sf_dir):
+    """Every (loss version, temperature) combination from ONE cosine pass.
+
+    Temperatures are expanded on the per-member cosine rows by exploding a literal
+    array (the grid is a fixed parameter list), then each loss is an aggregate.
+    """
+    fx, fs, samples = kept_samples(spark, sf_dir)
+    cos = C.member_cosines(samples, fs, fx.table("embeddings"))
+    cos = cos.withColumn("temperature", F.explode(F.array(F.lit(1.0), F.lit(0.1))))
+    agg = cos.groupBy("temperature", "q_rid", "role").agg(F.avg(F.exp(F.col("cos") / F.col("temperature"))).alias("term"))
+    out = None
+    for t in (1.0, 0.1):
+        terms = agg.where(F.col("temperature") == t)
+        for version, frame in ((1, C.loss_v1(terms)), (0, C.loss_v0(terms, V0_SWEEP))):
+            f = frame.select(F.lit(version).alias("loss_version"), F.lit(t).alias("temperature"), "loss")
+            out = f if out is None else out.unionByName(f)
+    return out.groupBy("loss_version", "temperature").agg(
+        F.round(F.avg("loss"), 6).alias("mean_loss"), F.count("loss").cast("bigint").alias("n_queries"))
+
+
+# ---------------------------------------------------------------- phase 9: top-k sweep
+SWEEP_K = 49
+
+
+@register("topk_sweep", O.with_prelude(f"""
+select k::bigint as k, split, concept, base_direction, target_direction, count(*)::bigint as n_pairs,
+       count(err)::bigint as n_valid, round(avg(err), 6) as icace_error
+from (
+  select kk.k, c.split, c.concept, c.base_direction, c.target_direction, {O.l2('m.m', 'c.c')} as err
+  from cells c cross join range(1, {SWEEP_K} + 1) kk(k)
+  join (select distinct qid, concept, label from ranked) qk
+    on qk.qid = c.id_base and qk.concept = c.concept and qk.label = c.target_direction
+  left join (
+    select kk.k, r.qid, r.concept, r.label, avg(e.p1) as m1, avg(e.p2) as m2, avg(e.p3) as m3, avg(e.p4) as m4,
+           avg(e.p5) as m5
+    from ranked r join emb e on e.vec_id = r.cid % {O.N_EMB} join range(1, {SWEEP_K} + 1) kk(k) on r.rank <= kk.k
+    where r.sim > 0.0 group by all) m
+  on m.k = kk.k and m.qid = c.id_base and m.concept = c.concept and m.label = c.target_direction) z
+group by all""", O.ranked_matches(SWEEP_K)))
+def q_topk_sweep(spark, sf_dir):
+    """49 matcher runs (k = 1..49) as ONE top-49 ranking plus running means."""
+    _, ctx = context(spark, sf_dir)
+    e = X.topk_sweep(ctx, SWEEP_K)
+    return e.groupBy("k", "split", "concept", "base_direction", "target_direction").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_pairs"), F.count("icace_error").cast("bigint").alias("n_valid"),
+        F.round(F.avg("icace_error"), 6).alias("icace_error")).withColumn("k", F.col("k").cast("bigint"))

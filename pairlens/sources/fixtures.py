@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pairlens.constants import CONCEPTS, DEFAULT_SEED, DIRECTIONS
 from pairlens.functions.seeded import md5_order
 from pairlens.operators import hygiene
+from pairlens.session import cut_lineage
 from pairlens.sources.tables import read_table
 
 _FOUR = (*DIRECTIONS, "")  # aspect value wheel incl. "no label"
@@ -155,7 +156,13 @@ class Fixtures:
 
     @property
     def full_set(self) -> DataFrame:
-        return self._memo("fx_full_set", lambda: full_set(self.reviews, self.clean_generations))
+        """Reused by many self-joins (contrastive mining): materialised once with a reliable
+        checkpoint into the cluster's shared ``spark.checkpoint.dir``, which also cuts lineage."""
+        return self._memo("fx_full_set", lambda: cut_lineage(self.full_set_plan))
+
+    @property
+    def full_set_plan(self) -> DataFrame:
+        return self._memo("fx_full_set_plan", lambda: full_set(self.reviews, self.clean_generations))
 
     @property
     def explained_reviews(self) -> DataFrame:
