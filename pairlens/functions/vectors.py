@@ -20,9 +20,13 @@ def l2_norm(v) -> Column:
     return F.sqrt(F.aggregate(_c(v), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-def normalize(v) -> Column:
-    """Zero-safe L2 normalisation (norm clamped at 1e-12)."""
-    n = F.greatest(l2_norm(v), F.lit(NORM_EPS))
+def normalize(v, norm=None) -> Column:
+    """Zero-safe L2 normalisation (norm clamped at 1e-12).
+
+    Pass ``norm`` as an already-computed column: an expression used inside the lambda
+    would be re-evaluated for every element.
+    """
+    n = F.greatest(_c(norm) if norm is not None else l2_norm(v), F.lit(NORM_EPS))
     return F.transform(_c(v), lambda x: x.cast("double") / n)
 
 
@@ -31,9 +35,11 @@ def dot(a, b) -> Column:
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
-def cosine(a, b) -> Column:
-    """Cosine of two vectors (each normalised with the eps clamp)."""
-    return dot(normalize(a), normalize(b))
+def cosine(a, b, norm_a=None, norm_b=None) -> Column:
+    """Cosine of two vectors, each norm clamped at 1e-12 (= dot of the normalised vectors)."""
+    na = F.greatest(_c(norm_a) if norm_a is not None else l2_norm(a), F.lit(NORM_EPS))
+    nb = F.greatest(_c(norm_b) if norm_b is not None else l2_norm(b), F.lit(NORM_EPS))
+    return dot(a, b) / (na * nb)
 
 
 def subtract(a, b) -> Column:

@@ -194,12 +194,15 @@ def sample_members(full_set: DataFrame, queries: DataFrame, treatment: str, tcf:
 
 def member_cosines(samples: DataFrame, full_set: DataFrame, embeddings: DataFrame) -> DataFrame:
     """cos(query vector, member vector) per sampled member."""
-    keys = full_set.select("rid", "k")
-    qv = attach_vectors(keys, embeddings, "k").select(F.col("rid").alias("q_rid"), F.col(VECTOR).alias("qv"))
-    mv = attach_vectors(keys, embeddings, "k").select(F.col("rid").alias("m_rid"), F.col(VECTOR).alias("mv"))
+    from pairlens.functions.vectors import cosine, l2_norm
+    ids = samples.select(F.col("q_rid").alias("rid")).union(samples.select(F.col("m_rid").alias("rid"))).distinct()
+    keys = full_set.select("rid", "k").join(ids, "rid", "left_semi")
+    v = attach_vectors(keys, embeddings, "k")
+    v = v.select("rid", F.col(VECTOR).alias("v"), l2_norm(VECTOR).alias("n"))
+    qv = v.select(F.col("rid").alias("q_rid"), F.col("v").alias("qv"), F.col("n").alias("qn"))
+    mv = v.select(F.col("rid").alias("m_rid"), F.col("v").alias("mv"), F.col("n").alias("mn"))
     s = samples.join(qv, "q_rid").join(mv, "m_rid")
-    from pairlens.functions.vectors import cosine
-    return s.withColumn("cos", cosine("qv", "mv")).drop("qv", "mv")
+    return s.withColumn("cos", cosine("qv", "mv", "qn", "mn")).drop("qv", "mv", "qn", "mn")
 
 
 def role_terms(cos: DataFrame, temperature: float | Column = 1.0, mean_loss: bool = True) -> DataFrame:
