@@ -15,6 +15,7 @@ from pairlens.operators import explainers as X
 from pairlens.operators import metrics as M
 from pairlens.operators.pairs import mine_pairs, original_diagnostics
 from pairlens.plans import oracle as O
+from pairlens.session import cut_lineage
 from pairlens.sources.fixtures import Fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,7 +461,8 @@ def kept_samples(spark, sf_dir):
     kq = qs.join(kept.withColumnRenamed("q_rid", "rid"), "rid", "left_semi")
     samples = C.sample_members(fs, kq, TREATMENT, tcf.join(kept, "q_rid", "left_semi"),
                                ccf.join(kept, "q_rid", "left_semi"))
-    return fx, fs, samples
+    # <= 20 rows per kept query, read twice by the cosine stage: materialise once
+    return fx, fs, cut_lineage(samples)
 
 
 _c1, _c2, _c3 = (f"{c}_predictions" for c in _CONF)
