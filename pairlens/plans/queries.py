@@ -683,3 +683,33 @@ def q_topk_sweep(spark, sf_dir):
     return e.groupBy("k", "split", "concept", "base_direction", "target_direction").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_pairs"), F.count("icace_error").cast("bigint").alias("n_valid"),
         F.round(F.avg("icace_error"), 6).alias("icace_error")).withColumn("k", F.col("k").cast("bigint"))
+
+
+# ---------------------------------------------------------------- phase 10: model jobs (no SQL oracle)
+from pairlens.operators import models as MD  # noqa: E402
+
+
+@register("aspect_classifier")
+def q_aspect_classifier(spark, sf_dir):
+    """Per-concept 3-class text models trained on train_exclusive, applied to every labelled review."""
+    revs = Fixtures(spark, sf_dir).reviews
+    p = MD.aspect_predictions(revs, MD.train_aspect_models(revs))
+    return p.select("id", "split", "concept", "label", "prediction",
+                    F.round(F.array_max("probs"), 6).alias("confidence"))
+
+
+@register("accuracy_by_split")
+def q_accuracy_by_split(spark, sf_dir):
+    """Accuracy of the aspect models per concept and split."""
+    revs = Fixtures(spark, sf_dir).reviews
+    p = MD.aspect_predictions(revs, MD.train_aspect_models(revs))
+    return M.accuracy(p, "prediction", "label", by=("concept", "split")).select(
+        "concept", "split", F.round("accuracy", 6).alias("accuracy"), "n")
+
+
+@register("sentiment_classifier")
+def q_sentiment_classifier(spark, sf_dir):
+    """R2: 5-way review-score model; predictions for every encodable review."""
+    enc = I.encode_reviews(Fixtures(spark, sf_dir).reviews, "5-way")
+    p = MD.sentiment_predictions(MD.train_sentiment_model(enc), enc)
+    return p.select("id", "split", "label", "prediction")
