@@ -24,6 +24,7 @@ from pairlens.operators.pairs import with_pair_id
 from pairlens.operators.sampling import seeded_positions
 from pairlens.operators.scoring import PROBS, VECTOR, attach_vectors, get_scorer, score_keys
 from pairlens.operators.topk import cosine_topk
+from pairlens.session import cut_lineage
 
 CELL = ["concept", "base_direction", "target_direction"]
 ERR_COLS = ["explainer", "split", "pair_id", *CELL, "icace_error"]
@@ -62,6 +63,7 @@ class ExplainContext:
     embeddings: DataFrame
     scorer: str = "linear_head"
     seed: int = DEFAULT_SEED
+    materialize: bool = True
     _memo: dict = field(default_factory=dict)
 
     @property
@@ -74,8 +76,11 @@ class ExplainContext:
         if "cells" not in self._memo:
             p = cell_pairs(self.pairs)
             cf = score_keys(p.select(F.col("id_counterfactual").alias("k")), self.embeddings, "k", self.scorer)
-            self._memo["cells"] = p.join(cf.withColumnRenamed("k", "id_counterfactual")
-                                         .withColumnRenamed(PROBS, "cf_probs"), "id_counterfactual")
+            cells = p.join(cf.withColumnRenamed("k", "id_counterfactual")
+                           .withColumnRenamed(PROBS, "cf_probs"), "id_counterfactual")
+            # compact (ids, labels, probabilities - no texts) and read by every explainer
+            # branch: materialise once instead of re-scanning the review table per branch
+            self._memo["cells"] = cut_lineage(cells) if self.materialize else cells
         return self._memo["cells"]
 
     @property
