@@ -256,3 +256,37 @@ def order_relation(sim: DataFrame) -> DataFrame:
                  (F.col(T_CF) - F.col(C_CF)).alias("differences_counterfactuals"))
     flag = reduce(lambda a, b: a & b, [F.col(c) > 0 for c in d.columns])
     return d.withColumn("is_order_relation", flag.cast("int"))
+
+
+def eval_role_counts(sources: DataFrame, generations: DataFrame, treatment: str) -> DataFrame:
+    """Evaluation variant (J11-J14, Q9, Q10): queries are source reviews.
+
+    t_cf: generations written from this exact source (same original and text) that
+    intervene on T and keep every confounder's predicted label equal to the source's
+    label; c_cf: the other generations of that slice intervening on a confounder;
+    approx: sources of OTHER originals with equal confounder labels; negative: the
+    remaining sources of other originals. Kept when all four are non-empty.
+    """
+    conf = confounders(treatment)
+    lab = [f"{c}_aspect_majority" for c in conf]
+    s = sources.select("id", "original_id", "description", *lab)
+    g = generations.select(F.col("original_id").alias("g_orig"), F.col("text").alias("g_text"), "intervention_aspect",
+                           *[F.col(f"{c}_predictions_generation").alias(f"g_{c}") for c in conf])
+    j = s.join(g, [F.col("original_id") == F.col("g_orig"), F.col("description") == F.col("g_text")])
+    keeps = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"g_{c}") == F.col(f"{c}_aspect_majority"), F.lit(False))
+                                        for c in conf])
+    roles = j.groupBy("id").agg(
+        F.count_if((F.col("intervention_aspect") == treatment) & keeps).alias("n_tcf"),
+        F.count_if(F.col("intervention_aspect").isin(*conf)).alias("n_ccf"))
+    n_s = sources.select(F.count(F.lit(1))).scalar()
+    keyed = s.where(_all_not_null(lab))
+    grp = keyed.groupBy(*lab).agg(F.count(F.lit(1)).alias("n_g"))
+    grp_o = keyed.groupBy("original_id", *lab).agg(F.count(F.lit(1)).alias("n_go"))
+    per_o = s.groupBy("original_id").agg(F.count(F.lit(1)).alias("n_o"))
+    out = (s.join(roles, "id").join(grp, lab, "left").join(grp_o, ["original_id", *lab], "left")
+           .join(per_o, "original_id"))
+    n_approx = F.coalesce(F.col("n_g"), F.lit(0)) - F.coalesce(F.col("n_go"), F.lit(0))
+    out = out.select("id", F.col("n_tcf").cast("bigint").alias("n_tcf"), F.col("n_ccf").cast("bigint").alias("n_ccf"),
+                     n_approx.cast("bigint").alias("n_approx"),
+                     (n_s - F.col("n_o") - n_approx).cast("bigint").alias("n_negative"))
+    return kept_queries(out)

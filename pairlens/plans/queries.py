@@ -713,3 +713,30 @@ def q_sentiment_classifier(spark, sf_dir):
     enc = I.encode_reviews(Fixtures(spark, sf_dir).reviews, "5-way")
     p = MD.sentiment_predictions(MD.train_sentiment_model(enc), enc)
     return p.select("id", "split", "label", "prediction")
+
+
+_EV = [c for c in _CONF]
+
+
+@register("contrastive_eval_roles", O.with_prelude(f"""
+select s.id, t.n_tcf::bigint as n_tcf, t.n_ccf::bigint as n_ccf, a.n_approx::bigint as n_approx,
+       ((select count(*) from fx_reviews where split = 'validation') - o.n_o - a.n_approx)::bigint as n_negative
+from fx_reviews s
+join (select s.id,
+             count(*) filter (where g.intervention_aspect = '{TREATMENT}' and {" and ".join(f"g.{c}_predictions_generation = s.{c}_aspect_majority" for c in _EV)}) as n_tcf,
+             count(*) filter (where g.intervention_aspect in ({", ".join(f"'{c}'" for c in _EV)})) as n_ccf
+      from fx_reviews s join fx_accepted g on g.original_id = s.original_id and g.text = s.description
+      where s.split = 'validation' and g.split = 'validation' group by s.id) t on t.id = s.id
+join (select s.id, count(r.id) as n_approx from fx_reviews s left join fx_reviews r
+        on r.split = 'validation' and r.original_id <> s.original_id
+        and {" and ".join(f"r.{c}_aspect_majority = s.{c}_aspect_majority" for c in _EV)}
+      where s.split = 'validation' group by s.id) a on a.id = s.id
+join (select original_id, count(*) as n_o from fx_reviews where split = 'validation' group by original_id) o
+  on o.original_id = s.original_id
+where s.split = 'validation' and t.n_tcf > 0 and t.n_ccf > 0 and a.n_approx > 0
+  and (select count(*) from fx_reviews where split = 'validation') - o.n_o - a.n_approx > 0"""))
+def q_contrastive_eval_roles(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    src = fx.reviews.where(F.col("split") == "validation")
+    gens = fx.accepted_generations.where(F.col("split") == "validation")
+    return C.eval_role_counts(src, gens, TREATMENT)
