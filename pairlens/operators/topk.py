@@ -17,6 +17,8 @@ Order: rounded similarity (9 digits) descending, then candidate id ascending.
 """
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,6 +27,14 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pairlens.constants import NORM_EPS, SIM_DIGITS
 
+# The cogroup function runs in executor Python workers: ship this module's code by value
+# so executors do not need the package installed or on their path.
+try:  # pragma: no cover - import location differs across pyspark builds
+    from pyspark import cloudpickle as _cp
+except ImportError:  # pragma: no cover
+    import cloudpickle as _cp
+_cp.register_pickle_by_value(sys.modules[__name__])
+
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
     m = np.stack(vectors.to_numpy()).astype(np.float64, copy=False)
