@@ -1,12 +1,16 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-Fingerprints of whole texts are made in tasks. Distinct fingerprints are sorted by Gray rank and cut
-into blocks of about equal size by quantiles of that rank. A block's upper node is the bit pattern
-that all its fingerprints share (``bit_and`` / ``bit_or`` aggregates). A fingerprint visits its own
-block and each later block whose shared pattern differs from it in at most ``max_bits`` bits; inside
-a block the same index goes on: nodes over 16 neighbours in Gray order hold the bits their members
-share beyond the parent's, differences add up from the root, and a whole group is left as soon as
-they pass ``max_bits``. No link is lost, since a pattern's difference never exceeds a member's.
+Fingerprints of whole texts are made in tasks. Two fingerprints that differ in at most ``max_bits``
+bits agree in one of ``max_bits`` + 1 segments of the bits, so the index is laid out once for each
+segment, the bits rotated to lead with it: distinct fingerprints are sorted by Gray rank, in which
+those that share a leading segment stand together, and cut into blocks of about equal size by
+quantiles of that rank. A block's upper node is the bit pattern that all its fingerprints share
+(``bit_and`` / ``bit_or`` aggregates). A fingerprint visits its own block and each later one that its
+leading segment reaches into, unless the shared pattern differs in more than ``max_bits`` bits, so
+rows grow in proportion to the input. Inside a block the same index goes on: nodes over 16 neighbours
+in Gray order hold the bits their members share beyond the parent's, differences add up from the
+root, and a whole group is left as soon as they pass ``max_bits``. No link is lost, since a pattern's
+difference never exceeds a member's.
 
 Each block returns a star per local component (a fingerprint and its component's smallest), never
 all pairs; stars meet in large-star / small-star rounds over checkpoints.
@@ -21,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.llm.common import checkpointed, map_slices, read, text_or_empty
@@ -54,15 +58,20 @@ def fingerprint(text: bytes, words_per_shingle: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(bits)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed long."""
+def hash_of_text() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, text_hash: bool = False) -> DataFrame:
+    """(doc_id, fp), and text_hash if asked for: the fingerprint of each row's whole text as a signed long."""
     def run(batch):
-        texts = batch.column(1).cast(pa.binary())
-        fp = [fingerprint(t, shingle_words) for t in texts.to_pylist()]
-        return pa.record_batch([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        fp = [fingerprint(t, shingle_words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        return pa.record_batch([batch.column(0), pa.array(fp, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *names])
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")),
-                      run, "doc_id long, fp long")
+    names = ["text_hash"] if text_hash else []
+    own = [F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")]
+    return map_slices(docs.select(*own, *[hash_of_text().alias(c) for c in names]), run,
+                      ", ".join(f"{c} long" for c in ["doc_id", "fp", *names]))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -150,48 +159,74 @@ def block_stars(codes: np.ndarray, own: np.ndarray, max_bits: int) -> tuple[np.n
     return codes[some], codes[label[some]]
 
 
+def turned(codes: np.ndarray, turn: int, segments: int) -> np.ndarray:
+    """The codes' bits rotated so that segment ``turn`` leads."""
+    by = 64 * turn // segments
+    return (codes << np.uint64(by)) | (codes >> np.uint64(64 - by)) if by else codes
+
+
+def turned_back(codes: np.ndarray, turn: int, segments: int) -> np.ndarray:
+    by = 64 * turn // segments
+    return (codes >> np.uint64(by)) | (codes << np.uint64(64 - by)) if by else codes
+
+
 def stars(distinct: DataFrame, max_bits: int) -> DataFrame:
     """(u, v), v the smaller: fingerprints linked inside a block, as stars. ``distinct``: fp, once each."""
-    spark = distinct.sparkSession
     total = distinct.count()
     blocks = int(min(MAX_BLOCKS, max(1, total // BLOCK_CODES)))
-    ranked = distinct.withColumn("rank", gray_rank_column(F.col("fp")))
-    probabilities = [i / blocks for i in range(1, blocks)]
-    bounds = np.unique(ranked.approxQuantile("rank", probabilities, 0.1 / blocks)) if blocks > 1 else np.zeros(0)
-
-    def block_of(fp: np.ndarray) -> np.ndarray:
-        return np.searchsorted(bounds, (gray_rank(fp) >> np.uint64(11)).astype(np.float64), side="right")
-
-    def numbered(batches):
+    segments = max_bits + 1
+    free = np.uint64((1 << (64 - 64 // segments)) - 1)  # bits behind the leading segment
+    turns = range(segments)
+    ranks = distinct.select(*[gray_rank_column(F.expr(f"shiftleft(fp, {k}) | shiftrightunsigned(fp, {64 - k})") if k else F.col("fp"))
+                              .alias(f"rank{t}") for t in turns for k in [64 * t // segments]])
+    share = [i / blocks for i in range(1, blocks)]
+    found = ranks.approxQuantile(ranks.columns, share, 0.1 / blocks) if share else [[]] * segments
+    bounds = [np.unique(np.array(x, dtype=np.float64)) for x in found]
+
+    def block_of(rank: np.ndarray, turn: int) -> np.ndarray:
+        return np.searchsorted(bounds[turn], (rank >> np.uint64(11)).astype(np.float64), side="right")
+
+    def at_home(batches):
         for b in batches:
             fp = b.column(0).to_numpy().view(np.uint64)
-            yield pa.record_batch([pa.array(block_of(fp), pa.int32()), b.column(0)], ["block", "fp"])
-
-    # at most MAX_BLOCKS rows of a few numbers
-    tops = (distinct.mapInArrow(numbered, "block int, fp long").groupBy("block")
-            .agg(F.bit_and("fp").alias("both"), F.bit_or("fp").alias("either")).orderBy("block").collect())
-    number = np.array([r["block"] for r in tops], dtype=np.int64)
-    both = np.array([r["both"] for r in tops], dtype=np.int64).view(np.uint64)
-    either = np.array([r["either"] for r in tops], dtype=np.int64).view(np.uint64)
+            for t in turns:
+                code = turned(fp, t, segments)
+                yield pa.record_batch([pa.array(np.full(len(fp), t), pa.int32()), pa.array(block_of(gray_rank(code), t), pa.int32()),
+                                       pa.array(code.view(np.int64))], ["turn", "block", "code"])
+
+    # at most (max_bits + 1) x MAX_BLOCKS rows of a few numbers
+    tops = (distinct.mapInArrow(at_home, "turn int, block int, code long").groupBy("turn", "block")
+            .agg(F.bit_and("code").alias("both"), F.bit_or("code").alias("either")).collect())
+    both = [np.full(len(x) + 1, ALL_ONES) for x in bounds]
+    either = [np.zeros(len(x) + 1, dtype=np.uint64) for x in bounds]
+    for r in tops:
+        both[r["turn"]][r["block"]] = np.int64(r["both"]).view(np.uint64)
+        either[r["turn"]][r["block"]] = np.int64(r["either"]).view(np.uint64)
 
     def routed(batches):
-        index = GrayIndex(both, either) if len(both) else None
         for b in batches:
             fp = b.column(0).to_numpy().view(np.uint64)
-            home = block_of(fp)
-            for row, node in index.search(fp, max_bits):
-                to = number[node]
-                later = to >= home[row]
-                row, to = row[later], to[later]
-                yield pa.record_batch([pa.array(to, pa.int32()), pa.array(fp[row].view(np.int64)),
-                                       pa.array(to == home[row])], ["block", "fp", "own"])
-
-    def linked(part: pd.DataFrame) -> pd.DataFrame:
-        u, v = block_stars(part["fp"].to_numpy().view(np.uint64), part["own"].to_numpy(dtype=bool), max_bits)
+            for t in turns:
+                code = turned(fp, t, segments)
+                rank = gray_rank(code)
+                home, last = block_of(rank, t), block_of(rank | free, t)
+                n = last - home + 1
+                row = np.repeat(np.arange(len(fp)), n)
+                to = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - home, n)
+                apart = (code[row] ^ both[t][to]) & ~(both[t][to] ^ either[t][to])
+                near = np.bitwise_count(apart) <= max_bits
+                row, to = row[near], to[near]
+                yield pa.record_batch([pa.array(np.full(len(row), t), pa.int32()), pa.array(to, pa.int32()),
+                                       pa.array(code[row].view(np.int64)), pa.array(to == home[row])],
+                                      ["turn", "block", "code", "own"])
+
+    def linked(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        u, v = block_stars(part["code"].to_numpy().view(np.uint64), part["own"].to_numpy(dtype=bool), max_bits)
+        u, v = turned_back(u, int(key[0]), segments), turned_back(v, int(key[0]), segments)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    visits = distinct.mapInArrow(routed, "block int, fp long, own boolean")
-    found = visits.groupBy("block").applyInPandas(linked, "u long, v long").where("u <> v")
+    visits = distinct.mapInArrow(routed, "turn int, block int, code long, own boolean")
+    found = visits.groupBy("turn", "block").applyInPandas(linked, "u long, v long").where("u <> v")
     return checkpointed(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
@@ -222,17 +257,36 @@ def component_roots(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def fingerprint_roots(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root) of each distinct fingerprint: the smallest fingerprint of its component."""
+    distinct = checkpointed(prints.select("fp").distinct())
+    roots = component_roots(stars(distinct, max_bits))
+    return distinct.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): one row per document."""
     prints = checkpointed(fingerprints(docs, shingle_words))
-    firsts = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = component_roots(stars(firsts.select("fp"), max_bits))
-    named = firsts.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left")
-    named = named.withColumn("root", F.coalesce("root", "fp"))
+    named = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(fingerprint_roots(prints, max_bits), "fp")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows, with all their columns, of one document of each component: its smallest ``doc_id``
+    (null last), of rows that share it the one whose text has the smallest hash, of equal texts one.
+    """
+    prints = checkpointed(fingerprints(docs, shingle_words, text_hash=True))
+    roots = fingerprint_roots(prints, max_bits)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    keep = prints.groupBy("fp").agg(first.alias("first")).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = keep.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    rows = docs.withColumn("__hash_of_text", hash_of_text())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash_of_text") == F.col("__hash"))
+    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__hash_of_text"]).select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(read(spark, sf_dir, "documents")).select(
