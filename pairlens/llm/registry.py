@@ -1,9 +1,21 @@
 """Queries of this subpackage and their SQL, by name."""
 from __future__ import annotations
 
+import corpus_pipeline
+from pairlens.llm.op03_secrets import op3_secrets
+from pairlens.llm.op04_langid import op4_langid
+from pairlens.llm.op05_mixing import OP5_SQL, op5_mixing
+from pairlens.llm.op09_packing import op9_packing
 from pairlens.llm.op10_simhash import op10_simhash
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
+    "op4_langid": op4_langid,
+    "op5_mixing": op5_mixing,
+    "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_mixing": OP5_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
