@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from pairlens.llm.op02_permutation import op2_permutation
 from pairlens.llm.op03_secrets import op3_secrets
 from pairlens.llm.op04_langid import op4_langid
 from pairlens.llm.op05_mixing import OP5_SQL, op5_mixing
@@ -10,6 +11,7 @@ from pairlens.llm.op09_packing import op9_packing
 from pairlens.llm.op10_simhash import op10_simhash
 
 QUERIES = {
+    "op2_permutation": op2_permutation,
     "op3_secrets": op3_secrets,
     "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
