@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from pairlens.llm.op01_spotsigs import op1_spotsigs
 from pairlens.llm.op02_permutation import op2_permutation
 from pairlens.llm.op03_secrets import op3_secrets
 from pairlens.llm.op04_langid import op4_langid
@@ -11,6 +12,7 @@ from pairlens.llm.op09_packing import op9_packing
 from pairlens.llm.op10_simhash import op10_simhash
 
 QUERIES = {
+    "op1_spotsigs": op1_spotsigs,
     "op2_permutation": op2_permutation,
     "op3_secrets": op3_secrets,
     "op4_langid": op4_langid,
