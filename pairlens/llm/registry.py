@@ -8,6 +8,7 @@ from pairlens.llm.op03_secrets import op3_secrets
 from pairlens.llm.op04_langid import op4_langid
 from pairlens.llm.op05_mixing import OP5_SQL, op5_mixing
 from pairlens.llm.op07_sharding import op7_sharding
+from pairlens.llm.op08_transducer import op8_transducer
 from pairlens.llm.op09_packing import op9_packing
 from pairlens.llm.op10_simhash import op10_simhash
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
     "op7_sharding": op7_sharding,
+    "op8_transducer": op8_transducer,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
     "pipeline": corpus_pipeline.run,
