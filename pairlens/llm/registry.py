@@ -7,6 +7,7 @@ from pairlens.llm.op02_permutation import op2_permutation
 from pairlens.llm.op03_secrets import op3_secrets
 from pairlens.llm.op04_langid import op4_langid
 from pairlens.llm.op05_mixing import OP5_SQL, op5_mixing
+from pairlens.llm.op06_repair import op6_repair
 from pairlens.llm.op07_sharding import op7_sharding
 from pairlens.llm.op08_transducer import op8_transducer
 from pairlens.llm.op09_packing import op9_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
+    "op6_repair": op6_repair,
     "op7_sharding": op7_sharding,
     "op8_transducer": op8_transducer,
     "op9_packing": op9_packing,
