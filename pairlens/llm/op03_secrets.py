@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import map_slices, read, text_or_empty
+from pairlens.llm.common import map_slices, read, slices, text_or_empty
 
 # The pattern of each kind, and the shortest match (of group 2 for assignments) that counts.
 ASSIGN = r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -219,7 +219,7 @@ def redacted(docs: DataFrame, model: Model) -> DataFrame:
     size = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             cols = list(batch.columns)
             old = cols[at].to_pylist()
             new = [t if t is None or not s else masked(t, s) for t, s in zip(old, scan([t or "" for t in old], model))]

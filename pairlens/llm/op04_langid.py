@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import map_slices, read, string_bytes, string_offsets
+from pairlens.llm.common import map_slices, read, slices, string_bytes, string_offsets
 
 #: Bounds of the labelled sample: expected documents a language, and languages (the commonest).
 DOCS_PER_LANG = 400
@@ -42,6 +42,8 @@ RATE = 2.0
 REJECTED_SHARE = 0.002
 MARGIN = 0.05
 SEED = 17
+#: Text bytes scored at once: their windows take some fifty times as much memory.
+STEP_BYTES = 2 << 20
 UND = "und"
 
 
@@ -208,7 +210,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                                 pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return map_slices(rows, run, "doc_id long, lang_pred string, score double, rejected boolean", limit=2 << 20)
+    return map_slices(rows, run, "doc_id long, lang_pred string, score double, rejected boolean", limit=STEP_BYTES)
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -218,13 +220,12 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at)
-            keep = has_letters(texts.fill_null(""))
-            for lo in range(0, len(texts), 256):
+            for part in slices(batch, "text", STEP_BYTES):
+                texts = part.column(at).fill_null("")
+                keep = has_letters(texts)
                 if model is not None:
-                    p = softmax(scores(model, texts.slice(lo, 256).fill_null("")))
-                    keep[lo: lo + 256] &= p.max(axis=1) >= model.threshold
-            yield batch.filter(pa.array(keep))
+                    keep &= softmax(scores(model, texts)).max(axis=1) >= model.threshold
+                yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 
