@@ -59,7 +59,12 @@ def fingerprint(text: bytes, words_per_shingle: int) -> int:
 
 
 def hash_of_text() -> Column:
-    return F.xxhash64(text_or_empty())
+    """Hash of the text, and of whether the id is null."""
+    return F.xxhash64(text_or_empty(), F.col("doc_id").isNull())
+
+
+def id_or_zero(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("long"), F.lit(0))
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, text_hash: bool = False) -> DataFrame:
@@ -281,10 +286,10 @@ def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: i
     roots = fingerprint_roots(prints, max_bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     keep = prints.groupBy("fp").agg(first.alias("first")).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    keep = keep.select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
-    rows = docs.withColumn("__hash_of_text", hash_of_text())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash_of_text") == F.col("__hash"))
-    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__hash_of_text"]).select(*docs.columns)
+    keep = keep.select(id_or_zero("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    # the same two keys for the join and for equal rows: the texts are shuffled once
+    rows = docs.select("*", id_or_zero("doc_id").alias("__id"), hash_of_text().alias("__hash"))
+    return rows.join(keep, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
