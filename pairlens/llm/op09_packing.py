@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.llm.common import read, slices, text_or_empty, worker_cache
-from pairlens.llm.word_ids import encode_column, load_tokenizer
+from pairlens.llm.word_ids import ENCODE_BYTES, encode_column, load_tokenizer
 
 CAPACITY = 1024
 END_ID = 0
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         known = load_tokenizer(tokenizer)
         words = worker_cache(f"words:{tokenizer}", dict)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODE_BYTES):
                 ids, ends = encode_column(known, part.column(1), end_id, words)
                 found = []
                 for doc_id, lo, hi in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):

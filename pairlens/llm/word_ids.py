@@ -16,8 +16,10 @@ from pairlens.llm.common import string_bytes, string_offsets, worker_cache
 
 #: Words handed to the library as one string.
 WORDS_PER_CALL = 512
-#: Words whose ids a worker keeps between slices (about 150 bytes each); past it the store starts anew.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps between slices (about 200 bytes each); past it the store starts anew.
+CACHED_WORDS = 900_000
+#: Text bytes encoded at once.
+ENCODE_BYTES = 12 << 20
 #: ASCII control characters, blank included: white space, or unusual enough to go to the library whole.
 CONTROLS = 33
 
