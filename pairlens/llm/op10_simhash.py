@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import checkpointed, map_slices, read, text_or_empty
+from pairlens.llm.common import checkpointed, map_slices, read, text_or_empty, unused
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -286,10 +286,11 @@ def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: i
     roots = fingerprint_roots(prints, max_bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     keep = prints.groupBy("fp").agg(first.alias("first")).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    keep = keep.select(id_or_zero("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    key = unused(docs.columns, "__id", "__hash")
+    keep = keep.select(id_or_zero("first.doc_id").alias(key[0]), F.col("first.text_hash").alias(key[1]))
     # the same two keys for the join and for equal rows: the texts are shuffled once
-    rows = docs.select("*", id_or_zero("doc_id").alias("__id"), hash_of_text().alias("__hash"))
-    return rows.join(keep, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    rows = docs.select("*", id_or_zero("doc_id").alias(key[0]), hash_of_text().alias(key[1]))
+    return rows.join(keep, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
