@@ -122,7 +122,7 @@ def search(table: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
     total = rows.count()
     # a bounded sample: DRAWN x PIVOTS vectors
     sample = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id", "vec").limit(DRAWN * PIVOTS).toArrow()
-    pivots = spread_out(np.array(sample.column("vec").to_pylist(), dtype=np.float64).reshape(sample.num_rows, -1), PIVOTS)
+    pivots = spread_out(np.array(sample.column("vec").to_pylist(), dtype=np.float64), PIVOTS)
     prefix = min(PREFIX, len(pivots))
     blocks = max(1, -(-total // BLOCK_ROWS))
     tiles = max(1, -(-total // (every * QUERY_ROWS)))
