@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import checkpointed, read
+from pairlens.llm.common import checkpointed, read, unused
 
 SEED = "mix-1"
 #: Without explicit weights a source's target share goes with its mass to this power.
 POWER = 0.5
 #: Largest mean that the inversion accepts; beyond it exp(-mean) comes near the smallest double.
 MAX_RATE = 500.0
+#: Up to so many sources (a name and a number each) travel to all tasks.
+BROADCAST_SOURCES = 100_000
 
 
 def uniform(seed: str, doc_id: Column) -> Column:
@@ -66,10 +68,13 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, power:
                copy: str = "copy", order: str = "mix_key") -> DataFrame:
     """The copies of all rows in shuffled order, with their number from 1 and the hash that orders them."""
     kept = [c for c in docs.columns if c not in (copy, order)]
-    rate = rates(docs, weights, power).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    rows = docs.select(*kept).join(rate, F.col("source").eqNullSafe(F.col("__source")))
-    rows = rows.withColumn("__n", poisson(uniform(seed, F.col("doc_id")), F.col("__rate"))).where("__n > 0")
-    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    of, mean, n = unused([*kept, copy, order], "__source", "__rate", "__n")
+    rate = rates(docs, weights, power).select(F.col("source").alias(of), F.col("rate").alias(mean))
+    if rate.count() <= BROADCAST_SOURCES:  # else a join that Spark splits where a source is large
+        rate = F.broadcast(rate)
+    rows = docs.select(*kept).join(rate, F.col("source").eqNullSafe(F.col(of)))
+    rows = rows.withColumn(n, poisson(uniform(seed, F.col("doc_id")), F.col(mean))).where(F.col(n) > 0)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                             F.col(copy).cast("string")).cast("binary"))
     rows = rows.withColumn(order, key).select(*kept, copy, order)
