@@ -69,13 +69,13 @@ def subwords(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], list[
     n = len(texts)
     ends = string_offsets(texts)
     size = int(ends[-1])
-    data = np.full(size + n + 4, 32, dtype=np.uint8)  # a blank after each text, and room for the last windows
-    place = np.arange(size) + np.repeat(np.arange(n), np.diff(ends))
+    data = np.full(size + 2 * n + 4, 32, dtype=np.uint8)  # a blank on each side of a text, and room for the last windows
+    place = np.arange(size) + np.repeat(2 * np.arange(n) + 1, np.diff(ends))
     data[place] = _letters_only()[string_bytes(texts)]
-    starts = ends[:-1] + np.arange(n)
+    starts = ends[:-1] + 2 * np.arange(n)
     word = data != 32
     b = data.astype(np.uint32)
-    total = size + n
+    total = size + 2 * n
     buckets, inside = [], []
     h = b[:total] * np.uint32(0x01000193)
     ok = np.ones(total, dtype=bool)
