@@ -31,9 +31,6 @@ FAULT_WORDS = ("review", "reviewer", "instructor", "no information", "not mentio
 FAULT_ENDINGS = ("the", "a", ",", "however", "unfortunately", "however,", "unfortunately,",
                  "but", "but,")
 
-# ---- fixed values: packed generation-index options, parse order -----------
-GENERATION_INDEX_OPTIONS = ("-1", "0", "1", "2", "3")
-
 # ---- engine defaults (ours, not the explained pipeline's) -----------------
 DEFAULT_SEED = 42
 EXAMPLES_PER_ROLE = 5
@@ -42,12 +39,7 @@ NORM_EPS = 1e-12
 SIM_DIGITS = 9
 
 
-def explainer_name(kind: str, approach: int = 1, top_k: int = 1, threshold: float = 0.0) -> str:
-    """Display label of an explainer run (the label used in score tables)."""
-    if kind == "matching":
-        k = f"_k={top_k}" if top_k != 1 else ""
-        a = "2" if approach == 2 else ""
-        t = f"_t={threshold}" if threshold != 0 else ""
-        return f"Matching{a}{k}{t}"
-    return {"approx": "approx", "approx_exact": "approxiMatch", "generative": "generative",
-            "random": "random matching"}[kind]
+def run_label(kind: str, **settings) -> str:
+    """Label of an explainer run in score tables: its kind, then its settings by name."""
+    shown = ",".join(f"{name}={settings[name]:g}" for name in sorted(settings))
+    return f"{kind}({shown})" if shown else kind

@@ -41,7 +41,8 @@ def _conf_cols(treatment: str) -> list[str]:
 def query_rows(full_set: DataFrame, generation_index: str = "-1") -> DataFrame:
     """F17 + X14: queries are rows with a listed generation index and a text longer than 2."""
     idx = parse_generation_index(generation_index)
-    return full_set.where(F.col("generation_index").isin(idx) & (F.length("text") > 2))
+    size = F.col("text_len") if "text_len" in full_set.columns else F.char_length("text")
+    return full_set.where(F.col("generation_index").isin(idx) & (size > 2))
 
 
 def _q(queries: DataFrame, treatment: str) -> DataFrame:
@@ -212,34 +213,50 @@ def role_terms(cos: DataFrame, temperature: float | Column = 1.0, mean_loss: boo
                                             agg(F.exp(F.col("cos") / temperature)).alias("term"))
 
 
-def _pivot_terms(terms: DataFrame, value: str) -> DataFrame:
-    return terms.groupBy("q_rid").agg(*[F.max(F.when(F.col("role") == r, F.col(value))).alias(r) for r in ROLES])
+def _pivot_terms(terms: DataFrame, value: str, keys=("q_rid",)) -> DataFrame:
+    return terms.groupBy(*keys).agg(*[F.max(F.when(F.col("role") == r, F.col(value))).alias(r) for r in ROLES])
 
 
-def loss_v1(terms: DataFrame, coef: dict | None = None) -> DataFrame:
-    """-ln(P / (P + N)), P = t_cf + approx, N = negative + c_cf; absent role or coef 0 -> 0 (Q23)."""
+V0_TERMS = (("tcf_cfc", T_CF, C_CF), ("tcf_pax", T_CF, APPROX), ("tcf_nax", T_CF, NEGATIVE),
+            ("pax_cfc", APPROX, C_CF), ("pax_nax", APPROX, NEGATIVE), ("cfc_nax", C_CF, NEGATIVE))
+
+
+def v1_column(coef: dict | None = None) -> Column:
+    """A12 over pivoted role terms."""
     coef = coef or {r: 1.0 for r in ROLES}
-    p = _pivot_terms(terms, "term")
 
     def term(r):
         return F.lit(0.0) if coef[r] == 0 else F.coalesce(F.lit(float(coef[r])) * F.col(r), F.lit(0.0))
 
     pos = term(T_CF) + term(APPROX)
-    neg = term(NEGATIVE) + term(C_CF)
-    return p.select("q_rid", (-F.log(pos / (pos + neg))).alias("loss"))
+    return -F.log(pos / (pos + term(NEGATIVE) + term(C_CF)))
 
 
-V0_TERMS = (("tcf_cfc", T_CF, C_CF), ("tcf_pax", T_CF, APPROX), ("tcf_nax", T_CF, NEGATIVE),
-            ("pax_cfc", APPROX, C_CF), ("pax_nax", APPROX, NEGATIVE), ("cfc_nax", C_CF, NEGATIVE))
+def v0_column(coef: dict | None = None) -> Column:
+    """A13 over pivoted role terms."""
+    coef = coef or {t[0]: 1.0 for t in V0_TERMS}
+    return reduce(lambda x, y: x + y, [F.lit(float(coef[name])) * -F.log(F.col(a) / (F.col(a) + F.col(b)))
+                                       for name, a, b in V0_TERMS])
+
+
+def loss_v1(terms: DataFrame, coef: dict | None = None) -> DataFrame:
+    """-ln(P / (P + N)), P = t_cf + approx, N = negative + c_cf; absent role or coef 0 -> 0 (Q23)."""
+    return _pivot_terms(terms, "term").select("q_rid", v1_column(coef).alias("loss"))
 
 
 def loss_v0(terms: DataFrame, coef: dict | None = None) -> DataFrame:
     """Sum of six weighted -ln(a / (a + b)); an empty role makes the loss null (Q23)."""
-    coef = coef or {t[0]: 1.0 for t in V0_TERMS}
-    p = _pivot_terms(terms, "term")
-    total = reduce(lambda x, y: x + y, [F.lit(float(coef[name])) * -F.log(F.col(a) / (F.col(a) + F.col(b)))
-                                       for name, a, b in V0_TERMS])
-    return p.select("q_rid", total.alias("loss"))
+    return _pivot_terms(terms, "term").select("q_rid", v0_column(coef).alias("loss"))
+
+
+def loss_grid(cos: DataFrame, temperatures: list[float], v0_coef: dict) -> DataFrame:
+    """Mean loss of each version at each temperature, from one pass over the member cosines."""
+    hot = cos.withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures])))
+    terms = hot.groupBy("temperature", "q_rid", "role").agg(F.avg(F.exp(F.col("cos") / F.col("temperature"))).alias("term"))
+    both = _pivot_terms(terms, "term", ("temperature", "q_rid")).select("temperature", v1_column().alias("v1"), v0_column(v0_coef).alias("v0"))
+    rows = both.selectExpr("temperature", "stack(2, 1, v1, 0, v0) as (loss_version, loss)")
+    return rows.groupBy("loss_version", "temperature").agg(F.avg("loss").alias("mean_loss"),
+                                                           F.count("loss").cast("bigint").alias("n_queries"))
 
 
 def role_similarity(terms: DataFrame) -> DataFrame:

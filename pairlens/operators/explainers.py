@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.constants import CONCEPTS, DEFAULT_SEED, DIRECTIONS, explainer_name
+from pairlens.constants import CONCEPTS, DEFAULT_SEED, DIRECTIONS, run_label
 from pairlens.functions.labels import unpivot_concepts
 from pairlens.functions.seeded import md5_int
 from pairlens.operators.pairs import with_pair_id
@@ -58,9 +58,9 @@ def _others(c: str) -> list[str]:
 @dataclass
 class ExplainContext:
     pairs: DataFrame            # mined pairs of the explained splits
-    matching_set: DataFrame     # id, text, {c}_label, {c}_predictions
+    matching_set: DataFrame     # id, has_text, {c}_label, {c}_predictions
     generations: DataFrame      # accepted generations (g_id, original_id, intervention_aspect, target_direction, ...)
-    embeddings: DataFrame
+    embeddings: DataFrame       # text_id, vec (one model's)
     scorer: str = "linear_head"
     seed: int = DEFAULT_SEED
     materialize: bool = True
@@ -77,7 +77,7 @@ class ExplainContext:
             p = cell_pairs(self.pairs)
             cf = score_keys(p.select(F.col("id_counterfactual").alias("k")), self.embeddings, "k", self.scorer)
             cells = p.join(cf.withColumnRenamed("k", "id_counterfactual")
-                           .withColumnRenamed(PROBS, "cf_probs"), "id_counterfactual")
+                           .withColumnRenamed(PROBS, "cf_probs"), "id_counterfactual", "left")
             # compact (ids, labels, probabilities - no texts) and read by every explainer
             # branch: materialise once instead of re-scanning the review table per branch
             self._memo["cells"] = cut_lineage(cells) if self.materialize else cells
@@ -87,7 +87,7 @@ class ExplainContext:
     def candidates(self) -> DataFrame:
         """(cid, concept, label, o1..o3 other predictions, vec) - one row per concept."""
         if "cands" not in self._memo:
-            m = self.matching_set.where(F.col("text").isNotNull())
+            m = self.matching_set.where("has_text")
             m = attach_vectors(m, self.embeddings, "id")
             parts = ", ".join(
                 f"'{c}', `{c}_label`, " + ", ".join(f"`{o}_predictions`" for o in _others(c)) for c in CONCEPTS)
@@ -123,7 +123,7 @@ class MatchingExplainer:
 
     @property
     def name(self) -> str:
-        return self.description or explainer_name("matching", self.approach, self.top_k, self.threshold)
+        return self.description or run_label("matching", approach=self.approach, k=self.top_k, over=self.threshold)
 
     def matches(self, ctx: ExplainContext, k: int | None = None) -> DataFrame:
         """(qid=base id, concept, label=target, rank, cid, sim) for every distinct base/concept/target."""
@@ -153,27 +153,27 @@ class MatchingExplainer:
 def topk_sweep(ctx: ExplainContext, max_k: int = 49, threshold: float = 0.0) -> DataFrame:
     """The k = 1..max_k sweep of approach-1 matching from ONE ranking.
 
-    Running sums of the above-threshold match predictions over rank give the top-k
-    mean for every k at once; k beyond the available matches reuses all of them.
+    Running sums of the above-threshold match predictions over rank give the top-k mean for every k
+    at once; the last match stands for every k beyond it. Every pair has a row for every k, with a null
+    error where its block holds no match.
     """
     n = ctx.n_labels
-    mx = MatchingExplainer(top_k=max_k, threshold=threshold)
-    m = mx.matches(ctx).join(ctx.candidate_probs(), "cid")
+    m = MatchingExplainer(top_k=max_k, threshold=threshold).matches(ctx).join(ctx.candidate_probs(), "cid")
     keys = ["qid", "concept", "label"]
-    w = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    w = whole.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     above = F.col("sim") > threshold
-    run = m.select(*keys, "rank",
+    run = m.select(*keys, "rank", F.count(F.lit(1)).over(whole).alias("n"),
                    F.sum(above.cast("int")).over(w).alias("n_above"),
                    *[F.sum(F.when(above, F.element_at(F.col(PROBS), i + 1)).otherwise(0.0)).over(w).alias(f"s{i}")
                      for i in range(n)])
-    top = run.groupBy(*keys).agg(F.max("rank").alias("max_rank"))
-    ks = top.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_k)))).withColumn(
-        "rank", F.least(F.col("k"), F.col("max_rank")))
-    at_k = ks.join(run, [*keys, "rank"]).select(
+    last = F.when(F.col("rank") == F.col("n"), F.lit(max_k)).otherwise(F.col("rank"))
+    at_k = run.withColumn("k", F.explode(F.sequence(F.col("rank"), last))).select(
         *keys, "k", F.when(F.col("n_above") > 0, F.array(*[F.col(f"s{i}") / F.col("n_above") for i in range(n)]))
         .alias("m_probs"))
     cells = ctx.cells.withColumnRenamed("id_base", "qid").withColumnRenamed("target_direction", "label")
-    out = cells.join(at_k, keys).withColumn("icace_error", l2(F.col("m_probs"), F.col("cf_probs")))
+    cells = cells.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_k))))
+    out = cells.join(at_k, [*keys, "k"], "left").withColumn("icace_error", l2(F.col("m_probs"), F.col("cf_probs")))
     return out.withColumnRenamed("label", "target_direction").select("k", "split", "pair_id", *CELL, "icace_error")
 
 
@@ -187,7 +187,7 @@ class ApproxExplainer:
 
     @property
     def name(self) -> str:
-        return explainer_name("approx_exact" if self.exact else "approx")
+        return run_label("confounder-match", exact=int(self.exact))
 
     def pair_errors(self, ctx: ExplainContext) -> DataFrame:
         block = ["concept", "label", "o1", "o2", "o3"]
@@ -218,7 +218,7 @@ class GenerativeExplainer:
 
     @property
     def name(self) -> str:
-        return explainer_name("generative") + ("" if self.approach == 1 else "_2")
+        return run_label("generative", approach=self.approach)
 
     def pair_errors(self, ctx: ExplainContext) -> DataFrame:
         n = ctx.n_labels
@@ -244,19 +244,22 @@ class GenerativeExplainer:
 
 @dataclass
 class RandomExplainer:
-    """Per cell, as many candidates (target label) as pairs, drawn without
-    replacement in seeded order and zipped with the pairs in seeded order."""
+    """Per cell (split and directions), as many candidates (target label) as pairs, drawn without
+    replacement in the cell's own seeded order and zipped with the pairs in seeded order."""
 
     @property
     def name(self) -> str:
-        return explainer_name("random")
+        return run_label("random")
 
     def pair_errors(self, ctx: ExplainContext) -> DataFrame:
-        cells = seeded_positions(ctx.cells, ["split", *CELL], "pair_id", ctx.seed, salt_chars=2)
-        cands = seeded_positions(ctx.candidates.select("cid", "concept", "label"), ["concept", "label"], "cid",
-                                 ctx.seed, salt_chars=2)
-        cands = cands.select("cid", "concept", F.col("label").alias("target_direction"), "_pos")
-        out = (cells.drop("_n").join(cands, ["concept", "target_direction", "_pos"], "left")
+        group = ["split", *CELL]
+        cells = seeded_positions(ctx.cells, group, "pair_id", ctx.seed, salt_chars=2)
+        drawn = F.broadcast(ctx.cells.select(*group).distinct())  # at most a row a cell and split
+        cands = ctx.candidates.select("cid", "concept", F.col("label").alias("target_direction")).join(
+            drawn, ["concept", "target_direction"])
+        cands = cands.withColumn("draw", F.concat_ws("|", *group, F.col("cid").cast("string")))
+        cands = seeded_positions(cands, group, "draw", ctx.seed, salt_chars=2).select("cid", *group, "_pos")
+        out = (cells.drop("_n").join(cands, [*group, "_pos"], "left")
                .join(ctx.candidate_probs(), "cid", "left")
                .withColumn("icace_error", l2(F.col(PROBS), F.col("cf_probs"))))
         return _finish(out, self.name)

@@ -59,13 +59,18 @@ def drop_fault_endings(df: DataFrame) -> DataFrame:
     return df.where(ok_fault_endings())
 
 
+def hashed_keys(keys=DEDUP_KEYS) -> list[Column]:
+    """The keys with the text as its hash, so that no whole text is shuffled; a null stays null."""
+    return [F.sha2(k, 256).alias(f"{k}_hash") if k == "generation" else F.col(k) for k in keys]
+
+
 def first_per_key(df: DataFrame, keys=DEDUP_KEYS, order_col: str = "g_id") -> DataFrame:
     """Keep the first row (by ``order_col``) of each key group; null keys form a group.
 
     A min-aggregate (map-side partial) plus a semi-join on the unique row id: a hot
     key never lands whole in one task, unlike a row_number window.
     """
-    firsts = df.groupBy(*keys).agg(F.min(order_col).alias(order_col)).select(order_col)
+    firsts = df.groupBy(*hashed_keys(keys)).agg(F.min(order_col).alias(order_col)).select(order_col)
     return df.join(firsts, order_col, "left_semi")
 
 
@@ -92,7 +97,7 @@ def funnel_counts(df: DataFrame, by: list[str], order_col: str = "g_id") -> Data
     W1 is evaluated on the survivors of F1+F2 (as in the sequential funnel).
     """
     staged = df.withColumn("_s2", ok_successful() & ok_changed())
-    firsts = (staged.where("_s2").groupBy(*DEDUP_KEYS).agg(F.min(order_col).alias("_first"))
+    firsts = (staged.where("_s2").groupBy(*hashed_keys()).agg(F.min(order_col).alias("_first"))
               .select(F.col("_first").alias(order_col), F.lit(True).alias("_is_first")))
     staged = staged.join(firsts, order_col, "left")
     s1 = ok_successful()

@@ -20,6 +20,8 @@ from pairlens.functions.labels import concept_value
 
 PAIR_COLS = ("id", "original_id", "is_original", "edit_type", "description", "review_majority",
              *[f"{c}_aspect_majority" for c in CONCEPTS])
+#: What mining itself needs: ids and labels. Texts join where a report shows them.
+LABEL_COLS = tuple(c for c in PAIR_COLS if c != "description")
 
 
 def _side(df: DataFrame, cols, suffix: str):

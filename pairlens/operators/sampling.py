@@ -33,7 +33,7 @@ def seeded_positions(df: DataFrame, group_cols: list[str], id_col: str, seed: in
         *group_cols, "_salt",
         F.coalesce(F.sum("_cnt").over(wg.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(wg).alias(size_col))
+        F.sum("_cnt").over(wg).alias(size_col))  # one row per (group, salt)
     offsets = offsets.select([F.col(c).alias(f"_o_{c}") for c in [*group_cols, "_salt"]] + ["_off", size_col])
     cond = [d[c].eqNullSafe(offsets[f"_o_{c}"]) for c in [*group_cols, "_salt"]]
     joined = d.join(offsets, cond).drop(*[f"_o_{c}" for c in [*group_cols, "_salt"]])

@@ -13,30 +13,26 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.functions.vectors import softmax
+
 VECTOR = "vec"
 PROBS = "probs"
 
 
 def attach_vectors(df: DataFrame, embeddings: DataFrame, key_col: str, out_col: str = VECTOR) -> DataFrame:
-    """Stored vector of each text, looked up as ``vec_id = key mod |embeddings|``.
+    """Stored vector of each text from a table (text_id, vec); a text without one gets null.
 
-    Plain equi-join: at scale the embedding table is as large as the text table and
-    this is a shuffle join on ``vec_id``; AQE broadcasts it only when its measured
-    size is under the broadcast threshold.
+    Plain left equi-join: at scale the vector table is as large as the text table and this is a
+    shuffle join on the text id; AQE broadcasts it only when its measured size is small.
     """
-    n = embeddings.select(F.count(F.lit(1))).scalar()
-    keyed = df.withColumn("_vec_id", F.pmod(F.col(key_col), n))
-    vecs = embeddings.select(F.col("vec_id").alias("_vec_id"), F.col("embedding").alias(out_col))
-    return keyed.join(vecs, "_vec_id").drop("_vec_id")
+    vecs = embeddings.select(F.col("text_id").alias("_text_id"), F.col("vec").alias(out_col))
+    return df.join(vecs, F.col(key_col) == F.col("_text_id"), "left").drop("_text_id")
 
 
 def linear_head_probs(vec_col: str = VECTOR, n_labels: int = 5, scale: float = 4.0):
-    """Softmax of ``scale`` x the first ``n_labels`` vector dimensions."""
-    xs = [F.exp(F.lit(scale) * F.element_at(F.col(vec_col), i + 1).cast("double")) for i in range(n_labels)]
-    total = xs[0]
-    for x in xs[1:]:
-        total = total + x
-    return F.array(*[x / total for x in xs])
+    """Softmax of ``scale`` x the first ``n_labels`` vector dimensions; null without a vector."""
+    logits = F.array(*[F.lit(scale) * F.element_at(F.col(vec_col), i + 1).cast("double") for i in range(n_labels)])
+    return F.when(F.col(vec_col).isNotNull(), softmax(logits))
 
 
 @dataclass(frozen=True)

@@ -3,15 +3,15 @@
 Queries and candidates share block keys (e.g. concept + target label). Each block is
 cut into tiles of at most ``tile`` rows per side; a query row is replicated once per
 candidate tile of its block and a candidate row once per query tile, so every
-(query tile, candidate tile) cell meets in exactly one cogroup call. That call does
-one BLAS matmul on normalised vectors and emits only its local top-k per query -
+(query tile, candidate tile) cell meets in exactly one cogroup call. That call multiplies
+normalised vectors a few hundred queries at a time and emits only its local top-k per query -
 never the similarity matrix. A final ``row_number`` over (block, query) merges the
 partial top-k lists (at most k x #candidate tiles rows per query).
 
 Memory per task is bounded by ``tile`` x dim on each side, whatever the block size:
 a block holding a third of all rows just becomes more tiles. Tile counts come from
-per-block counts; the block-count table has one row per block (a fixed label domain),
-and AQE broadcasts it only if its measured size is small.
+per-block counts; that table has one row per block (a fixed label domain) and is broadcast,
+so vectors are shuffled once, by tile.
 
 Order: rounded similarity (9 digits) descending, then candidate id ascending.
 """
@@ -35,6 +35,10 @@ except ImportError:  # pragma: no cover
     import cloudpickle as _cp
 _cp.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows of a tile side (each vector is copied once per opposite tile), and query rows of one matmul.
+TILE_ROWS = 16_384
+MATMUL_ROWS = 256
+
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
     m = np.stack(vectors.to_numpy()).astype(np.float64, copy=False)
@@ -42,40 +46,58 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return m / np.maximum(norms, NORM_EPS)[:, None]
 
 
+def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k best by rounded similarity, then column, best first."""
+    rounded = np.round(sims, SIM_DIGITS)
+    if k < sims.shape[1]:
+        edge = np.partition(rounded, -k, axis=1)[:, -k]
+        rows, cols = np.nonzero(rounded >= edge[:, None])  # all that tie with the k-th
+    else:
+        rows, cols = np.nonzero(np.ones_like(rounded, dtype=bool))
+    order = np.lexsort((cols, -rounded[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, rows, side="left")
+    keep = np.arange(len(rows)) - first < k
+    return rows[keep], cols[keep]
+
+
 def _tile_topk_fn(block_cols, q_id, c_id, vec, k):
     def fn(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
         cols = [*block_cols, q_id, c_id, "sim"]
         if qp.empty or cp.empty:
             return pd.DataFrame({c: [] for c in cols})
         cp = cp.sort_values(c_id, kind="stable")
-        sims = _unit_rows(qp[vec]) @ _unit_rows(cp[vec]).T
-        kk = min(k, sims.shape[1])
-        if kk < sims.shape[1]:
-            # stable sort on rounded similarity keeps the lower candidate id first among ties
-            order = np.argsort(-np.round(sims, SIM_DIGITS), axis=1, kind="stable")[:, :kk]
-        else:
-            order = np.broadcast_to(np.arange(kk), (sims.shape[0], kk))
-        rows = np.repeat(np.arange(sims.shape[0]), kk)
-        cols_idx = order.reshape(-1)
+        left, right = _unit_rows(qp[vec]), _unit_rows(cp[vec])
+        found = []
+        for at in range(0, len(left), MATMUL_ROWS):  # bounds the similarity matrix held at once
+            sims = left[at: at + MATMUL_ROWS] @ right.T
+            r, c = _best(sims, min(k, sims.shape[1]))
+            found.append((r + at, c, sims[r, c]))
+        rows, picked, sim = (np.concatenate(x) for x in zip(*found))
         out = {c: np.repeat(qp[c].to_numpy()[:1], len(rows)) for c in block_cols}
         out[q_id] = qp[q_id].to_numpy()[rows]
-        out[c_id] = cp[c_id].to_numpy()[cols_idx]
-        out["sim"] = sims[rows, cols_idx]
+        out[c_id] = cp[c_id].to_numpy()[picked]
+        out["sim"] = sim
         return pd.DataFrame(out)
 
     return fn
 
 
 def cosine_topk(queries: DataFrame, candidates: DataFrame, k: int, block_cols: list[str],
-                q_id: str = "qid", c_id: str = "cid", vec: str = "vec", tile: int = 1024) -> DataFrame:
-    """Top-k candidates per (block, query) by cosine; returns block cols, q_id, rank, c_id, sim."""
-    q = queries.select(*block_cols, q_id, vec)
-    c = candidates.select(*block_cols, c_id, vec)
+                q_id: str = "qid", c_id: str = "cid", vec: str = "vec", tile: int = TILE_ROWS) -> DataFrame:
+    """Top-k candidates per (block, query) by cosine; returns block cols, q_id, rank, c_id, sim.
+
+    Rows without a vector take no part. The block keys are labels of fixed domains, so the table of
+    tile counts has at most their product of rows and travels to the tasks that hold the vectors.
+    """
+    q = queries.select(*block_cols, q_id, vec).where(F.col(vec).isNotNull())
+    c = candidates.select(*block_cols, c_id, vec).where(F.col(vec).isNotNull())
     nq = q.groupBy(*block_cols).agg(F.count(F.lit(1)).alias("_nq"))
     nc = c.groupBy(*block_cols).agg(F.count(F.lit(1)).alias("_nc"))
     tiles = nq.join(nc, block_cols).select(
         *block_cols, F.ceil(F.col("_nq") / tile).cast("int").alias("_qt"),
         F.ceil(F.col("_nc") / tile).cast("int").alias("_ct"))
+    tiles = F.broadcast(tiles)
     q2 = (q.join(tiles, block_cols)
           .withColumn("_qtile", F.pmod(F.xxhash64(q_id), F.col("_qt")).cast("int"))
           .withColumn("_ctile", F.explode(F.sequence(F.lit(0), F.col("_ct") - 1)))

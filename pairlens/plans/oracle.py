@@ -152,10 +152,13 @@ cells as (
   where p.split in ('validation', 'test') and it in ({CONS}) and iab in ({DIRS}) and iac in ({DIRS}))"""
 
 _MATCHING = f"""
+fx_halves as (
+  select id, case when row_number() over (order by {_md5('id')}, id) <= floor(count(*) over () / 2) then 'train' else 'matching' end as half
+  from fx_reviews where split = 'train_exclusive'),
 matching as (
   select id, description as text, {", ".join(f"{c}_aspect_majority as {c}_label" for c in CONCEPTS)},
          {", ".join(f"coalesce(nullif({c}_aspect_majority, ''), 'unknown') as {c}_pred" for c in CONCEPTS)}
-  from fx_reviews where split = 'train_exclusive' and substr({_md5('id')}, 1, 1) >= '8'),
+  from fx_reviews join fx_halves using (id) where half = 'matching'),
 cand as (
   {" union all ".join(
       f"select id as cid, '{c}' as concept, {c}_label as label, "

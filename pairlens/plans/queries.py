@@ -5,23 +5,31 @@ engine and the oracle compare by value.
 """
 from __future__ import annotations
 
+import re
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.constants import CONCEPTS, DEFAULT_SEED
+from pairlens.constants import CONCEPTS, DEFAULT_SEED, run_label
 from pairlens.operators import explainers as X
 from pairlens.operators import metrics as M
-from pairlens.operators.pairs import mine_pairs, original_diagnostics
+from pairlens.operators.pairs import LABEL_COLS, mine_pairs, original_diagnostics
 from pairlens.plans import oracle as O
 from pairlens.session import cut_lineage
-from pairlens.sources.fixtures import Fixtures
+from pairlens.sources.fixtures import MODELS, Fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 FLAGSHIP_K = 3
+MATCH_A1 = run_label("matching", approach=1, k=FLAGSHIP_K, over=0)
+MATCH_A2 = run_label("matching", approach=2, k=FLAGSHIP_K, over=0)
+SAMPLED = run_label("confounder-match", exact=0)
+EXACT = run_label("confounder-match", exact=1)
+GEN_MEAN = run_label("generative", approach=1)
+GEN_ONE = run_label("generative", approach=2)
+RANDOM = run_label("random")
 
 
 def register(name: str, sql: str | None = None):
@@ -37,10 +45,10 @@ def r6(c: str):
     return F.round(F.col(c), 6).alias(c)
 
 
-def context(spark: SparkSession, sf_dir: str, seed: int = DEFAULT_SEED) -> tuple[Fixtures, X.ExplainContext]:
+def context(spark: SparkSession, sf_dir: str, seed: int = DEFAULT_SEED, model: str = "base") -> tuple[Fixtures, X.ExplainContext]:
     fx = Fixtures(spark, sf_dir, seed)
-    ctx = X.ExplainContext(pairs=mine_pairs(fx.explained_reviews), matching_set=fx.matching_set,
-                           generations=fx.accepted_generations, embeddings=fx.table("embeddings"), seed=seed)
+    ctx = X.ExplainContext(pairs=mine_pairs(fx.explained_reviews, LABEL_COLS), matching_set=fx.matching_set,
+                           generations=fx.accepted_generations, embeddings=fx.vectors(model), seed=seed)
     return fx, ctx
 
 
@@ -51,7 +59,7 @@ select split, kind, id_base, id_counterfactual, original_id_base, it as interven
        rm_b as review_majority_base, rm_k as review_majority_counterfactual
 from pairs"""))
 def q_pairs_all(spark, sf_dir):
-    p = mine_pairs(Fixtures(spark, sf_dir).reviews)
+    p = mine_pairs(Fixtures(spark, sf_dir).reviews, LABEL_COLS)
     return p.select("split", "kind", "id_base", "id_counterfactual", "original_id_base", "intervention_type",
                     "intervention_aspect_base", "intervention_aspect_counterfactual", "review_majority_base",
                     "review_majority_counterfactual")
@@ -62,7 +70,7 @@ select split, it as intervention_type, iab as intervention_aspect_base, iac as i
        count(*)::bigint as n_pairs
 from pairs group by all"""))
 def q_pairs_by_cell(spark, sf_dir):
-    p = mine_pairs(Fixtures(spark, sf_dir).reviews)
+    p = mine_pairs(Fixtures(spark, sf_dir).reviews, LABEL_COLS)
     return p.groupBy("split", "intervention_type", "intervention_aspect_base", "intervention_aspect_counterfactual").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_pairs"))
 
@@ -104,14 +112,14 @@ def _errors_out(df: DataFrame) -> DataFrame:
                      r6("icace_error"))
 
 
-@register("icace_matching_a1", _matching_a1_sql(FLAGSHIP_K, 0.0, "Matching_k=3"))
+@register("icace_matching_a1", _matching_a1_sql(FLAGSHIP_K, 0.0, MATCH_A1))
 def q_icace_matching_a1(spark, sf_dir):
     _, ctx = context(spark, sf_dir)
     return _errors_out(X.MatchingExplainer(top_k=FLAGSHIP_K).pair_errors(ctx))
 
 
 @register("icace_matching_a2", O.with_prelude(f"""
-select 'Matching2_k=3' as explainer, c.split, c.pair_id, c.concept, c.base_direction, c.target_direction,
+select '{MATCH_A2}' as explainer, c.split, c.pair_id, c.concept, c.base_direction, c.target_direction,
        round(avg({O.l2('e.p', 'c.c')}), 6) as icace_error
 from cells c left join ranked r on r.qid = c.id_base and r.concept = c.concept and r.label = c.target_direction
      and r.sim > 0.0
@@ -133,7 +141,7 @@ SCORE_CELLS_SQL = O.with_prelude(f"""
 select explainer, split, concept, base_direction, target_direction, count(*)::bigint as n_pairs,
        count(icace_error)::bigint as n_valid, round(avg(icace_error), 6) as icace_error
 from (
-  select 'Matching_k=3' as explainer, c.split, c.concept, c.base_direction, c.target_direction,
+  select '{MATCH_A1}' as explainer, c.split, c.concept, c.base_direction, c.target_direction,
          {O.l2('m.m', 'c.c')} as icace_error
   from cells c left join (
     select r.qid, r.concept, r.label, avg(e.p1) as m1, avg(e.p2) as m2, avg(e.p3) as m3, avg(e.p4) as m4, avg(e.p5) as m5
@@ -144,6 +152,24 @@ group by all""", O.ranked_matches(FLAGSHIP_K))
 register("score_cells", SCORE_CELLS_SQL)(flagship)
 
 
+def _model_sql(sql: str, shift: int) -> str:
+    """The same SQL over another model's vectors."""
+    return re.sub(r"(\w+\.\w+) % " + re.escape(O.N_EMB), rf"(\1 + {shift}) % {O.N_EMB}", sql)
+
+
+@register("score_cells_by_model", " union all ".join(
+    f"select '{m}' as model, * from ({_model_sql(SCORE_CELLS_SQL, shift)}) m{i}" for i, (m, shift) in enumerate(MODELS.items())))
+def q_score_cells_by_model(spark, sf_dir):
+    """The flagship's cells for each scoring model."""
+    out = None
+    for model in MODELS:
+        _, ctx = context(spark, sf_dir, model=model)
+        cells = M.score_cells(X.MatchingExplainer(top_k=FLAGSHIP_K).pair_errors(ctx))
+        cells = cells.select(F.lit(model).alias("model"), *M.CELL_KEYS, "n_pairs", "n_valid", r6("icace_error"))
+        out = cells if out is None else out.unionByName(cells)
+    return out
+
+
 # ---------------------------------------------------------------- phase 3: other explainers
 # Oracle per-pair error bodies: (explainer, split, pair_id, concept, base_direction, target_direction,
 # icace_error) plus the extra CTEs each needs.
@@ -155,14 +181,14 @@ _OTHERS_SQL = ", ".join(
 _BLOCK_ON = "s.concept = b.concept and s.label = b.target_direction and s.o1 = b.o1 and s.o2 = b.o2 and s.o3 = b.o3"
 
 ERR_SQL: dict[str, tuple[str, str]] = {
-    "Matching_k=3": (f"""
-select 'Matching_k=3' as explainer, {_CELL_OUT}, {O.l2('m.m', 'c.c')} as icace_error
+    MATCH_A1: (f"""
+select '{MATCH_A1}' as explainer, {_CELL_OUT}, {O.l2('m.m', 'c.c')} as icace_error
 from cells c left join (
   select r.qid, r.concept, r.label, avg(e.p1) as m1, avg(e.p2) as m2, avg(e.p3) as m3, avg(e.p4) as m4, avg(e.p5) as m5
   from ranked r join emb e on e.vec_id = r.cid % {O.N_EMB} where r.sim > 0.0 group by r.qid, r.concept, r.label) m
 on m.qid = c.id_base and m.concept = c.concept and m.label = c.target_direction""", O.ranked_matches(FLAGSHIP_K)),
-    "approx": (f"""
-select 'approx' as explainer, {_CELL_OUT.replace('c.', 'b.')}, {O.l2('e.p', 'b.c')} as icace_error
+    SAMPLED: (f"""
+select '{SAMPLED}' as explainer, {_CELL_OUT.replace('c.', 'b.')}, {O.l2('e.p', 'b.c')} as icace_error
 from abase b left join (select distinct concept, label, o1, o2, o3, n from apos) s on {_BLOCK_ON}
 left join apos p on p.concept = s.concept and p.label = s.label and p.o1 = s.o1 and p.o2 = s.o2 and p.o3 = s.o3
      and p.pos = {O._md5_int('b.pair_id')} % s.n
@@ -170,8 +196,8 @@ left join emb e on e.vec_id = p.cid % {O.N_EMB}""", f"""
 abase as (select c.*, {_OTHERS_SQL} from cells c),
 apos as (select *, row_number() over (partition by concept, label, o1, o2, o3 order by {O._md5('cid')}, cid) - 1 as pos,
                 count(*) over (partition by concept, label, o1, o2, o3) as n from cand)"""),
-    "approxiMatch": (f"""
-select 'approxiMatch' as explainer, {_CELL_OUT.replace('c.', 'b.')}, {O.l2('e.p', 'b.c')} as icace_error
+    EXACT: (f"""
+select '{EXACT}' as explainer, {_CELL_OUT.replace('c.', 'b.')}, {O.l2('e.p', 'b.c')} as icace_error
 from xbase b left join xbest x on x.qid = b.id_base and x.concept = b.concept and x.label = b.target_direction
      and x.o1 = b.o1 and x.o2 = b.o2 and x.o3 = b.o3
 left join emb e on e.vec_id = x.cid % {O.N_EMB}""", f"""
@@ -183,16 +209,16 @@ xbest as (
                                           order by round(list_dot_product(eq.u, ec.u), 9) desc, k.cid) as rk
     from xq q join cand k on k.concept = q.concept and k.label = q.label and k.o1 = q.o1 and k.o2 = q.o2 and k.o3 = q.o3
     join emb eq on eq.vec_id = q.qid % {O.N_EMB} join emb ec on ec.vec_id = k.cid % {O.N_EMB}) z where rk = 1)"""),
-    "generative": (f"""
-select 'generative' as explainer, {_CELL_OUT}, {O.l2('m.m', 'c.c')} as icace_error
+    GEN_MEAN: (f"""
+select '{GEN_MEAN}' as explainer, {_CELL_OUT}, {O.l2('m.m', 'c.c')} as icace_error
 from cells c left join (
   select g.original_id, g.intervention_aspect, g.target_direction, avg(e.p1) as m1, avg(e.p2) as m2, avg(e.p3) as m3,
          avg(e.p4) as m4, avg(e.p5) as m5
   from fx_accepted g join emb e on e.vec_id = g.g_id % {O.N_EMB} where g.generation is not null group by 1, 2, 3) m
 on m.original_id = c.original_id_base and m.intervention_aspect = c.concept and m.target_direction = c.target_direction""",
                    ""),
-    "generative_2": (f"""
-select 'generative_2' as explainer, {_CELL_OUT}, {O.l2('e.p', 'c.c')} as icace_error
+    GEN_ONE: (f"""
+select '{GEN_ONE}' as explainer, {_CELL_OUT}, {O.l2('e.p', 'c.c')} as icace_error
 from cells c left join (select distinct original_id, intervention_aspect, target_direction, n from gpos) s
   on s.original_id = c.original_id_base and s.intervention_aspect = c.concept and s.target_direction = c.target_direction
 left join gpos g on g.original_id = s.original_id and g.intervention_aspect = s.intervention_aspect
@@ -203,26 +229,26 @@ gpos as (select g_id, original_id, intervention_aspect, target_direction,
                                    order by {O._md5('g_id')}, g_id) - 1 as pos,
                 count(*) over (partition by original_id, intervention_aspect, target_direction) as n
          from fx_accepted where generation is not null)"""),
-    "random matching": (f"""
-select 'random matching' as explainer, {_CELL_OUT.replace('c.', 'p.')}, {O.l2('e.p', 'p.c')} as icace_error
-from ppos p left join rpos r on r.concept = p.concept and r.label = p.target_direction and r.pos = p.pos
+    RANDOM: (f"""
+select '{RANDOM}' as explainer, {_CELL_OUT.replace('c.', 'p.')}, {O.l2('e.p', 'p.c')} as icace_error
+from ppos p left join rpos r on r.split = p.split and r.concept = p.concept and r.base_direction = p.base_direction
+  and r.label = p.target_direction and r.pos = p.pos
 left join emb e on e.vec_id = r.cid % {O.N_EMB}""", f"""
 ppos as (select c.*, row_number() over (partition by split, concept, base_direction, target_direction
                                         order by {O._md5('pair_id')}, pair_id) - 1 as pos from cells c),
-rpos as (select cid, concept, label, row_number() over (partition by concept, label order by {O._md5('cid')}, cid) - 1 as pos
-         from cand)"""),
+rdraw as (select k.cid, k.concept, k.label, d.split, d.base_direction,
+                 concat_ws('|', d.split, k.concept, d.base_direction, k.label, cast(k.cid as varchar)) as draw
+          from cand k join (select distinct split, concept, base_direction, target_direction from cells) d
+            on d.concept = k.concept and d.target_direction = k.label),
+rpos as (select *, row_number() over (partition by split, concept, base_direction, label order by {O._md5('draw')}, draw) - 1 as pos
+         from rdraw)"""),
 }
 
 
 def _explainer(name: str):
-    return {
-        "Matching_k=3": X.MatchingExplainer(top_k=FLAGSHIP_K),
-        "approx": X.ApproxExplainer(exact=False),
-        "approxiMatch": X.ApproxExplainer(exact=True),
-        "generative": X.GenerativeExplainer(approach=1),
-        "generative_2": X.GenerativeExplainer(approach=2),
-        "random matching": X.RandomExplainer(),
-    }[name]
+    return {e.name: e for e in (
+        X.MatchingExplainer(top_k=FLAGSHIP_K), X.ApproxExplainer(exact=False), X.ApproxExplainer(exact=True),
+        X.GenerativeExplainer(approach=1), X.GenerativeExplainer(approach=2), X.RandomExplainer())}[name]
 
 
 def _err_oracle(names: list[str]) -> tuple[str, str]:
@@ -243,14 +269,14 @@ def _register_explainer(qname: str, ename: str):
     register(qname, sql)(q)
 
 
-_register_explainer("icace_approx_sample", "approx")
-_register_explainer("icace_approx_exact", "approxiMatch")
-_register_explainer("icace_generative", "generative")
-_register_explainer("icace_generative_sampled", "generative_2")
-_register_explainer("icace_random", "random matching")
+_register_explainer("icace_approx_sample", SAMPLED)
+_register_explainer("icace_approx_exact", EXACT)
+_register_explainer("icace_generative", GEN_MEAN)
+_register_explainer("icace_generative_sampled", GEN_ONE)
+_register_explainer("icace_random", RANDOM)
 
 # ---------------------------------------------------------------- phase 4: report tables
-REPORT_EXPLAINERS = ["Matching_k=3", "approx", "generative", "random matching"]
+REPORT_EXPLAINERS = [MATCH_A1, SAMPLED, GEN_MEAN, RANDOM]
 
 
 def all_errors(spark, sf_dir) -> DataFrame:
@@ -407,12 +433,10 @@ def q_aspect_training_set(spark, sf_dir):
                                                                          "label")
 
 
-@register("split_halves", O.with_prelude(
-    f"select id, case when substr({O._md5('id')}, 1, 1) >= '8' then 'matching' else 'train' end as half "
-    "from fx_reviews where split = 'train_exclusive'"))
+@register("split_halves", O.with_prelude("select id, half from fx_halves"))
 def q_split_halves(spark, sf_dir):
     r = Fixtures(spark, sf_dir).reviews.where(F.col("split") == "train_exclusive")
-    return I.split_halves(r).select("id", "half")
+    return I.split_halves(r.select("id"))
 
 
 @register("full_set", O.with_prelude(
@@ -448,7 +472,7 @@ _QI = ", ".join(str(i) for i in I.parse_generation_index(GEN_INDEX))
 
 def contrastive_parts(spark, sf_dir, seed: int = DEFAULT_SEED):
     fx = Fixtures(spark, sf_dir, seed)
-    fs = fx.full_set
+    fs = fx.mining_set
     qs = C.query_rows(fs, GEN_INDEX)
     tcf = C.treatment_members(fs, qs, TREATMENT)
     ccf = C.confounder_members(fs, qs, TREATMENT)
@@ -586,7 +610,7 @@ def q_contrastive_samples(spark, sf_dir):
 
 def _terms(spark, sf_dir, temperature=1.0):
     fx, fs, samples = kept_samples(spark, sf_dir)
-    cos = C.member_cosines(samples, fs, fx.table("embeddings"))
+    cos = C.member_cosines(samples, fs, fx.vectors())
     return C.role_terms(cos, temperature, mean_loss=True)
 
 
@@ -638,23 +662,10 @@ select loss_version, temperature, round(avg(loss), 6) as mean_loss, count(loss):
   union all select 0, 0.1::double, {_v0("01", V0_SWEEP)} from cpiv) g
 group by all"""))
 def q_loss_grid(spark, sf_dir):
-    """Every (loss version, temperature) combination from ONE cosine pass.
-
-    Temperatures are expanded on the per-member cosine rows by exploding a literal
-    array (the grid is a fixed parameter list), then each loss is an aggregate.
-    """
+    """Every (loss version, temperature) combination from one cosine pass."""
     fx, fs, samples = kept_samples(spark, sf_dir)
-    cos = C.member_cosines(samples, fs, fx.table("embeddings"))
-    cos = cos.withColumn("temperature", F.explode(F.array(F.lit(1.0), F.lit(0.1))))
-    agg = cos.groupBy("temperature", "q_rid", "role").agg(F.avg(F.exp(F.col("cos") / F.col("temperature"))).alias("term"))
-    out = None
-    for t in (1.0, 0.1):
-        terms = agg.where(F.col("temperature") == t)
-        for version, frame in ((1, C.loss_v1(terms)), (0, C.loss_v0(terms, V0_SWEEP))):
-            f = frame.select(F.lit(version).alias("loss_version"), F.lit(t).alias("temperature"), "loss")
-            out = f if out is None else out.unionByName(f)
-    return out.groupBy("loss_version", "temperature").agg(
-        F.round(F.avg("loss"), 6).alias("mean_loss"), F.count("loss").cast("bigint").alias("n_queries"))
+    cos = C.member_cosines(samples, fs, fx.vectors())
+    return C.loss_grid(cos, [1.0, 0.1], V0_SWEEP).withColumn("mean_loss", F.round("mean_loss", 6))
 
 
 # ---------------------------------------------------------------- phase 9: top-k sweep
@@ -667,8 +678,6 @@ select k::bigint as k, split, concept, base_direction, target_direction, count(*
 from (
   select kk.k, c.split, c.concept, c.base_direction, c.target_direction, {O.l2('m.m', 'c.c')} as err
   from cells c cross join range(1, {SWEEP_K} + 1) kk(k)
-  join (select distinct qid, concept, label from ranked) qk
-    on qk.qid = c.id_base and qk.concept = c.concept and qk.label = c.target_direction
   left join (
     select kk.k, r.qid, r.concept, r.label, avg(e.p1) as m1, avg(e.p2) as m2, avg(e.p3) as m3, avg(e.p4) as m4,
            avg(e.p5) as m5

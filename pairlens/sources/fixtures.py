@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.constants import CONCEPTS, DEFAULT_SEED, DIRECTIONS
-from pairlens.functions.seeded import md5_order
 from pairlens.operators import hygiene
+from pairlens.operators.ingest import split_halves
 from pairlens.session import cut_lineage
 from pairlens.sources.tables import read_table
 
@@ -112,9 +112,17 @@ def full_set(revs: DataFrame, clean_gens: DataFrame) -> DataFrame:
     return u.select((F.col("k") * 2 + F.col("src")).alias("rid"), "*")
 
 
-def matching_half(seed: int = DEFAULT_SEED) -> Column:
-    """U2 predicate: the seeded 50/50 split of train_exclusive; True = matching half."""
-    return F.substr(md5_order(seed, "id"), F.lit(1), F.lit(1)) >= F.lit("8")
+#: Stand-in scoring models: each reads another stored vector of the same text.
+MODELS = {"base": 0, "shift-7": 7, "shift-31": 31}
+
+
+def text_vectors(text_ids: DataFrame, embeddings: DataFrame, model: str = "base") -> DataFrame:
+    """(text_id, model, vec): the given tables hold no vectors of texts, so text k of a model takes vector
+    (k + the model's shift) mod their number."""
+    n = embeddings.select(F.count(F.lit(1))).scalar()
+    keyed = text_ids.select("text_id", F.pmod(F.col("text_id") + MODELS[model], n).alias("vec_id"))
+    return keyed.join(embeddings.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select(
+        "text_id", F.lit(model).alias("model"), "vec")
 
 
 @dataclass
@@ -155,14 +163,20 @@ class Fixtures:
             hygiene.decode_predictions(self.clean_generations, strict=False)))
 
     @property
-    def full_set(self) -> DataFrame:
-        """Reused by many self-joins (contrastive mining): materialised once with a reliable
-        checkpoint into the cluster's shared ``spark.checkpoint.dir``, which also cuts lineage."""
-        return self._memo("fx_full_set", lambda: cut_lineage(self.full_set_plan))
+    def mining_set(self) -> DataFrame:
+        """The full set with each text's hash and length in its place, reused by many self-joins:
+        materialised once, narrow, with a reliable checkpoint."""
+        return self._memo("fx_mining_set", lambda: cut_lineage(self.full_set.withColumn(
+            "text_len", F.char_length("text")).withColumn("text", F.sha2("text", 256))))
+
+    def vectors(self, model: str = "base") -> DataFrame:
+        """Stored vectors of every review and generation (their ids share one space)."""
+        ids = self.reviews.select(F.col("id").alias("text_id")).union(self.generations.select("g_id")).distinct()
+        return self._memo(("fx_vectors", model), lambda: text_vectors(ids, self.table("embeddings"), model))
 
     @property
-    def full_set_plan(self) -> DataFrame:
-        return self._memo("fx_full_set_plan", lambda: full_set(self.reviews, self.clean_generations))
+    def full_set(self) -> DataFrame:
+        return self._memo("fx_full_set", lambda: full_set(self.reviews, self.clean_generations))
 
     @property
     def explained_reviews(self) -> DataFrame:
@@ -172,9 +186,9 @@ class Fixtures:
     @property
     def matching_set(self) -> DataFrame:
         """Candidates: the matching half of train_exclusive, ``{c}_label`` = aspect majority."""
-        return self._memo("fx_matching", lambda: self.reviews.where(
-            (F.col("split") == "train_exclusive") & matching_half(self.seed)).select(
-            "id", "original_id", F.col("description").alias("text"),
+        pool = self.reviews.where(F.col("split") == "train_exclusive").select(
+            "id", "original_id", F.col("description").isNotNull().alias("has_text"),
             *[F.col(f"{c}_aspect_majority").alias(f"{c}_label") for c in CONCEPTS],
             *[F.coalesce(F.nullif(F.col(f"{c}_aspect_majority"), F.lit("")), F.lit("unknown")).alias(f"{c}_predictions")
-              for c in CONCEPTS]))
+              for c in CONCEPTS])
+        return self._memo("fx_matching", lambda: split_halves(pool, self.seed).where("half = 'matching'").drop("half"))

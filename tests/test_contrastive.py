@@ -7,7 +7,7 @@ from tests.conftest import SF_SMALL
 
 def test_role_invariants(spark):
     fx = Fixtures(spark, SF_SMALL)
-    fs = fx.full_set
+    fs = fx.mining_set
     qs = C.query_rows(fs, "-101")
     tcf = C.treatment_members(fs, qs, "food")
     ccf = C.confounder_members(fs, qs, "food")

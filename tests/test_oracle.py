@@ -1,11 +1,10 @@
 import pytest
 
+from pairlens.plans.queries import ORACLE
 from tests.conftest import SF_SMALL
 from tools.check_oracle import compare, duck
 
-QUERIES = ["pairs_all", "pairs_diagnostics", "score_cells", "icace_matching_a2", "icace_approx_sample",
-           "icace_approx_exact", "icace_generative_sampled", "icace_random", "gen_funnel", "gen_treatment_filter",
-           "encode_3way", "full_set", "contrastive_role_counts", "contrastive_samples", "contrastive_loss_v0", "contrastive_eval_roles"]
+QUERIES = sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")
