@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pairlens.constants import CONCEPTS, DEFAULT_SEED, DIRECTIONS, run_label
 from pairlens.functions.labels import unpivot_concepts
 from pairlens.functions.seeded import md5_int
+from pairlens.functions.vectors import l2_distance, subtract
 from pairlens.operators.pairs import with_pair_id
 from pairlens.operators.sampling import seeded_positions
 from pairlens.operators.scoring import PROBS, VECTOR, attach_vectors, get_scorer, score_keys
@@ -177,6 +178,38 @@ def topk_sweep(ctx: ExplainContext, max_k: int = 49, threshold: float = 0.0) ->
     return out.withColumnRenamed("label", "target_direction").select("k", "split", "pair_id", *CELL, "icace_error")
 
 
+def match_report(ctx: ExplainContext, texts: DataFrame, top_k: int = 3, threshold: float = 0.0) -> DataFrame:
+    """Per pair the factual text, its matched texts match_1 .. match_k (null beyond the matches), the
+    counterfactual text and the approach-1 error. ``texts``: id, description; joined last, once a column."""
+    ex = MatchingExplainer(top_k=top_k, threshold=threshold)
+    keys = ["qid", "concept", "label"]
+    wide = ex.matches(ctx).where(F.col("sim") > threshold).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("rank") == i, F.col("cid"))).alias(f"cid_{i}") for i in range(1, top_k + 1)])
+    out = ex.pair_errors(ctx).join(ctx.cells.select("pair_id", "id_base", "id_counterfactual"), "pair_id")
+    out = out.join(wide.withColumnsRenamed({"qid": "id_base", "label": "target_direction"}),
+                   ["id_base", "concept", "target_direction"], "left")
+    shown = {"id_base": "factual", "id_counterfactual": "counterfactual", **{f"cid_{i}": f"match_{i}" for i in range(1, top_k + 1)}}
+    for key, name in shown.items():
+        out = out.join(texts.select(F.col("id").alias(key), F.col("description").alias(name)), key, "left")
+    return out.select(*ERR_COLS, *shown.values())
+
+
+def icace_vectors(ctx: ExplainContext, top_k: int = 3, threshold: float = 0.0) -> DataFrame:
+    """Per pair the ICaCE vector (counterfactual less base prediction), the explanation vector (mean matched
+    less base prediction) and the L2 distance of the two."""
+    n = ctx.n_labels
+    ex = MatchingExplainer(top_k=top_k, threshold=threshold)
+    keys = ["qid", "concept", "label"]
+    mean = (ex.matches(ctx).where(F.col("sim") > threshold).join(ctx.candidate_probs(), "cid")
+            .groupBy(*keys).agg(mean_probs(n).alias("m_probs")))
+    base = score_keys(ctx.cells.select(F.col("id_base").alias("qid")), ctx.embeddings, "qid", ctx.scorer).withColumnRenamed(PROBS, "b_probs")
+    cells = ctx.cells.withColumnsRenamed({"id_base": "qid", "target_direction": "label"})
+    out = cells.join(base, "qid", "left").join(mean, keys, "left").withColumns({
+        "icace": subtract("cf_probs", "b_probs"), "explanation": subtract("m_probs", "b_probs")})
+    out = out.withColumn("icace_error", l2_distance("explanation", "icace")).withColumnRenamed("label", "target_direction")
+    return out.select("split", "pair_id", *CELL, "icace", "explanation", "icace_error")
+
+
 @dataclass
 class ApproxExplainer:
     """Candidates with the target label and the base's other three concept predictions

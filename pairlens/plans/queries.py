@@ -170,6 +170,45 @@ def q_score_cells_by_model(spark, sf_dir):
     return out
 
 
+_BEST = f"""
+bm as (
+  select r.qid, r.concept, r.label, avg(e.p1) as m1, avg(e.p2) as m2, avg(e.p3) as m3, avg(e.p4) as m4, avg(e.p5) as m5,
+         max(case when r.rank = 1 then r.cid end) as cid1, max(case when r.rank = 2 then r.cid end) as cid2,
+         max(case when r.rank = 3 then r.cid end) as cid3
+  from ranked r left join emb e on e.vec_id = r.cid % {O.N_EMB} where r.sim > 0.0 group by r.qid, r.concept, r.label)"""
+
+
+@register("best_match_report", O.with_prelude(f"""
+select c.split, c.pair_id, c.concept, c.base_direction, c.target_direction, round({O.l2('m.m', 'c.c')}, 6) as icace_error,
+       md5(f.description) as factual, md5(k.description) as counterfactual, md5(t1.description) as match_1,
+       md5(t2.description) as match_2, md5(t3.description) as match_3
+from cells c join fx_reviews f on f.id = c.id_base join fx_reviews k on k.id = c.id_counterfactual
+left join bm m on m.qid = c.id_base and m.concept = c.concept and m.label = c.target_direction
+left join fx_reviews t1 on t1.id = m.cid1 left join fx_reviews t2 on t2.id = m.cid2 left join fx_reviews t3 on t3.id = m.cid3""",
+    O.ranked_matches(FLAGSHIP_K) + "," + _BEST))
+def q_best_match_report(spark, sf_dir):
+    """What a user reads: factual, matched and counterfactual text of every pair (as md5 here), with the error."""
+    fx, ctx = context(spark, sf_dir)
+    r = X.match_report(ctx, fx.reviews.select("id", "description"), FLAGSHIP_K)
+    shown = ["factual", "counterfactual", "match_1", "match_2", "match_3"]
+    return r.select("split", "pair_id", "concept", "base_direction", "target_direction", r6("icace_error"),
+                    *[F.md5(c).alias(c) for c in shown])
+
+
+@register("pair_icace_vectors", O.with_prelude(
+    "select c.split, c.pair_id, c.concept, c.base_direction, c.target_direction, "
+    + ", ".join(f"round(c.c{i} - b.p{i}, 6) as icace_{i}, round(m.m{i} - b.p{i}, 6) as explanation_{i}" for i in range(1, 6))
+    + f", round({O.l2('m.m', 'c.c')}, 6) as icace_error from cells c left join emb b on b.vec_id = c.id_base % {O.N_EMB} "
+    "left join bm m on m.qid = c.id_base and m.concept = c.concept and m.label = c.target_direction",
+    O.ranked_matches(FLAGSHIP_K) + "," + _BEST))
+def q_pair_icace_vectors(spark, sf_dir):
+    """Both vectors of every pair, an element a column."""
+    _, ctx = context(spark, sf_dir)
+    v = X.icace_vectors(ctx, FLAGSHIP_K)
+    parts = [F.round(F.element_at(c, i), 6).alias(f"{c}_{i}") for i in range(1, 6) for c in ("icace", "explanation")]
+    return v.select("split", "pair_id", "concept", "base_direction", "target_direction", *parts, r6("icace_error"))
+
+
 # ---------------------------------------------------------------- phase 3: other explainers
 # Oracle per-pair error bodies: (explainer, split, pair_id, concept, base_direction, target_direction,
 # icace_error) plus the extra CTEs each needs.
@@ -489,20 +528,22 @@ def kept_samples(spark, sf_dir):
     return fx, fs, cut_lineage(samples)
 
 
-_c1, _c2, _c3 = (f"{c}_predictions" for c in _CONF)
-_CT_CTES = f"""
-cq as (select rid as q_rid, k as q_k, original_id as q_orig, text as q_text, {TREATMENT}_predictions as q_t,
-              {_c1} as q_c1, {_c2} as q_c2, {_c3} as q_c3
+def _role_count_ctes(treatment: str) -> str:
+    conf = C.confounders(treatment)
+    c1, c2, c3 = (f"{c}_predictions" for c in conf)
+    return f"""
+cq as (select rid as q_rid, k as q_k, original_id as q_orig, text as q_text, {treatment}_predictions as q_t,
+              {c1} as q_c1, {c2} as q_c2, {c3} as q_c3
        from fx_full_set where generation_index in ({_QI}) and length(text) > 2),
 ctcf as (select q.q_rid, m.rid as m_rid from cq q join fx_full_set m on m.original_id = q.q_orig
-         where m.rid <> q.q_rid and coalesce(m.text <> q.q_text, true) and coalesce(m.{TREATMENT}_predictions <> q.q_t, true)
-           and (m.intervention_aspect = '{TREATMENT}' or m.generation_index = -1)
-           and m.{_c1} = q.q_c1 and m.{_c2} = q.q_c2 and m.{_c3} = q.q_c3),
+         where m.rid <> q.q_rid and coalesce(m.text <> q.q_text, true) and coalesce(m.{treatment}_predictions <> q.q_t, true)
+           and (m.intervention_aspect = '{treatment}' or m.generation_index = -1)
+           and m.{c1} = q.q_c1 and m.{c2} = q.q_c2 and m.{c3} = q.q_c3),
 cccf as (select q.q_rid, m.rid as m_rid from cq q join fx_full_set m on m.original_id = q.q_orig
-         where m.rid <> q.q_rid and coalesce(m.text <> q.q_text, true) and m.{TREATMENT}_predictions = q.q_t
-           and (m.intervention_aspect in ({", ".join(f"'{c}'" for c in _CONF)}) or m.generation_index = -1)
-           and (coalesce(m.{_c1} = q.q_c1, false)::int + coalesce(m.{_c2} = q.q_c2, false)::int
-                + coalesce(m.{_c3} = q.q_c3, false)::int) = 2),
+         where m.rid <> q.q_rid and coalesce(m.text <> q.q_text, true) and m.{treatment}_predictions = q.q_t
+           and (m.intervention_aspect in ({", ".join(f"'{c}'" for c in conf)}) or m.generation_index = -1)
+           and (coalesce(m.{c1} = q.q_c1, false)::int + coalesce(m.{c2} = q.q_c2, false)::int
+                + coalesce(m.{c3} = q.q_c3, false)::int) = 2),
 ccounts as (
   select q.q_rid, coalesce(t.n, 0)::bigint as n_tcf, coalesce(c.n, 0)::bigint as n_ccf, a.n_approx::bigint as n_approx,
          ((select count(*) from fx_full_set) - 1 - a.n_approx)::bigint as n_negative
@@ -510,8 +551,12 @@ ccounts as (
   left join (select q_rid, count(*) as n from ctcf group by q_rid) t using (q_rid)
   left join (select q_rid, count(*) as n from cccf group by q_rid) c using (q_rid)
   join (select q.q_rid, count(r.rid) as n_approx from cq q left join fx_full_set r
-          on r.original_id <> q.q_orig and r.{_c1} = q.q_c1 and r.{_c2} = q.q_c2 and r.{_c3} = q.q_c3
-        group by q.q_rid) a using (q_rid)),
+          on r.original_id <> q.q_orig and r.{c1} = q.q_c1 and r.{c2} = q.q_c2 and r.{c3} = q.q_c3
+        group by q.q_rid) a using (q_rid))"""
+
+
+_c1, _c2, _c3 = (f"{c}_predictions" for c in _CONF)
+_CT_CTES = _role_count_ctes(TREATMENT) + f""",
 ckept as (select * from ccounts where n_tcf > 0 and n_ccf > 0 and n_approx > 0 and n_negative > 0),
 cfs as (select rid, original_id, {_c1} as c1, {_c2} as c2, {_c3} as c3 from fx_full_set),
 cgp as (select *, row_number() over (partition by c1, c2, c3 order by {O._md5('rid')}, rid) - 1 as gpos,
@@ -668,6 +713,21 @@ def q_loss_grid(spark, sf_dir):
     return C.loss_grid(cos, [1.0, 0.1], V0_SWEEP).withColumn("mean_loss", F.round("mean_loss", 6))
 
 
+@register("loss_best", _ct(f"""
+select loss_version, temperature, mean_loss from (
+  select *, row_number() over (partition by loss_version order by mean_loss, temperature) as nth from (
+    select loss_version, temperature, round(avg(loss), 6) as mean_loss from (
+      select 1 as loss_version, 1.0::double as temperature, {_V1.format(s='1')} as loss from cpiv
+      union all select 1, 0.1::double, {_V1.format(s="01")} from cpiv
+      union all select 0, 1.0::double, {_v0("1", V0_SWEEP)} from cpiv
+      union all select 0, 0.1::double, {_v0("01", V0_SWEEP)} from cpiv) g group by all) h) b where nth = 1"""))
+def q_loss_best(spark, sf_dir):
+    """The setting of least mean loss of each version (the lower temperature at a tie), by min_by."""
+    grid = q_loss_grid(spark, sf_dir)
+    best = F.min_by(F.struct("temperature", "mean_loss"), F.struct("mean_loss", "temperature")).alias("b")
+    return grid.groupBy("loss_version").agg(best).select("loss_version", "b.temperature", "b.mean_loss")
+
+
 # ---------------------------------------------------------------- phase 9: top-k sweep
 SWEEP_K = 49
 
@@ -727,25 +787,50 @@ def q_sentiment_classifier(spark, sf_dir):
 _EV = [c for c in _CONF]
 
 
-@register("contrastive_eval_roles", O.with_prelude(f"""
-select s.id, t.n_tcf::bigint as n_tcf, t.n_ccf::bigint as n_ccf, a.n_approx::bigint as n_approx,
-       ((select count(*) from fx_reviews where split = 'validation') - o.n_o - a.n_approx)::bigint as n_negative
+EVAL_SPLITS = ("validation", "test")
+
+
+def _eval_sql(split: str) -> str:
+    return O.with_prelude(f"""
+select '{split}' as split, s.id, t.n_tcf::bigint as n_tcf, t.n_ccf::bigint as n_ccf, a.n_approx::bigint as n_approx,
+       ((select count(*) from fx_reviews where split = '{split}') - o.n_o - a.n_approx)::bigint as n_negative
 from fx_reviews s
 join (select s.id,
              count(*) filter (where g.intervention_aspect = '{TREATMENT}' and {" and ".join(f"g.{c}_predictions_generation = s.{c}_aspect_majority" for c in _EV)}) as n_tcf,
              count(*) filter (where g.intervention_aspect in ({", ".join(f"'{c}'" for c in _EV)})) as n_ccf
       from fx_reviews s join fx_accepted g on g.original_id = s.original_id and g.text = s.description
-      where s.split = 'validation' and g.split = 'validation' group by s.id) t on t.id = s.id
+      where s.split = '{split}' and g.split = '{split}' group by s.id) t on t.id = s.id
 join (select s.id, count(r.id) as n_approx from fx_reviews s left join fx_reviews r
-        on r.split = 'validation' and r.original_id <> s.original_id
+        on r.split = '{split}' and r.original_id <> s.original_id
         and {" and ".join(f"r.{c}_aspect_majority = s.{c}_aspect_majority" for c in _EV)}
-      where s.split = 'validation' group by s.id) a on a.id = s.id
-join (select original_id, count(*) as n_o from fx_reviews where split = 'validation' group by original_id) o
+      where s.split = '{split}' group by s.id) a on a.id = s.id
+join (select original_id, count(*) as n_o from fx_reviews where split = '{split}' group by original_id) o
   on o.original_id = s.original_id
-where s.split = 'validation' and t.n_tcf > 0 and t.n_ccf > 0 and a.n_approx > 0
-  and (select count(*) from fx_reviews where split = 'validation') - o.n_o - a.n_approx > 0"""))
+where s.split = '{split}' and t.n_tcf > 0 and t.n_ccf > 0 and a.n_approx > 0
+  and (select count(*) from fx_reviews where split = '{split}') - o.n_o - a.n_approx > 0""")
+
+
+@register("contrastive_eval_roles", " union all ".join(f"select * from ({_eval_sql(sp)}) {sp}_roles" for sp in EVAL_SPLITS))
 def q_contrastive_eval_roles(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    src = fx.reviews.where(F.col("split") == "validation")
-    gens = fx.accepted_generations.where(F.col("split") == "validation")
-    return C.eval_role_counts(src, gens, TREATMENT)
+    out = None
+    for split in EVAL_SPLITS:  # each set is evaluated for itself
+        src = fx.reviews.where(F.col("split") == split)
+        gens = fx.accepted_generations.where(F.col("split") == split)
+        roles = C.eval_role_counts(src, gens, TREATMENT).select(F.lit(split).alias("split"), "*")
+        out = roles if out is None else out.unionByName(roles)
+    return out
+
+
+@register("contrastive_counts_by_treatment", " union all ".join(
+    f"select '{t}' as treatment, * from ({O.with_prelude('select * from ccounts', _role_count_ctes(t))}) {t}_counts" for t in CONCEPTS))
+def q_contrastive_counts_by_treatment(spark, sf_dir):
+    """J13-J16 sizes for each of the four treatments, over one materialised set."""
+    fs = Fixtures(spark, sf_dir).mining_set
+    qs = C.query_rows(fs, GEN_INDEX)
+    out = None
+    for t in CONCEPTS:
+        counts = C.role_counts(fs, qs, t, C.treatment_members(fs, qs, t), C.confounder_members(fs, qs, t))
+        counts = counts.select(F.lit(t).alias("treatment"), "*")
+        out = counts if out is None else out.unionByName(counts)
+    return out
