@@ -17,6 +17,8 @@ cloudpickle.register_pickle_by_value(pairlens.llm)
 
 #: Text bytes that one numpy step works on; bounds a task's memory whatever the Arrow batch holds.
 SLICE_BYTES = 8 << 20
+#: Rows that Spark hands to a Python worker at once.
+ARROW_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,15 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the rows that Spark hands to Python at once: texts may be long, and a batch is held on both sides."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(conf.get(name, "0"))
+    if not 0 < rows <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
@@ -100,7 +111,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
         for batch in batches:
             for part in slices(batch, text, limit):
                 yield fn(part)
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:

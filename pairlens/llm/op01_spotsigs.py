@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import read, slices, text_or_empty
+from pairlens.llm.common import read, slices, small_batches, text_or_empty
 from pairlens.llm.ordering import bounds, bucketed, order_key
 
 # Common words of English, German, French and Spanish.
@@ -173,7 +173,7 @@ def compare(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
                 if out:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return followed(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
+    return small_batches(followed(docs)).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
                                           "edited_fingerprint string, near_edited double, near_next double")
 
 

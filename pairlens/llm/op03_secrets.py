@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import map_slices, read, slices, text_or_empty
+from pairlens.llm.common import map_slices, read, slices, small_batches, text_or_empty
 
 # The pattern of each kind, and the shortest match (of group 2 for assignments) that counts.
 ASSIGN = r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -229,7 +229,7 @@ def redacted(docs: DataFrame, model: Model) -> DataFrame:
                 cols[size] = pa.array([len(b) if a is not b and n == len(a) else n for a, b, n in zip(old, new, known)], cols[size].type)
             yield pa.record_batch(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import map_slices, read, slices, string_bytes, string_offsets
+from pairlens.llm.common import map_slices, read, slices, small_batches, string_bytes, string_offsets
 
 #: Bounds of the labelled sample: expected documents a language, and languages (the commonest).
 DOCS_PER_LANG = 400
@@ -227,7 +227,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
                     keep &= softmax(scores(model, texts)).max(axis=1) >= model.threshold
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

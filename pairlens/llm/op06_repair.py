@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import read, shared_folder, slices, text_or_empty, worker_cache
+from pairlens.llm.common import read, shared_folder, slices, small_batches, text_or_empty, worker_cache
 from pairlens.llm.ordering import bounds, bucketed, order_key
-from pairlens.llm.word_ids import ENCODE_BYTES, encode_column, load_tokenizer
+from pairlens.llm.word_ids import ENCODE_BYTES, WordStore, encode_column, load_tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -176,7 +176,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
             .select("bucket", "doc_id", "text"))
 
     def run(batches):
-        known, words = load_tokenizer(tokenizer), worker_cache(f"words:{tokenizer}", dict)
+        known, words = load_tokenizer(tokenizer), worker_cache(f"words:{tokenizer}", WordStore)
         vocabulary = max(known.get_vocab_size(), (end_id or 0) + 1)
         at, part, held = None, 0, []  # the open shard: bucket, part, (document ids, lengths, ids) of each run of rows
 
@@ -206,7 +206,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
                         yield from close()
         yield from close()
 
-    rows.mapInArrow(run, "bucket int, part int, docs long, ids long, data binary").write.parquet(path)
+    small_batches(rows).mapInArrow(run, "bucket int, part int, docs long, ids long, data binary").write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import read, slices, text_or_empty, worker_cache
-from pairlens.llm.word_ids import ENCODE_BYTES, encode_column, load_tokenizer
+from pairlens.llm.common import read, slices, small_batches, text_or_empty, worker_cache
+from pairlens.llm.word_ids import ENCODE_BYTES, WordStore, encode_column, load_tokenizer
 
 CAPACITY = 1024
 END_ID = 0
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     def run(batches):
         packer = Packer(TaskContext.get().partitionId(), capacity)
         known = load_tokenizer(tokenizer)
-        words = worker_cache(f"words:{tokenizer}", dict)
+        words = worker_cache(f"words:{tokenizer}", WordStore)
         for batch in batches:
             for part in slices(batch, "text", ENCODE_BYTES):
                 ids, ends = encode_column(known, part.column(1), end_id, words)
@@ -119,7 +119,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         if found := list(packer.rest()):
             yield rows(found)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SCHEMA)
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return small_batches(rows_in).mapInArrow(run, SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,10 @@ from pairlens.llm.common import string_bytes, string_offsets, worker_cache
 
 #: Words handed to the library as one string.
 WORDS_PER_CALL = 512
-#: Words whose ids a worker keeps between slices (about 200 bytes each); past it the store starts anew.
-CACHED_WORDS = 900_000
+#: Words whose ids a worker keeps between slices (about 200 bytes each).
+CACHED_WORDS = 400_000
 #: Text bytes encoded at once.
-ENCODE_BYTES = 12 << 20
+ENCODE_BYTES = 4 << 20
 #: ASCII control characters, blank included: white space, or unusual enough to go to the library whole.
 CONTROLS = 33
 
@@ -74,19 +74,43 @@ def encode_words(tokenizer, words: list[str]) -> dict[str, bytes]:
     return out
 
 
-def word_table(tokenizer, words: list[str], cache: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class WordStore:
+    """Ids of words seen lately: once half of the room is taken the older half is forgotten, but for words used since."""
+
+    def __init__(self, room: int = CACHED_WORDS):
+        self.half, self.young, self.old = room // 2, {}, {}
+
+    def known(self, words: list[str]) -> dict[str, bytes]:
+        """The words' ids where known."""
+        young, old, out = self.young, self.old, {}
+        for w in words:
+            ids = young.get(w)
+            if ids is None:
+                ids = old.get(w)
+                if ids is None:
+                    continue
+                young[w] = ids
+            out[w] = ids
+        return out
+
+    def add(self, words: dict[str, bytes]) -> None:
+        self.young.update(words)
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+
+
+def word_table(tokenizer, words: list[str], store: WordStore) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all words end to end, where each word's ids start, and their counts.
 
     A last full stop or comma after an ASCII letter is a pre-token of its own, so it is encoded apart.
     """
     marks = encode_words(tokenizer, [".", ","])
     stems = [w[:-1] if w[-1:] in marks and w[-2:-1].isascii() and w[-2:-1].isalpha() else w for w in words]
-    missing = [w for w in dict.fromkeys(stems) if w not in cache]
-    if len(cache) + len(missing) > CACHED_WORDS:
-        cache.clear()
-        missing = list(dict.fromkeys(stems))
-    cache.update(encode_words(tokenizer, missing))
-    parts = [cache[s] if len(s) == len(w) else cache[s] + marks[w[-1]] for w, s in zip(words, stems)]
+    ids = store.known(stems)
+    new = encode_words(tokenizer, [w for w in dict.fromkeys(stems) if w not in ids])
+    ids.update(new)
+    store.add(new)
+    parts = [ids[s] if len(s) == len(w) else ids[s] + marks[w[-1]] for w, s in zip(words, stems)]
     counts = np.array([len(p) for p in parts], dtype=np.int64) // 4
     return np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(counts) - counts, counts
 
@@ -98,10 +122,10 @@ def spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(shift, counts) + np.arange(total)
 
 
-def encode_column(tokenizer, texts: pa.Array, end_id: int | None = None, cache: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_column(tokenizer, texts: pa.Array, end_id: int | None = None, store: WordStore | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end as uint32, and n + 1 offsets; ``end_id`` is appended to each text.
 
-    ``texts`` holds no nulls. An empty text has no ids besides the end id. ``cache``: ids of words
+    ``texts`` holds no nulls. An empty text has no ids besides the end id. ``store``: ids of words
     seen before, for calls with the same tokenizer.
     """
     n = len(texts)
@@ -113,7 +137,7 @@ def encode_column(tokenizer, texts: pa.Array, end_id: int | None = None, cache:
     split = pc.split_pattern(marked, "\x01")
     per_row = np.diff(split.offsets.to_numpy())
     coded = split.flatten().dictionary_encode()
-    flat, begins, counts = word_table(tokenizer, coded.dictionary.to_pylist(), {} if cache is None else cache)
+    flat, begins, counts = word_table(tokenizer, coded.dictionary.to_pylist(), store or WordStore())
     which = coded.indices.to_numpy()
     each = counts[which]
     sums = np.concatenate(([0], np.cumsum(each)))

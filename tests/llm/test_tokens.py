@@ -27,9 +27,9 @@ def odd_texts():
 def test_word_wise_ids_are_the_librarys(odd_texts, name):
     k = word_ids.load_tokenizer(public_tokenizers.path(name))
     want = [e.ids + [7] for e in k.encode_batch(odd_texts, add_special_tokens=False)]
-    cache = {}
+    store = word_ids.WordStore(500)
     for _ in range(2):  # the second time from the cache
-        ids, ends = word_ids.encode_column(k, pa.array(odd_texts), 7, cache)
+        ids, ends = word_ids.encode_column(k, pa.array(odd_texts), 7, store)
         assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
 
 
