@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.llm import op03_secrets, op04_langid, op05_mixing, op09_packing, op10_simhash
-from pairlens.llm.common import read, shared_folder
+from pairlens.llm.common import read, shared_folder, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents replicated towards square-root shares of their sources, in shuffled order."""
-    return op05_mixing.replicated(docs).select(*docs.columns)
+    copy, order = unused(docs.columns, "copy", "mix_key")
+    return op05_mixing.replicated(docs, copy=copy, order=order).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
