@@ -35,7 +35,7 @@ from pairlens.llm.word_ids import ENCODE_BYTES, WordStore, encode_column, load_t
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Ids of a shard, about.
-SHARD_IDS = 4 << 20
+SHARD_IDS = 2 << 20
 #: A pair is frequent from so many occurrences in a shard on; rounds at most; hash bits of the pair counts.
 FREQUENT = 16
 ROUNDS = 12
