@@ -170,9 +170,10 @@ class Fixtures:
             "text_len", F.char_length("text")).withColumn("text", F.sha2("text", 256))))
 
     def vectors(self, model: str = "base") -> DataFrame:
-        """Stored vectors of every review and generation (their ids share one space)."""
+        """Stored vectors of every review and generation (their ids share one space). It stands for a table
+        that exists before any query, so it is written once."""
         ids = self.reviews.select(F.col("id").alias("text_id")).union(self.generations.select("g_id")).distinct()
-        return self._memo(("fx_vectors", model), lambda: text_vectors(ids, self.table("embeddings"), model))
+        return self._memo(("fx_vectors", model), lambda: cut_lineage(text_vectors(ids, self.table("embeddings"), model)))
 
     @property
     def full_set(self) -> DataFrame:
