@@ -61,12 +61,12 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def small_batches(df: DataFrame) -> DataFrame:
+def small_batches(df: DataFrame, most: int = ARROW_ROWS) -> DataFrame:
     """Bounds the rows that Spark hands to Python at once: texts may be long, and a batch is held on both sides."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     rows = int(conf.get(name, "0"))
-    if not 0 < rows <= ARROW_ROWS:
-        conf.set(name, str(ARROW_ROWS))
+    if not 0 < rows <= most:
+        conf.set(name, str(most))
     return df
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from pairlens.llm.common import read, shared_folder, slices, small_batches, text_or_empty, worker_cache
 from pairlens.llm.ordering import bounds, bucketed, order_key
-from pairlens.llm.word_ids import ENCODE_BYTES, WordStore, encode_column, load_tokenizer
+from pairlens.llm.word_ids import ENCODE_BYTES, ENCODE_ROWS, WordStore, encode_column, load_tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -206,7 +206,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
                         yield from close()
         yield from close()
 
-    small_batches(rows).mapInArrow(run, "bucket int, part int, docs long, ids long, data binary").write.parquet(path)
+    small_batches(rows, ENCODE_ROWS).mapInArrow(run, "bucket int, part int, docs long, ids long, data binary").write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,9 @@ WORDS_PER_CALL = 512
 #: Words whose ids a worker keeps between slices (about 200 bytes each).
 CACHED_WORDS = 400_000
 #: Text bytes encoded at once.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 8 << 20
+#: Rows handed to Python at once where a task has an executor's memory for itself.
+ENCODE_ROWS = 4000
 #: ASCII control characters, blank included: white space, or unusual enough to go to the library whole.
 CONTROLS = 33
 
@@ -80,17 +82,12 @@ class WordStore:
     def __init__(self, room: int = CACHED_WORDS):
         self.half, self.young, self.old = room // 2, {}, {}
 
-    def known(self, words: list[str]) -> dict[str, bytes]:
-        """The words' ids where known."""
-        young, old, out = self.young, self.old, {}
-        for w in words:
-            ids = young.get(w)
-            if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    continue
-                young[w] = ids
-            out[w] = ids
+    def look(self, words: list[str]) -> list[bytes | None]:
+        """Ids of each word, None where unknown."""
+        out = list(map(self.young.get, words))
+        for i, ids in enumerate(out):
+            if ids is None and (ids := self.old.get(words[i])) is not None:
+                self.young[words[i]] = out[i] = ids
         return out
 
     def add(self, words: dict[str, bytes]) -> None:
@@ -106,11 +103,11 @@ def word_table(tokenizer, words: list[str], store: WordStore) -> tuple[np.ndarra
     """
     marks = encode_words(tokenizer, [".", ","])
     stems = [w[:-1] if w[-1:] in marks and w[-2:-1].isascii() and w[-2:-1].isalpha() else w for w in words]
-    ids = store.known(stems)
-    new = encode_words(tokenizer, [w for w in dict.fromkeys(stems) if w not in ids])
-    ids.update(new)
+    ids = store.look(stems)
+    new = encode_words(tokenizer, list(dict.fromkeys(w for w, v in zip(stems, ids) if v is None)))
     store.add(new)
-    parts = [ids[s] if len(s) == len(w) else ids[s] + marks[w[-1]] for w, s in zip(words, stems)]
+    ids = [new[w] if v is None else v for w, v in zip(stems, ids)]
+    parts = [v if len(s) == len(w) else v + marks[w[-1]] for w, s, v in zip(words, stems, ids)]
     counts = np.array([len(p) for p in parts], dtype=np.int64) // 4
     return np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(counts) - counts, counts
 
@@ -118,8 +115,9 @@ def word_table(tokenizer, words: list[str], store: WordStore) -> tuple[np.ndarra
 def spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions begins[i] .. begins[i] + counts[i] - 1, for each i in turn."""
     total = int(counts.sum())
-    shift = begins - (np.cumsum(counts) - counts)
-    return np.repeat(shift, counts) + np.arange(total)
+    kind = np.int32 if total < 1 << 31 and begins.max(initial=0) < 1 << 30 else np.int64
+    shift = (begins - (np.cumsum(counts) - counts)).astype(kind)
+    return np.repeat(shift, counts) + np.arange(total, dtype=kind)
 
 
 def encode_column(tokenizer, texts: pa.Array, end_id: int | None = None, store: WordStore | None = None) -> tuple[np.ndarray, np.ndarray]:
