@@ -4,6 +4,8 @@ A source's target repetition rate is its target share of all text over its prese
 draws a uniform number from the hash of its id, inverts the Poisson distribution with that mean, and
 is exploded into as many copies; the copies are dealt out and ordered by a second hash, a global
 shuffle. Only per-source sums meet the rows, so a source of any size stays spread over all tasks.
+A mean over ``MAX_RATE`` is drawn as a sum of Poissons of equal means up to it, each from a hash of its
+own, so a tiny source beside a huge one is repeated as often as its weight asks.
 
 Defined cases: a null ``source`` is a source of its own; a null text has no mass but is drawn at its
 source's rate; rows with the same ``doc_id`` (nulls too) draw the same count; a source without a target
@@ -21,15 +23,18 @@ from pairlens.llm.common import checkpointed, read, unused
 SEED = "mix-1"
 #: Without explicit weights a source's target share goes with its mass to this power.
 POWER = 0.5
-#: Largest mean that the inversion accepts; beyond it exp(-mean) comes near the smallest double.
+#: Largest mean inverted at once, as exp(-mean) nears the smallest double beyond it.
 MAX_RATE = 500.0
+#: Copies that a row is exploded into at once.
+COPIES_STEP = 4096
 #: Up to so many sources (a name and a number each) travel to all tasks.
 BROADCAST_SOURCES = 100_000
 
 
-def uniform(seed: str, doc_id: Column) -> Column:
-    """A number between 0 and 1, both excluded, from 52 bits of the md5 of seed and id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def uniform(seed: str, doc_id: Column, draw: Column | None = None) -> Column:
+    """A number between 0 and 1, both excluded, from 52 bits of the md5 of seed and id (and number of the draw)."""
+    named = [F.lit(f"{seed}:")] if draw is None else [F.lit(f"{seed}#"), draw.cast("string"), F.lit(":")]
+    digest = F.md5(F.concat(*named, F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -49,6 +54,14 @@ def poisson(u: Column, mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["k"])
 
 
+def drawn(seed: str, doc_id: Column, mean: Column) -> Column:
+    """A Poisson count for any mean: inverted at once up to ``MAX_RATE``, else summed over equal parts."""
+    parts = F.ceil(mean / MAX_RATE)
+    several = F.aggregate(F.sequence(F.lit(1).cast("long"), parts), F.lit(0).cast("long"),
+                          lambda acc, j: acc + poisson(uniform(seed, doc_id, j), mean / parts))
+    return F.when(mean <= MAX_RATE, poisson(uniform(seed, doc_id), mean).cast("long")).otherwise(several)
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER) -> DataFrame:
     """(source, rate): one row a source. ``weights``: target weight by source, scaled to sum 1."""
     mass = docs.groupBy(F.col("source").alias("source")).agg(
@@ -60,7 +73,6 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     mass = checkpointed(mass.withColumn("weight", F.when(F.col("mass") > 0, weight).otherwise(0.0)))
     total = mass.agg(F.sum("mass").alias("mass"), F.sum("weight").alias("weight")).first()
     rate = F.when(F.col("mass") > 0, F.col("weight") / F.lit(total["weight"]) * F.lit(total["mass"]) / F.col("mass")).otherwise(1.0)
-    rate = F.when(rate > MAX_RATE, F.raise_error(F.lit("a target rate is over the largest one"))).otherwise(rate)
     return mass.select("source", rate.cast("double").alias("rate"))
 
 
@@ -68,13 +80,15 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, power:
                copy: str = "copy", order: str = "mix_key") -> DataFrame:
     """The copies of all rows in shuffled order, with their number from 1 and the hash that orders them."""
     kept = [c for c in docs.columns if c not in (copy, order)]
-    of, mean, n = unused([*kept, copy, order], "__source", "__rate", "__n")
+    of, mean, n, before = unused([*kept, copy, order], "__source", "__rate", "__n", "__before")
     rate = rates(docs, weights, power).select(F.col("source").alias(of), F.col("rate").alias(mean))
     if rate.count() <= BROADCAST_SOURCES:  # else a join that Spark splits where a source is large
         rate = F.broadcast(rate)
     rows = docs.select(*kept).join(rate, F.col("source").eqNullSafe(F.col(of)))
-    rows = rows.withColumn(n, poisson(uniform(seed, F.col("doc_id")), F.col(mean))).where(F.col(n) > 0)
-    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    rows = rows.withColumn(n, drawn(seed, F.col("doc_id"), F.col(mean))).where(F.col(n) > 0)
+    step = F.lit(COPIES_STEP).cast("long")  # in two steps, so that no row's array of numbers gets long
+    rows = rows.withColumn(before, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, step)))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.col(before) + 1, F.least(F.col(n), F.col(before) + step)).cast("array<int>")))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                             F.col(copy).cast("string")).cast("binary"))
     rows = rows.withColumn(order, key).select(*kept, copy, order)

@@ -112,6 +112,30 @@ def test_explicit_weights_are_met(spark):
     assert "c" not in n and abs(n["a"] - 15_000) < 500 and abs(n["b"] - 5000) < 300
 
 
+def test_tiny_source_beside_a_huge_one(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(2010).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10, "x").otherwise(F.repeat(F.lit("long "), 2000)).alias("text"),
+                                    F.when(F.col("id") < 10, F.lit(None)).otherwise("huge").alias("source"))
+    rate = {r.source: r.rate for r in mix.rates(docs).collect()}
+    assert rate[None] == pytest.approx((2e7 + 10) / (10 + math.sqrt(10 * 2e7))) and rate[None] > 2 * mix.MAX_RATE
+    monkeypatch.setattr(mix, "COPIES_STEP", 100)
+    got = mix.replicated(docs).where("source is null").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.countDistinct("copy").alias("copies"), F.max("copy").alias("last")).collect()
+    assert len(got) == 10 and all(r.n == r.copies == r.last and abs(r.n - rate[None]) < 6 * math.sqrt(rate[None]) for r in got)
+    parts = math.ceil(rate[None] / mix.MAX_RATE)
+    for r in got:
+        u = [(int(__import__("hashlib").md5(f"{mix.SEED}#{j}:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52) for j in range(1, parts + 1)]
+        assert r.n == sum(plain_poisson(x, rate[None] / parts) for x in u)
+
+
+def test_large_poisson_counts_have_mean_and_variance(spark):
+    from pyspark.sql import functions as F
+
+    n = [r.n for r in spark.range(1000).select(mix.drawn("s", F.col("id"), F.lit(1700.0)).alias("n")).collect()]
+    assert abs(np.mean(n) - 1700) < 5 * math.sqrt(1700 / 1000) and 0.8 < np.var(n) / 1700 < 1.25
+
+
 def test_mixing_is_native(edge_docs):
     plan = mix.replicated(edge_docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))
