@@ -5,11 +5,14 @@ order. The rows are dealt into blocks of bounded size, and each block posts its
 files, one a pivot, holding (vector, rank of the pivot). A block of queries meets each block of rows: it
 adds up footrule distances (a pivot missing on one side counts as ranked just behind the last) from the
 inverted files of the query's pivots, keeps the share of the block's vectors that come first, and
-reranks these by exact Euclidean distance on the original vectors. The best of each block meet in a
-top-k by query. Queries and rows are both dealt out, so nothing that grows is broadcast.
+reranks these by exact Euclidean distance on the original vectors. Footrule can't order a crowd of like
+vectors, whose members rank the pivots alike, so no vector is left out for its footrule: a matrix product
+places all of the block, and those beyond the share that it doesn't place farther than the best found are
+reranked too. The best of each block meet in a top-k by query. Queries and rows are both dealt out, so
+nothing that grows is broadcast.
 
-Every row is indexed. The share reranked (``RERANK``) and the pivots are the index's accuracy; tests
-measure recall against brute force.
+Every row is indexed and the neighbours are exact; the pivots and the share reranked (``RERANK``) say how
+many vectors are left for the second pass. Tests measure recall against brute force.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those whose length is not the commonest one (the greater at a tie); rows with a null id take no
@@ -40,6 +43,8 @@ RERANK_LEAST = 512
 #: Rows of a block, and queries that meet it at once.
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
+#: Queries whose matrix product with a block is held at once.
+PRODUCT_ROWS = 128
 SEED = 5
 NO_ID = np.iinfo(np.int64).max
 
@@ -72,6 +77,14 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.n
     return np.argsort(squares(vectors, pivots), axis=1, kind="stable")[:, :prefix].astype(np.int16)
 
 
+def placed(queries: np.ndarray, vectors: np.ndarray):
+    """For each query the squared distances of all vectors less the most that rounding adds."""
+    size, eps = (vectors * vectors).sum(axis=1), 4 * (vectors.shape[1] + 4) * np.finfo(np.float64).eps
+    for at in range(0, len(queries), PRODUCT_ROWS):
+        part = queries[at: at + PRODUCT_ROWS]
+        yield from squares(part, vectors) - eps * ((part * part).sum(axis=1)[:, None] + size[None, :])
+
+
 class InvertedFiles:
     """The pivots' inverted files of one block: for each pivot the vectors that rank it, and the ranks."""
 
@@ -101,10 +114,15 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, ranked: np.ndarray, q_ids
     files = InvertedFiles(ranked, pivots)
     first = min(len(ids), max(RERANK_LEAST, int(np.ceil(RERANK * len(ids)))))
     out = []
-    for qid, q, perm in zip(q_ids, q_vectors, q_ranked):
+    for qid, q, perm, least in zip(q_ids, q_vectors, q_ranked, placed(q_vectors, vectors)):
         far = files.footrule(perm)
         near = np.argpartition(far, first - 1)[:first] if first < len(ids) else np.arange(len(ids))
         exact = np.sqrt(((vectors[near] - q) ** 2).sum(axis=1))
+        if first < len(ids):
+            open_ = ~(least > (np.partition(exact, k)[k] ** 2 if first > k else np.inf))
+            open_[near] = False
+            rest = np.flatnonzero(open_)
+            near, exact = np.concatenate([near, rest]), np.concatenate([exact, np.sqrt(((vectors[rest] - q) ** 2).sum(axis=1))])
         if len(near) > k + 1:  # one of them may be the query's own row
             close = exact <= np.partition(exact, k)[k]
             near, exact = near[close], exact[close]

@@ -47,6 +47,25 @@ def test_recall_and_scores(spark, monkeypatch):
         assert all(s == pytest.approx(math.dist(v[q], v[i]), abs=1e-12) for s, i in found)
 
 
+def test_recall_inside_a_crowd_of_a_third(spark):
+    """One full block at the production share; queries inside the crowd and outside apart."""
+    rng = np.random.default_rng(16)
+    n, crowd = perm.BLOCK_ROWS, perm.BLOCK_ROWS // 3
+    v = rng.normal(size=(n, 16))
+    v[:crowd] = v[0] + 1e-3 * rng.normal(size=(crowd, 16))
+    assert perm.RERANK * n < crowd
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in perm.search(table).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = {True: [], False: []}
+    for q in range(0, n, perm.QUERY_EVERY):
+        far = ((v - v[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits[q < crowd].append(len(found[q] & set(np.argsort(far)[:10].tolist())) / 10)
+    assert len(hits[True]) == 28 and np.mean(hits[True]) == np.mean(hits[False]) == 1
+
+
 def test_unfit_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),
             (6, [None, 1.0]), (7, [1.0]), (8, []), (None, [1.0, 1.0]), (9, [0.0, 2.0]), (9, [0.0, 2.0]), (100, [0.0, 1.0])]
