@@ -5,15 +5,16 @@ boundaries; digits and ASCII punctuation count as boundaries). A text's vector i
 subwords' embeddings; a linear layer and a softmax give languages. Embeddings and layer are trained
 by mini-batch stochastic gradient descent in numpy, on passages of a bounded sample of labelled
 documents; a temperature fitted on held-back passages calibrates the probabilities, and the
-rejection threshold is the smallest confidence that all but a stated share of these passages reach,
-but never far above the confidence in a text without known subwords.
+rejection threshold is the smallest confidence (log-odds of the best language) that all but a stated
+share of these passages reach, cut to the length of the text: shorter passages have lower ones.
 Prediction reads every byte of every text in tasks; only the model travels to them (its size is
 buckets x (languages + 1) floats).
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and rejected; a null
 ``lang`` or ``doc_id`` is never learned from; a null ``doc_id`` is not held out; equal texts get equal
 predictions; when no labelled row exists, texts with letters are ``und`` with score 0 and not
-rejected, as nothing was learned to reject them by; an empty table gives an empty result; other
+rejected, as nothing was learned to reject them by; nor are texts with letters shorter than the
+shortest calibrated length, or when one language alone is learned; an empty table gives an empty result; other
 columns are not read.
 """
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +39,10 @@ DIM = 16
 EPOCHS = 6
 BATCH = 32
 RATE = 2.0
-#: Share of held-back passages that the rejection threshold may turn away; and how far it may lie above
-#: the confidence in a text without any known subword.
+#: Share of held-back passages that the rejection threshold may turn away, and the lengths in code points
+#: to which passages are cut for it: a text has the threshold of the longest that it reaches.
 REJECTED_SHARE = 0.002
-MARGIN = 0.05
+JUDGED = (10, 20, 40, 150, 600)
 SEED = 17
 #: Text bytes scored at once: their windows take some fifty times as much memory.
 STEP_BYTES = 2 << 20
@@ -61,7 +63,12 @@ class Model:
     table: np.ndarray  # buckets + 1 rows (the last for no subword), a column a language
     bias: np.ndarray
     temperature: float
-    threshold: float
+    limits: np.ndarray  # least log-odds accepted: for the shortest texts, then for each length of JUDGED
+
+    @property
+    def threshold(self) -> float:
+        """The score that texts of any length need."""
+        return float(1 / (1 + np.exp(-self.limits.min())))
 
 
 def subwords(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
@@ -108,6 +115,31 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def odds(raw: np.ndarray) -> np.ndarray:
+    """Log-odds of the best language against all others."""
+    if raw.shape[1] < 2:
+        return np.full(len(raw), np.inf)
+    ordered = np.sort(raw, axis=1)
+    rest, second = ordered[:, :-1], ordered[:, -2]
+    return ordered[:, -1] - second - np.log(np.exp(rest - second[:, None]).sum(axis=1))
+
+
+def known(model: Model, texts: pa.Array, raw: np.ndarray) -> np.ndarray:
+    """Whether each text's confidence reaches the threshold of its length."""
+    reached = np.searchsorted(JUDGED, pc.utf8_length(texts).to_numpy(zero_copy_only=False), side="right")
+    return odds(raw) >= model.limits[reached]
+
+
+def limits(model: Model, passages: list[str]) -> np.ndarray:
+    """Thresholds from held-back passages, never falling with the length."""
+    out = [-np.inf]
+    for size in JUDGED:
+        cut = [p[:size] for p in passages if len(p) >= size]
+        least = np.quantile(odds(scores(model, pa.array(cut, pa.string()))), REJECTED_SHARE) if cut and len(model.langs) > 1 else -np.inf
+        out.append(max(out[-1], least))
+    return np.array(out)
+
+
 def fit(texts: list[str], langs: list[str]) -> Model | None:
     """Trains on labelled passages; one in five is held back for the calibration."""
     names = sorted(set(langs))
@@ -147,15 +179,13 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
             grad = np.stack([np.bincount(where, np.repeat(back[:, k], n), len(used)) for k in range(DIM)], axis=1)
             e[used] -= (rate * len(at) * grad).astype(np.float32)
     table = np.vstack([e @ w, np.zeros((1, len(names)), dtype=np.float32)]).astype(np.float32)
-    model = Model(names, table, bias.astype(np.float64), 1.0, 0.0)
+    model = Model(names, table, bias.astype(np.float64), 1.0, np.full(len(JUDGED) + 1, -np.inf))
     if len(held):
         raw = scores(model, pa.array([texts[i] for i in held], pa.string()))
         loss = {t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(held)), y[held]], 1e-12)).mean()
                 for t in np.geomspace(0.05, 20, 61)}
         model.temperature = float(min(loss, key=loss.get))
-        sure = softmax(raw / model.temperature).max(axis=1)
-        blind = softmax(model.bias[None, :] / model.temperature).max()
-        model.threshold = float(min(blind + MARGIN, np.quantile(sure, REJECTED_SHARE)))
+        model.limits = limits(model, [texts[i] for i in held])
     return model
 
 
@@ -201,11 +231,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         if model is None:
             lang, score, rejected = [UND] * len(texts), np.zeros(len(texts)), ~letters
         else:
-            p = softmax(scores(model, texts))
+            raw = scores(model, texts)
+            p = softmax(raw)
             best = p.argmax(axis=1)
             score = np.where(letters, p[np.arange(len(p)), best], 0.0)
             lang = [model.langs[k] if ok else UND for k, ok in zip(best, letters)]
-            rejected = ~letters | (score < model.threshold)
+            rejected = ~(letters & known(model, texts, raw))
         return pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                                 pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
@@ -224,7 +255,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
                 texts = part.column(at).fill_null("")
                 keep = has_letters(texts)
                 if model is not None:
-                    keep &= softmax(scores(model, texts)).max(axis=1) >= model.threshold
+                    keep &= known(model, texts, scores(model, texts))
                 yield part.filter(pa.array(keep))
 
     return small_batches(docs).mapInArrow(run, docs.schema)

@@ -92,6 +92,22 @@ def test_language_of_edge_rows(spark, edge_docs, edge_rows, no_docs):
     assert {r.lang_pred for r in unlearned} == {"und"} and sum(not r.rejected for r in unlearned) > 0
 
 
+def test_unlearned_language_and_random_letters_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.01')}/documents.parquet").where("text is not null and lang is not null")
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    noise = [" ".join("".join(rng.choice(letters, n)) for n in rng.integers(2, 10, 60)) for _ in range(200)]
+    random = spark.createDataFrame([(i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    share = lambda rows, model: np.mean([r.rejected for r in lid.predict(rows, model).select("rejected").collect()])
+    whole = lid.train(docs)
+    assert share(random, whole) >= 0.95
+    assert share(docs.where(lid.remainder(docs.doc_id) == 2), whole) <= 0.01
+    rest = lid.train(docs.where("lang <> 'fr'"))
+    assert share(random, rest) >= 0.95
+    assert share(docs.where("lang = 'fr'"), rest) >= 0.8
+    assert share(docs.where("lang <> 'fr'"), rest) <= 0.03
+
+
 def test_prediction_does_not_depend_on_neighbours(spark):
     import pyarrow as pa
 
