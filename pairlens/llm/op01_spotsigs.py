@@ -4,7 +4,8 @@ An anchor is an occurrence of a common word; its signature is the anchor with th
 after it. A text's fingerprint is the set of its signatures as 32-bit hashes, and two fingerprints are
 compared by Jaccard similarity. For sets of lengths a <= b it is at most a / b, so sets are put in
 partitions by length, only those within reach of the threshold meet, and a comparison ends as soon as
-the signatures left cannot reach it.
+the signatures left cannot reach it (``length_partitions`` and ``partners``, over a list; ``compare`` does
+without them, as it meets given pairs alone and gives their whole likeness).
 
 ``compare`` sets each document beside its edited text (second half taken from the next document in id
 order) and beside that next document. Rows travel once, into buckets in id order; the first row of a
