@@ -64,9 +64,12 @@ def _compiled(pattern: str) -> re.Pattern:
 
 
 def runs(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters that no pattern match touches."""
-    found = [m.span() for m in _compiled(RUN).finditer(text)]
-    return [(a, b) for a, b in found if not any(s < b and a < e for s, _, e in spans)] if spans else found
+    """Runs of key characters outside the pattern matches; a match cuts the run that it lies in."""
+    out, at = [], 0
+    for start, _, end in [*spans, (len(text), 0, 0)]:
+        out += [m.span() for m in _compiled(RUN).finditer(text, at, max(at, start))]
+        at = max(at, end)
+    return out
 
 
 @dataclass

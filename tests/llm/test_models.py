@@ -61,6 +61,18 @@ def test_models_part_random_strings_from_names(spark):
     assert sec.written(sec.scan([text], model)[0]) == f"markov:13:{13 + len(keys[-1])}"
 
 
+def test_rest_of_a_run_beside_a_match_is_judged(spark):
+    model = sec.train(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
+    key = "wJq7XvZt9KpLm2QzR4sYbN8cVfGh1TdWxE5uAoPk"
+    access, hexed = "AKIA" + "Q7" * 8, "0f" * 16
+    for text in (f"{access}/{key}", f"{key[:20]}Z{hexed}Z{key[20:]}"):
+        spans = sec.scan([f"a {text} b"], model)[0]
+        assert {k for _, k, _ in spans} in ({1, 3}, {2, 3})
+        shown = sec.masked(f"a {text} b", spans)
+        assert key[:20] not in shown and key[20:] not in shown
+    assert sec.runs("x" * 16 + hexed + "y" * 15, [(16, 2, 48)]) == [(0, 16)]
+
+
 def test_masking_overlaps():
     assert sec.masked("ab cdef gh", [(3, 0, 7), (5, 2, 7)]) == "ab [assign] gh"
     assert sec.masked("abcd", []) == "abcd"
