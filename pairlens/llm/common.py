@@ -61,12 +61,13 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def small_batches(df: DataFrame, most: int = ARROW_ROWS) -> DataFrame:
-    """Bounds the rows that Spark hands to Python at once: texts may be long, and a batch is held on both sides."""
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds the rows that Spark hands to Python at once, for the session and to the same number always: texts
+    may be long, and a batch is held on both sides. Larger runs of rows are gathered in the task."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     rows = int(conf.get(name, "0"))
-    if not 0 < rows <= most:
-        conf.set(name, str(most))
+    if not 0 < rows <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
     return df
 
 
@@ -87,6 +88,26 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at, base = to, int(ends[to - 1])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows holding about ``limit`` bytes of ``column``, however few rows Spark hands over at once."""
+    held, size = [], 0
+    for batch in batches:
+        more = int(string_offsets(batch.column(batch.schema.get_field_index(column)))[-1]) if batch.num_rows else 0
+        if held and size + more > limit:
+            yield from slices(joined(held), column, limit)
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += more
+    if held:
+        yield from slices(joined(held), column, limit)
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The rows of all batches as one."""
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def string_offsets(col: pa.Array) -> np.ndarray:
     """Byte offsets (n + 1, from 0) of a string column."""
     wide = pa.types.is_large_string(col.type)

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import read, shared_folder, slices, small_batches, text_or_empty, worker_cache
+from pairlens.llm.common import gathered, read, shared_folder, small_batches, text_or_empty, worker_cache
 from pairlens.llm.ordering import bounds, bucketed, order_key
-from pairlens.llm.word_ids import ENCODE_BYTES, ENCODE_ROWS, WordStore, encode_column, load_tokenizer
+from pairlens.llm.word_ids import ENCODE_BYTES, WordStore, encode_column, load_tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -191,22 +191,21 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
                                       ["bucket", "part", "docs", "ids", "data"])
             held, part = [], part + 1
 
-        for batch in batches:
-            for some in slices(batch, "text", ENCODE_BYTES):
-                buckets = some.column(0).to_numpy()
-                ids, ends = encode_column(known, some.column(2), end_id, words)
-                cuts = np.flatnonzero(np.diff(buckets)) + 1
-                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(buckets)]):
-                    if buckets[lo] != at:
-                        yield from close()
-                        at, part = int(buckets[lo]), 0
-                    own = some.column(1)[lo:hi].to_pylist()
-                    held.append((own, np.diff(ends[lo: hi + 1]), ids[ends[lo]: ends[hi]]))
-                    if sum(len(x) for _, _, x in held) >= SHARD_IDS:
-                        yield from close()
+        for some in gathered(batches, "text", ENCODE_BYTES):
+            buckets = some.column(0).to_numpy()
+            ids, ends = encode_column(known, some.column(2), end_id, words)
+            cuts = np.flatnonzero(np.diff(buckets)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(buckets)]):
+                if buckets[lo] != at:
+                    yield from close()
+                    at, part = int(buckets[lo]), 0
+                own = some.column(1)[lo:hi].to_pylist()
+                held.append((own, np.diff(ends[lo: hi + 1]), ids[ends[lo]: ends[hi]]))
+                if sum(len(x) for _, _, x in held) >= SHARD_IDS:
+                    yield from close()
         yield from close()
 
-    small_batches(rows, ENCODE_ROWS).mapInArrow(run, "bucket int, part int, docs long, ids long, data binary").write.parquet(path)
+    small_batches(rows).mapInArrow(run, "bucket int, part int, docs long, ids long, data binary").write.parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import ARROW_ROWS, read, slices, small_batches, text_or_empty, worker_cache
-from pairlens.llm.word_ids import ENCODE_BYTES, ENCODE_ROWS, WordStore, encode_column, load_tokenizer
+from pairlens.llm.common import gathered, read, small_batches, text_or_empty, worker_cache
+from pairlens.llm.word_ids import ENCODE_BYTES, WordStore, encode_column, load_tokenizer
 
 CAPACITY = 1024
 END_ID = 0
@@ -89,10 +89,8 @@ class Packer:
             yield from self.close(taken, 0)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True,
-         batch_rows: int = ARROW_ROWS) -> DataFrame:
-    """One row per piece, with its ids if asked for. ``tokenizer``: path of a file of the tokenizers library;
-    ``batch_rows``: rows handed to Python at once, more of them for speed, fewer for memory."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """One row per piece, with its ids if asked for. ``tokenizer``: path of a file of the tokenizers library."""
     if capacity & (capacity - 1) or capacity < 1:
         raise ValueError("the capacity is a power of two")
 
@@ -110,24 +108,22 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         packer = Packer(TaskContext.get().partitionId(), capacity)
         known = load_tokenizer(tokenizer)
         words = worker_cache(f"words:{tokenizer}", WordStore)
-        for batch in batches:
-            for part in slices(batch, "text", ENCODE_BYTES):
-                ids, ends = encode_column(known, part.column(1), end_id, words)
-                found = []
-                for doc_id, lo, hi in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
-                    found.extend(packer.add(doc_id, ids[lo:hi]))
-                if found:
-                    yield rows(found)
+        for part in gathered(batches, "text", ENCODE_BYTES):
+            ids, ends = encode_column(known, part.column(1), end_id, words)
+            found = []
+            for doc_id, lo, hi in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                found.extend(packer.add(doc_id, ids[lo:hi]))
+            if found:
+                yield rows(found)
         if found := list(packer.rest()):
             yield rows(found)
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return small_batches(rows_in, batch_rows).mapInArrow(run, SCHEMA)
+    return small_batches(rows_in).mapInArrow(run, SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 ids."""
     import public_tokenizers
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False,
-                batch_rows=ENCODE_ROWS).drop("ids")
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False).drop("ids")

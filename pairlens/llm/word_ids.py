@@ -1,8 +1,9 @@
-"""Token ids of whole columns with the tokenizers library, each distinct word of a slice encoded once.
+"""Token ids of whole columns with the tokenizers library, each distinct atom of a slice encoded once.
 
-The cut before a blank or line feed that stands alone between other characters is one that no
-pre-token of the two tokenizers crosses, so the ids of a text are those of its words end to end.
-A text that holds other white space, white space at an end or in runs is given to the library whole.
+Texts are cut into atoms where no pre-token of the two tokenizers crosses: before a blank or line feed
+that stands alone between other characters, after such a line feed where ASCII follows, and between an
+ASCII letter and the punctuation that ends its word. The ids of a text are those of its atoms end to
+end. A text that holds other white space, white space at an end or in runs is given to the library whole.
 """
 from __future__ import annotations
 
@@ -10,20 +11,19 @@ import os
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from pairlens.llm.common import string_bytes, string_offsets, worker_cache
 
-#: Words handed to the library as one string.
-WORDS_PER_CALL = 512
-#: Words whose ids a worker keeps between slices (about 200 bytes each).
+#: Atoms handed to the library as one string.
+ATOMS_PER_CALL = 64
+#: Atoms whose ids a worker keeps between slices (about 200 bytes each).
 CACHED_WORDS = 400_000
 #: Text bytes encoded at once.
 ENCODE_BYTES = 8 << 20
-#: Rows handed to Python at once where a task has an executor's memory for itself.
-ENCODE_ROWS = 4000
 #: ASCII control characters, blank included: white space, or unusual enough to go to the library whole.
 CONTROLS = 33
+#: Punctuation that may be cut from the word it ends, where it is in no special token.
+ENDINGS = b"!\"#$%&()*+,-./:;=?@[]^_`{}~"
 
 
 def load_tokenizer(path: str):
@@ -39,6 +39,17 @@ def load_tokenizer(path: str):
     return worker_cache(f"tokenizer:{path}", make)
 
 
+def special_strings(tokenizer) -> list[str]:
+    """Strings that the tokenizer takes for special wherever they stand in a text."""
+    return [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+
+
+def endings(tokenizer) -> bytes:
+    """The punctuation that is cut from words: part of no special token."""
+    used = "".join(special_strings(tokenizer)).encode()
+    return bytes(b for b in ENDINGS if b not in used)
+
+
 def plain_rows(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """True for each text whose only ASCII controls are single blanks and line feeds inside it."""
     n = len(ends) - 1
@@ -56,60 +67,90 @@ def plain_rows(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return ok
 
 
-def encode_words(tokenizer, words: list[str]) -> dict[str, bytes]:
-    """Ids of each word as little-endian uint32 bytes. Words that begin with white space share calls."""
-    out = {w: b"" for w in words if not w}
-    tail = [w for w in words if w[:1] in (" ", "\n") and w]
-    head = [w for w in words if w[:1] not in ("", " ", "\n")]
-    for at in range(0, len(tail), WORDS_PER_CALL):
-        group = tail[at: at + WORDS_PER_CALL]
-        e = tokenizer.encode("".join(group), add_special_tokens=False)
-        starts = np.cumsum([len(w) for w in group[:-1]])
-        places = np.array([o[0] for o in e.offsets], dtype=np.int64)
-        cuts = [0, *(np.searchsorted(places, starts, side="left") * 4).tolist(), len(places) * 4]
-        ids = np.array(e.ids, dtype="<u4").tobytes()
-        out.update((w, ids[lo:hi]) for w, lo, hi in zip(group, cuts, cuts[1:]))
-    for at in range(0, len(head), WORDS_PER_CALL):
-        group = head[at: at + WORDS_PER_CALL]
-        for w, e in zip(group, tokenizer.encode_batch(group, add_special_tokens=False)):
-            out[w] = np.array(e.ids, dtype="<u4").tobytes()
+def atom_starts(data: np.ndarray, ends: np.ndarray, tails: bytes) -> np.ndarray:
+    """Byte positions at which the atoms of plain texts begin."""
+    n = len(data)
+    mark = np.zeros(n + 1, dtype=bool)
+    mark[ends] = True
+    feed = data == 10
+    mark[:n] |= (data == 32) | feed
+    mark[1:n] |= feed[:-1] & (data[1:] < 128)  # white space beyond ASCII may join the line feed
+    kind = np.zeros(256, dtype=bool)
+    kind[list(tails)] = True
+    tail = kind[data]
+    edge = np.flatnonzero(np.diff(tail, prepend=False, append=False))
+    first, stop = edge[::2], edge[1::2]  # runs of punctuation
+    before = data[np.maximum(first - 1, 0)] | 32
+    cut = (first > 0) & ~mark[first] & mark[stop] & (before >= 97) & (before <= 122)
+    mark[first[cut]] = True
+    return np.flatnonzero(mark[:n])
+
+
+def coded_atoms(texts: pa.Array, tails: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct atoms of plain texts, the atom of each place, and n + 1 offsets of the texts in places."""
+    data, ends = string_bytes(texts), string_offsets(texts)
+    starts = atom_starts(data, ends, tails)
+    places = np.concatenate((starts, [len(data)])).astype(np.int64)
+    atoms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data)))
+    coded = atoms.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.searchsorted(starts, ends, side="left")
+
+
+def encode_atoms(tokenizer, atoms: list[str]) -> dict[str, bytes]:
+    """Ids of each atom as little-endian uint32 bytes; many share a call, a special token between them."""
+    special = special_strings(tokenizer)
+    opens = {s[0] for s in special}
+    marker = None if tokenizer.encode_special_tokens else next(
+        (s for s in special if not opens & set(s[1:]) and not any(t != s and t.startswith(s) for t in special)), None)
+    out, shared, rest = {}, [], []
+    for a in atoms:  # an atom that holds no first character of a special token takes no part in one
+        (rest if marker is None or opens & set(a) else shared).append(a)
+    if shared:
+        own = tokenizer.token_to_id(marker)
+        groups = [shared[i: i + ATOMS_PER_CALL] for i in range(0, len(shared), ATOMS_PER_CALL)]
+        for at in range(0, len(groups), 256):
+            some = groups[at: at + 256]
+            for group, e in zip(some, tokenizer.encode_batch_fast([marker.join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                cuts = np.flatnonzero(ids == own) * 4
+                data = ids.tobytes()
+                out.update(zip(group, (data[lo:hi] for lo, hi in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]))))
+    for at in range(0, len(rest), 4096):
+        some = rest[at: at + 4096]
+        out.update((a, np.array(e.ids, dtype="<u4").tobytes()) for a, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)))
     return out
 
 
 class WordStore:
-    """Ids of words seen lately: once half of the room is taken the older half is forgotten, but for words used since."""
+    """What is known of atoms seen lately: once half of the room is taken the older half is forgotten, but for those used since."""
 
     def __init__(self, room: int = CACHED_WORDS):
         self.half, self.young, self.old = room // 2, {}, {}
 
-    def look(self, words: list[str]) -> list[bytes | None]:
-        """Ids of each word, None where unknown."""
+    def look(self, words: list[str]) -> list:
+        """What is known of each, None where unknown."""
         out = list(map(self.young.get, words))
-        for i, ids in enumerate(out):
-            if ids is None and (ids := self.old.get(words[i])) is not None:
-                self.young[words[i]] = out[i] = ids
+        if self.old:
+            for i, known in enumerate(out):
+                if known is None and (known := self.old.get(words[i])) is not None:
+                    self.young[words[i]] = out[i] = known
         return out
 
-    def add(self, words: dict[str, bytes]) -> None:
+    def add(self, words: dict) -> None:
         self.young.update(words)
         if len(self.young) > self.half:
             self.old, self.young = self.young, {}
 
-
-def word_table(tokenizer, words: list[str], store: WordStore) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all words end to end, where each word's ids start, and their counts.
-
-    A last full stop or comma after an ASCII letter is a pre-token of its own, so it is encoded apart.
-    """
-    marks = encode_words(tokenizer, [".", ","])
-    stems = [w[:-1] if w[-1:] in marks and w[-2:-1].isascii() and w[-2:-1].isalpha() else w for w in words]
-    ids = store.look(stems)
-    new = encode_words(tokenizer, list(dict.fromkeys(w for w, v in zip(stems, ids) if v is None)))
-    store.add(new)
-    ids = [new[w] if v is None else v for w, v in zip(stems, ids)]
-    parts = [v if len(s) == len(w) else v + marks[w[-1]] for w, s, v in zip(words, stems, ids)]
-    counts = np.array([len(p) for p in parts], dtype=np.int64) // 4
-    return np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(counts) - counts, counts
+    def of(self, words: list[str], make) -> list:
+        """What is known of each; ``make`` gives it for a list of unknown ones."""
+        out = self.look(words)
+        where = [i for i, known in enumerate(out) if known is None]
+        if where:
+            new = make([words[i] for i in where])
+            self.add(new)
+            for i in where:
+                out[i] = new[words[i]]
+        return out
 
 
 def spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -123,23 +164,19 @@ def spread(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def encode_column(tokenizer, texts: pa.Array, end_id: int | None = None, store: WordStore | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end as uint32, and n + 1 offsets; ``end_id`` is appended to each text.
 
-    ``texts`` holds no nulls. An empty text has no ids besides the end id. ``store``: ids of words
+    ``texts`` holds no nulls. An empty text has no ids besides the end id. ``store``: ids of atoms
     seen before, for calls with the same tokenizer.
     """
     n = len(texts)
-    ends = string_offsets(texts)
-    plain = plain_rows(string_bytes(texts), ends)
+    plain = plain_rows(string_bytes(texts), string_offsets(texts))
     rows = np.flatnonzero(plain)
     own = texts.filter(pa.array(plain)) if len(rows) < n else texts
-    marked = pc.replace_substring(pc.replace_substring(own, " ", "\x01 "), "\n", "\x01\n")
-    split = pc.split_pattern(marked, "\x01")
-    per_row = np.diff(split.offsets.to_numpy())
-    coded = split.flatten().dictionary_encode()
-    flat, begins, counts = word_table(tokenizer, coded.dictionary.to_pylist(), store or WordStore())
-    which = coded.indices.to_numpy()
+    atoms, which, row_ends = coded_atoms(own, endings(tokenizer))
+    parts = (store or WordStore()).of(atoms, lambda new: encode_atoms(tokenizer, new))
+    counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+    flat, begins = np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(counts) - counts
     each = counts[which]
     sums = np.concatenate(([0], np.cumsum(each)))
-    row_ends = np.concatenate(([0], np.cumsum(per_row)))
     n_ids = np.zeros(n, dtype=np.int64)
     n_ids[rows] = sums[row_ends[1:]] - sums[row_ends[:-1]]
     slow = np.flatnonzero(~plain)
