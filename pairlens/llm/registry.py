@@ -12,6 +12,9 @@ from pairlens.llm.op07_sharding import op7_sharding
 from pairlens.llm.op08_transducer import op8_transducer
 from pairlens.llm.op09_packing import op9_packing
 from pairlens.llm.op10_simhash import op10_simhash
+from pairlens.llm.op11_warc import OP11_SQL, op11_warc
+from pairlens.llm.op12_merkle import OP12_SQL, op12_merkle
+from pairlens.llm.op13_alignment import op13_alignment
 
 QUERIES = {
     "op1_spotsigs": op1_spotsigs,
@@ -24,8 +27,11 @@ QUERIES = {
     "op8_transducer": op8_transducer,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_warc": op11_warc,
+    "op12_merkle": op12_merkle,
+    "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op5_mixing": OP5_SQL}
+ORACLE = {"op5_mixing": OP5_SQL, "op11_warc": OP11_SQL, "op12_merkle": OP12_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -188,7 +188,7 @@ def test_shards_are_near_equal(spark, monkeypatch):
 
 def test_registry():
     assert [k for k in QUERIES if k.startswith("op")] == sorted((k for k in QUERIES if k.startswith("op")), key=lambda k: int(k[2:].split("_")[0]))
-    assert len(QUERIES) == 11 and "pipeline" in QUERIES and set(ORACLE) <= set(QUERIES)
+    assert len(QUERIES) == 14 and "pipeline" in QUERIES and set(ORACLE) <= set(QUERIES)
 
 
 def test_mixing_equals_its_sql(spark):
