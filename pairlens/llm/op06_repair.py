@@ -2,16 +2,17 @@
 
 Documents go into buckets in ascending id order; a task encodes a bucket's texts and closes a shard when
 it holds enough ids. A shard's ids are compressed by rounds: pairs of neighbouring symbols are counted,
-the frequent ones become nonterminals, and their occurrences are replaced from left to right, until no
-pair is frequent or symbols would no longer fit in two bytes. The shard stores the rules, the length
-that each nonterminal expands to, the symbols, and the id position of every 1024th symbol, so any range
-of ids is decoded from the symbols that cover it alone.
+the frequent ones become nonterminals, and their occurrences are replaced, of overlapping ones the more
+frequent pair's, until no pair is frequent; nonterminals are part of later pairs, so rules nest. The shard
+stores the rules, the length that each nonterminal expands to, the symbols, and the id position of every
+1024th symbol, so any range of ids is decoded from the symbols that cover it alone.
 
 Shards are written as rows of a Parquet table in the folder that ``spark.checkpoint.dir`` names, through
-Spark's writer, and read back through its reader. Layout of a shard, little-endian: ``RPR1``; vocabulary
-size, number of rules, bytes a symbol (uint32); number of symbols, documents, marks (uint64); rules
-(2 uint32 each); their expansion lengths (uint32); marks (uint64); document ids (int64) and whether each
-is null (uint8); the documents' ends as id positions (uint64); symbols (uint16 or uint32).
+Spark's writer, and read back through its reader. Layout of a shard, little-endian: ``RPR2``; vocabulary
+size, number of rules, bits of a symbol and of an expansion length (uint32); number of symbols, documents,
+marks (uint64); rules (2 symbols each); their expansion lengths; marks (uint64); document ids (int64) and
+whether each is null (uint8); the documents' ends as id positions (uint64); symbols. Symbols and lengths
+are packed by bits, each part filled up to whole bytes.
 
 Defined cases: a null or empty text has the end id alone; null ids come before all others; rows with one
 id come in order of their texts' hashes; equal rows are stored each; an empty table gives no shards
@@ -30,97 +31,145 @@ from pyspark.sql import functions as F
 
 from pairlens.llm.common import gathered, read, shared_folder, small_batches, text_or_empty, worker_cache
 from pairlens.llm.ordering import bounds, bucketed, order_key
-from pairlens.llm.word_ids import ENCODE_BYTES, WordStore, encode_column, load_tokenizer
+from pairlens.llm.word_ids import ENCODE_BYTES, WordStore, encode_column, load_tokenizer, spread
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Ids of a shard, about.
 SHARD_IDS = 2 << 20
-#: A pair is frequent from so many occurrences in a shard on; rounds at most; hash bits of the pair counts.
+#: A pair is frequent from so many occurrences in a shard on; a rule is kept if it replaces so many.
 FREQUENT = 16
-ROUNDS = 12
+WORTH = 4
+#: Hash bits of the first pair counts; sweeps by rank over overlapping occurrences; values packed at once.
 HASH_BITS = 20
+SWEEPS = 24
+PACK_ROWS = 1 << 16
 #: Symbols between two marks.
 MARK = 1024
-HEAD = "<4sIIIQQQ"
+HEAD = "<4sIIIIQQQ"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def frequent_pairs(keys: np.ndarray, slot: np.ndarray, room: int) -> np.ndarray:
-    """The most frequent pairs, at most ``room``, no two of one hash slot."""
-    seen = np.bincount(slot, minlength=1 << HASH_BITS)
-    often = seen >= FREQUENT
-    pairs, n = np.unique(keys[often[slot]], return_counts=True)
-    pairs, n = pairs[n >= FREQUENT], n[n >= FREQUENT]
-    pairs = pairs[np.argsort(-n, kind="stable")]
-    _, first = np.unique(hashed(pairs), return_index=True)
-    return pairs[np.sort(first)[:room]]
-
-
 def hashed(keys: np.ndarray) -> np.ndarray:
     return ((keys * MULTIPLIER) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
-def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rules as rows of two symbols, symbols); nonterminal k is symbol vocabulary + k."""
-    symbols = ids.astype(np.uint32)
-    rules = np.zeros((0, 2), dtype=np.uint32)
-    most = (1 << 16) - vocabulary if vocabulary < 1 << 16 else 1 << 20
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 or len(rules) >= most:
+def beside(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values at the place before and at the place behind each of the ascending places; 0 where there is none."""
+    near = np.diff(at) == 1
+    behind, ahead = np.zeros_like(values), np.zeros_like(values)
+    behind[1:], ahead[:-1] = values[:-1] * near, values[1:] * near
+    return behind, ahead
+
+
+def without_overlaps(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the occurrences ``at`` (ascending places of pairs, each with its pair's rank from 1) are replaced: of two
+    that overlap the one of the higher rank, of a run of one pair every other one; in the end none is left that could be."""
+    taken = np.zeros(len(at), dtype=bool)
+    left = np.arange(len(at))
+    for sweep in range(SWEEPS + 1):
+        if not len(left):
             break
-        keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+        behind, ahead = beside(at, rank)
+        now = (behind < rank) & (ahead < rank)
+        same = np.flatnonzero((behind == rank) | (ahead == rank))
+        if sweep == SWEEPS:  # long chains of ever higher ranks: from left to right
+            place = np.arange(len(at))
+            now = (place - np.maximum.accumulate(np.where(behind == 0, place, 0))) % 2 == 0
+        elif len(same):  # runs of one pair
+            first, last = same[behind[same] != rank[same]], same[ahead[same] != rank[same]]
+            wins = (behind[first] < rank[first]) & (ahead[last] < rank[last])
+            run = np.searchsorted(first, same, side="right") - 1
+            now[same] = wins[run] & ((same - first[run]) % 2 == 0)
+        taken[left[now]] = True
+        still = ~(now | np.logical_or(*beside(at, now)))
+        at, rank, left = at[still], rank[still], left[still]
+    return taken
+
+
+def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules as rows of two symbols, expansion lengths of all symbols, the symbols that are left).
+
+    Nonterminal k is symbol vocabulary + k. After the first round only pairs that hold a nonterminal of the last one
+    can have become frequent, so later rounds look at those places alone.
+    """
+    symbols = ids.astype(np.uint32)
+    rules, lengths, fresh = [np.zeros((0, 2), dtype=np.uint32)], np.ones(vocabulary, dtype=np.int64), 0
+    while len(symbols) > 1:
+        new = symbols >= fresh
+        at = np.flatnonzero(new[:-1] | new[1:])
+        keys = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
         slot = hashed(keys)
-        pairs = frequent_pairs(keys, slot, most - len(rules))
-        if not len(pairs):
+        often = (np.bincount(slot, minlength=1 << HASH_BITS) >= FREQUENT)[slot]  # no frequent pair is left out
+        at, keys = at[often], keys[often]
+        coded = pa.array(keys).dictionary_encode()
+        pairs, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        n = np.bincount(which, minlength=len(pairs))
+        rank = np.empty(len(pairs), dtype=np.int32)
+        rank[np.argsort(n, kind="stable")] = np.arange(1, len(pairs) + 1)
+        some = (n >= FREQUENT)[which]
+        at, which = at[some], which[some]
+        taken = without_overlaps(at, rank[which])
+        at, which = at[taken], which[taken]
+        used = np.bincount(which, minlength=len(pairs)) >= WORTH
+        if not used.any():
             break
-        own = np.zeros(1 << HASH_BITS, dtype=np.uint64)
-        name = np.zeros(1 << HASH_BITS, dtype=np.uint32)
-        own[hashed(pairs)] = pairs
-        name[hashed(pairs)] = vocabulary + len(rules) + np.arange(len(pairs))
-        hit = (own[slot] == keys) & (name[slot] > 0)
-        # of overlapping occurrences every other one, from the left
-        at = np.flatnonzero(hit)
-        opens = np.diff(at, prepend=-2) > 1
-        nth = np.arange(len(at)) - np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))
-        at = at[nth % 2 == 0]
-        symbols = symbols.copy()
-        symbols[at] = name[slot[at]]
+        at, which = at[used[which]], which[used[which]]
+        fresh = len(lengths)
+        symbols[at] = (fresh - 1 + np.cumsum(used))[which]
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
         symbols = symbols[keep]
-        rules = np.vstack([rules, np.stack([(pairs >> np.uint64(32)), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
-    return rules, symbols
+        made = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        rules.append(made)
+        lengths = np.concatenate((lengths, lengths[made[:, 0]] + lengths[made[:, 1]]))
+    return np.vstack(rules), lengths, symbols
+
 
+def bits_of(values: np.ndarray) -> int:
+    return max(1, int(values.max(initial=0)).bit_length())
 
-def rule_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Ids that each nonterminal expands to; rules only use symbols made before them."""
-    out = np.ones(len(rules), dtype=np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = sum(1 if s < vocabulary else out[s - vocabulary] for s in (a, b))
-    return out
+
+def packed(values: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bits of each value, end to end."""
+    parts = []
+    for at in range(0, len(values), PACK_ROWS):  # whole bytes, as this is a multiple of 8
+        some = values[at: at + PACK_ROWS].astype("<u4").view(np.uint8).reshape(-1, 4)
+        parts.append(np.packbits(np.unpackbits(some, axis=1, bitorder="little")[:, :width], bitorder="little").tobytes())
+    return b"".join(parts)
+
+
+def unpacked(data: np.ndarray, width: int, start: int, stop: int) -> np.ndarray:
+    """Values ``start`` (a multiple of 8) to ``stop`` of packed ones."""
+    parts = [np.zeros(0, dtype=np.uint32)]
+    for at in range(start, stop, PACK_ROWS):
+        n = min(stop - at, PACK_ROWS)
+        bits = np.unpackbits(data[at * width // 8: -(-(at + n) * width // 8)], bitorder="little")[: n * width].reshape(n, width)
+        wide = np.zeros((n, 32), dtype=np.uint8)
+        wide[:, :width] = bits
+        parts.append(np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel())
+    return np.concatenate(parts)
 
 
 def encode_shard(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
-    rules, symbols = compress(ids, vocabulary)
-    lengths = rule_lengths(rules, vocabulary)
-    places = np.cumsum(np.concatenate((np.ones(vocabulary, dtype=np.int64), lengths))[symbols])
-    marks = np.concatenate(([0], places[MARK - 1::MARK]))
-    width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
+    rules, lengths, symbols = compress(ids, vocabulary)
+    marks = np.concatenate(([0], np.cumsum(lengths[symbols])[MARK - 1::MARK]))
+    own = lengths[vocabulary:]
+    width, long = max(1, (vocabulary + len(rules) - 1).bit_length()), bits_of(own)
     return b"".join([
-        struct.pack(HEAD, b"RPR1", vocabulary, len(rules), width, len(symbols), len(doc_ids), len(marks)),
-        rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), marks.astype("<u8").tobytes(),
+        struct.pack(HEAD, b"RPR2", vocabulary, len(rules), width, long, len(symbols), len(doc_ids), len(marks)),
+        packed(rules.ravel(), width), packed(own, long), marks.astype("<u8").tobytes(),
         np.array([0 if i is None else i for i in doc_ids], dtype="<i8").tobytes(),
         np.array([i is None for i in doc_ids], dtype=np.uint8).tobytes(),
-        ends.astype("<u8").tobytes(), symbols.astype(f"<u{width}").tobytes()])
+        ends.astype("<u8").tobytes(), packed(symbols, width)])
 
 
 class Shard:
     """A shard's parts, and its ids by range."""
 
     def __init__(self, data: bytes):
-        magic, self.vocabulary, rules, width, symbols, docs, marks = struct.unpack_from(HEAD, data)
-        if magic != b"RPR1":
+        magic, self.vocabulary, rules, self.width, long, self.n, docs, marks = struct.unpack_from(HEAD, data)
+        if magic != b"RPR2":
             raise ValueError("not a shard")
         at = struct.calcsize(HEAD)
 
@@ -130,28 +179,30 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.rules = part("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
-        self.lengths = np.concatenate((np.ones(self.vocabulary, dtype=np.int64), part("<u4", rules)))
+        self.rules = unpacked(part(np.uint8, -(-2 * rules * self.width // 8)), self.width, 0, 2 * rules).reshape(-1, 2).astype(np.int64)
+        lengths = unpacked(part(np.uint8, -(-rules * long // 8)), long, 0, rules)
+        self.lengths = np.concatenate((np.ones(self.vocabulary, dtype=np.int64), lengths))
         self.marks = part("<u8", marks).astype(np.int64)
         ids, null = part("<i8", docs), part(np.uint8, docs)
         self.doc_ids = [None if z else i for i, z in zip(ids.tolist(), null.tolist())]
         self.ends = part("<u8", docs).astype(np.int64)
-        self.symbols = part(f"<u{width}", symbols)
+        self.symbols = part(np.uint8, -(-self.n * self.width // 8))
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        out = symbols.astype(np.int64)
-        while len(out):
-            deep = out >= self.vocabulary
-            if not deep.any():
-                break
+        out, ends = np.arange(self.vocabulary, self.vocabulary + rules), np.arange(rules + 1)
+        while (deep := out >= self.vocabulary).any():  # all rules at once, a step deeper each time
             n = 1 + deep
             place = np.cumsum(n) - n
             wide = np.empty(int(n.sum()), dtype=np.int64)
             wide[place[~deep]] = out[~deep]
             pairs = self.rules[out[deep] - self.vocabulary]
             wide[place[deep]], wide[place[deep] + 1] = pairs[:, 0], pairs[:, 1]
-            out = wide
-        return out.astype(np.uint32)
+            out, ends = wide, np.append(place, len(wide))[ends]
+        #: What each symbol expands to, end to end, and where it begins.
+        self.flat = np.concatenate((np.arange(self.vocabulary), out)).astype(np.uint32)
+        self.begins = np.concatenate((np.arange(self.vocabulary), self.vocabulary + ends[:-1]))
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        return self.flat[spread(self.begins[symbols], self.lengths[symbols])]
 
     def ids(self, start: int | None = None, end: int | None = None) -> np.ndarray:
         """Ids from position start to end, from the symbols that cover them."""
@@ -161,7 +212,7 @@ class Shard:
             return np.zeros(0, dtype=np.uint32)
         mark = int(np.searchsorted(self.marks, start, side="right")) - 1
         stop = int(np.searchsorted(self.marks, end, side="left"))
-        run = self.symbols[mark * MARK: stop * MARK if stop < len(self.marks) else len(self.symbols)]
+        run = unpacked(self.symbols, self.width, mark * MARK, stop * MARK if stop < len(self.marks) else self.n)
         places = self.marks[mark] + np.cumsum(self.lengths[run])
         lo, hi = int(np.searchsorted(places, start, side="right")), int(np.searchsorted(places, end, side="left")) + 1
         skip = start - int(places[lo - 1] if lo else self.marks[mark])

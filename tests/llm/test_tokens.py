@@ -54,8 +54,10 @@ def test_token_counts_of_edge_rows(edge_docs, edge_rows, no_docs):
 def test_repair_round_trip_and_random_access():
     rng = np.random.default_rng(4)
     ids = np.concatenate([np.tile(rng.integers(0, 50, 9), 400), rng.integers(0, 90, 5000), np.full(999, 7), [3]]).astype(np.uint32)
-    rules, symbols = rep.compress(ids, 100)
-    assert len(symbols) < 0.7 * len(ids) and len(rules)
+    rules, lengths, symbols = rep.compress(ids, 100)
+    assert len(symbols) < 0.7 * len(ids) and len(rules) and lengths.max() > 16
+    left, n = np.unique((symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:], return_counts=True)
+    assert (n[left >> np.uint64(32) != left & np.uint64(0xFFFFFFFF)] < rep.FREQUENT).all()  # no pair is frequent any more
     data = rep.encode_shard([1, None, 3], np.array([10, 10, len(ids)]), ids, 100)
     shard = rep.Shard(data)
     assert shard.doc_ids == [1, None, 3] and (shard.ids() == ids).all()
@@ -67,6 +69,31 @@ def test_repair_round_trip_and_random_access():
     assert len(empty.ids()) == 0
 
 
+def test_repair_nests_its_rules():
+    rng = np.random.default_rng(5)
+    copies = np.tile(rng.integers(0, 49_408, 20_000), 100).astype(np.uint32)
+    rules, lengths, symbols = rep.compress(copies, 49_408)
+    assert len(symbols) + len(rules) < 20_000 + 300 and lengths.max() > 10_000
+    data = rep.encode_shard([1], np.array([len(copies)]), copies, 49_408)
+    assert (rep.Shard(data).ids() == copies).all() and len(data) < 0.02 * copies.nbytes
+    run = np.full(100_003, 7, dtype=np.uint32)
+    data = rep.encode_shard([1], np.array([len(run)]), run, 49_408)
+    assert (rep.Shard(data).ids() == run).all() and len(data) < 1000
+    at, rank = np.arange(3000), np.arange(1, 3001, dtype=np.int32)  # overlapping pairs of ever higher rank
+    taken = rep.without_overlaps(at, rank)
+    assert not (taken[1:] & taken[:-1]).any() and (taken | np.append(taken[1:], False) | np.append(False, taken[:-1])).all()
+
+
+def test_values_packed_by_bits():
+    rng = np.random.default_rng(6)
+    for width in (1, 3, 16, 17, 31, 32):
+        values = rng.integers(0, 1 << width, 70_001).astype(np.uint32)
+        data = np.frombuffer(rep.packed(values, width), dtype=np.uint8)
+        assert len(data) == -(-len(values) * width // 8)
+        for lo, hi in ((0, len(values)), (1024, 3000), (65_536, 70_001), (8, 8)):
+            assert (rep.unpacked(data, width, lo, hi) == values[lo:hi]).all()
+
+
 @pytest.mark.parametrize("rows", [4096, 9])
 def test_shards_return_every_documents_ids(spark, edge_docs, edge_rows, no_docs, tmp_path, monkeypatch, rows):
     monkeypatch.setattr(ordering.bounds, "__defaults__", (rows,))
