@@ -1,31 +1,35 @@
 """Exact blocked cosine top-k (J6, J7, W2, T1, T2) as a tiled, cogrouped Arrow matmul.
 
-Queries and candidates share block keys (e.g. concept + target label). Each block is
-cut into tiles of at most ``tile`` rows per side; a query row is replicated once per
-candidate tile of its block and a candidate row once per query tile, so every
-(query tile, candidate tile) cell meets in exactly one cogroup call. That call multiplies
+Queries and candidates share block keys (e.g. concept + target label). A block of more than ``tile``
+candidates gets an index of tiles of near candidates, and a query visits those tiles alone that
+can hold one of its k best (``_pruned_topk``). A tile's rows and the queries that visit it are cut into
+parts of at most ``tile`` rows; every (query part, candidate part) cell meets in exactly one cogroup
+call. That call multiplies
 normalised vectors a few hundred queries at a time and emits only its local top-k per query -
 never the similarity matrix. A final ``row_number`` over (block, query) merges the
 partial top-k lists (at most k x #candidate tiles rows per query).
 
 Memory per task is bounded by ``tile`` x dim on each side, whatever the block size:
-a block holding a third of all rows just becomes more tiles. Tile counts come from
-per-block counts; that table has one row per block (a fixed label domain) and is broadcast,
-so vectors are shuffled once, by tile.
+a block holding a third of all rows just becomes more tiles. Tables of blocks and tiles are
+bounded by the label domains and by MAX_TILES, and are broadcast.
 
 Order: rounded similarity (9 digits) descending, then candidate id ascending.
 """
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from pairlens.constants import NORM_EPS, SIM_DIGITS
+from pairlens.session import cut_lineage
 
 # The cogroup function runs in executor Python workers: ship this module's code by value
 # so executors do not need the package installed or on their path.
@@ -38,6 +42,11 @@ _cp.register_pickle_by_value(sys.modules[__name__])
 #: Rows of a tile side (each vector is copied once per opposite tile), and query rows of one matmul.
 TILE_ROWS = 16_384
 MATMUL_ROWS = 256
+#: Centres of the candidate index at most, and rows sampled for each.
+MAX_TILES = 4096
+SAMPLE = 4
+#: A tile is left only if its bound stays below the k-th cosine by more than rounding.
+BOUND_SLACK = 1e-7
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -63,9 +72,10 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _tile_topk_fn(block_cols, q_id, c_id, vec, k):
     def fn(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        cols = [*block_cols, q_id, c_id, "sim"]
         if qp.empty or cp.empty:
-            return pd.DataFrame({c: [] for c in cols})
+            some = qp if cp.empty else cp
+            return pd.DataFrame({**{b: some[b][:0] for b in block_cols}, q_id: np.zeros(0, dtype=qp[q_id].dtype),
+                                 c_id: np.zeros(0, dtype=cp[c_id].dtype), "sim": np.zeros(0)})
         cp = cp.sort_values(c_id, kind="stable")
         left, right = _unit_rows(qp[vec]), _unit_rows(cp[vec])
         found = []
@@ -83,33 +93,163 @@ def _tile_topk_fn(block_cols, q_id, c_id, vec, k):
     return fn
 
 
-def cosine_topk(queries: DataFrame, candidates: DataFrame, k: int, block_cols: list[str],
-                q_id: str = "qid", c_id: str = "cid", vec: str = "vec", tile: int = TILE_ROWS) -> DataFrame:
-    """Top-k candidates per (block, query) by cosine; returns block cols, q_id, rank, c_id, sim.
-
-    Rows without a vector take no part. The block keys are labels of fixed domains, so the table of
-    tile counts has at most their product of rows and travels to the tasks that hold the vectors.
-    """
-    q = queries.select(*block_cols, q_id, vec).where(F.col(vec).isNotNull())
-    c = candidates.select(*block_cols, c_id, vec).where(F.col(vec).isNotNull())
-    nq = q.groupBy(*block_cols).agg(F.count(F.lit(1)).alias("_nq"))
-    nc = c.groupBy(*block_cols).agg(F.count(F.lit(1)).alias("_nc"))
-    tiles = nq.join(nc, block_cols).select(
-        *block_cols, F.ceil(F.col("_nq") / tile).cast("int").alias("_qt"),
-        F.ceil(F.col("_nc") / tile).cast("int").alias("_ct"))
+def _tile_parts(q: DataFrame, c: DataFrame, tiles: DataFrame, keys: list[str], q_id: str, c_id: str, vec: str, k: int, schema: StructType) -> DataFrame:
+    """Partial top-k lists of all (query part, candidate part) cells of each tile. ``tiles``: keys, ``_qt`` and ``_ct`` parts."""
     tiles = F.broadcast(tiles)
-    q2 = (q.join(tiles, block_cols)
+    q2 = (q.join(tiles, keys)
           .withColumn("_qtile", F.pmod(F.xxhash64(q_id), F.col("_qt")).cast("int"))
           .withColumn("_ctile", F.explode(F.sequence(F.lit(0), F.col("_ct") - 1)))
           .drop("_qt", "_ct"))
-    c2 = (c.join(tiles, block_cols)
+    c2 = (c.join(tiles, keys)
           .withColumn("_ctile", F.pmod(F.xxhash64(c_id), F.col("_ct")).cast("int"))
           .withColumn("_qtile", F.explode(F.sequence(F.lit(0), F.col("_qt") - 1)))
           .drop("_qt", "_ct"))
-    keys = [*block_cols, "_qtile", "_ctile"]
+    cell = [*keys, "_qtile", "_ctile"]
+    return q2.groupBy(*cell).cogroup(c2.groupBy(*cell)).applyInPandas(_tile_topk_fn(keys, q_id, c_id, vec, k), schema)
+
+
+def _ranked(partial: DataFrame, keys: list[str], q_id: str, c_id: str, k: int) -> DataFrame:
+    w = Window.partitionBy(*keys, q_id).orderBy(F.round("sim", SIM_DIGITS).desc(), F.col(c_id))
+    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def cosine_topk(queries: DataFrame, candidates: DataFrame, k: int, block_cols: list[str],
+                q_id: str = "qid", c_id: str = "cid", vec: str = "vec", tile: int = TILE_ROWS, most: int | None = None,
+                visits: dict | None = None) -> DataFrame:
+    """Top-k candidates per (block, query) by cosine; returns block cols, q_id, c_id, sim, rank.
+
+    Rows without a vector take no part. The block keys are labels of fixed domains, so tables of blocks
+    and tile counts have at most their product of rows. ``most``: no block has more candidates, if known.
+    Where a block may have more than a tile, a candidate index prunes tiles; the rows are the same.
+    ``visits``, if given, receives how many (query, tile) pairs were visited and how many there are.
+    """
+    q = queries.select(*block_cols, q_id, vec).where(F.col(vec).isNotNull())
+    c = candidates.select(*block_cols, c_id, vec).where(F.col(vec).isNotNull())
+    if most is None or most > tile:
+        return _pruned_topk(q, c, k, block_cols, q_id, c_id, vec, tile, {} if visits is None else visits)
+    tiles = q.groupBy(*block_cols).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_qt")).withColumn("_ct", F.lit(1))
     schema = StructType([queries.schema[b] for b in block_cols]
                         + [queries.schema[q_id], candidates.schema[c_id], StructField("sim", DoubleType())])
-    partial = q2.groupBy(*keys).cogroup(c2.groupBy(*keys)).applyInPandas(
-        _tile_topk_fn(block_cols, q_id, c_id, vec, k), schema)
-    w = Window.partitionBy(*block_cols, q_id).orderBy(F.round("sim", SIM_DIGITS).desc(), F.col(c_id))
-    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _ranked(_tile_parts(q, c, tiles, block_cols, q_id, c_id, vec, k, schema), block_cols, q_id, c_id, k)
+
+
+# ---------------------------------------------------------------- candidate index
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Rows of a list column without nulls as unit vectors."""
+    m = pc.list_flatten(col).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1)), NORM_EPS)[:, None]
+
+
+def _spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` rows of the sample, each the farthest from those before (k-centre, greedy)."""
+    near, picked = sample @ sample[0], [0]
+    while len(picked) < min(n, len(sample)) and near.min() < 1 - 1e-9:
+        picked.append(int(near.argmin()))
+        near = np.maximum(near, sample @ sample[picked[-1]])
+    return sample[picked]
+
+
+def _angles(m: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(m, -1.0, 1.0))
+
+
+def _by_block(numbers: np.ndarray):
+    order = np.argsort(numbers, kind="stable")
+    cuts = np.flatnonzero(np.diff(numbers[order])) + 1
+    return [(int(numbers[rows[0]]), rows) for rows in np.split(order, cuts) if len(rows)]
+
+
+def _assign_fn(centres: list[np.ndarray]):
+    """Candidates with the tile of their nearest centre and the cosine to it."""
+    def run(batches):
+        for batch in batches:
+            unit, at = _matrix(batch.column(2)), batch.column(0).to_numpy()
+            tile, cos = np.zeros(len(at), dtype=np.int32), np.zeros(len(at))
+            for b, rows in _by_block(at):
+                sims = unit[rows] @ centres[b].T
+                tile[rows] = sims.argmax(axis=1)
+                cos[rows] = sims.max(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tile), pa.array(cos), *batch.columns[1:]], ["_b", "_t", "_cos", *batch.schema.names[1:]])
+    return run
+
+
+def _route_fn(centres: list[np.ndarray], sizes: list[np.ndarray], radii: list[np.ndarray], k: int, rest: bool):
+    """Queries with each tile to visit: at first the nearest ones that hold ``k`` candidates, then all others whose bound on
+    the cosine reaches the k-th found (column 3; null where fewer were found)."""
+    def run(batches):
+        for batch in batches:
+            unit, at = _matrix(batch.column(2)), batch.column(0).to_numpy()
+            found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))]
+            for b, rows in _by_block(at):
+                for own in np.array_split(rows, -(-len(rows) // MATMUL_ROWS)):
+                    angle = _angles(unit[own] @ centres[b].T)
+                    order = np.argsort(angle, axis=1, kind="stable")
+                    before = np.cumsum(sizes[b][order], axis=1) - sizes[b][order]
+                    first = np.zeros(angle.shape, dtype=bool)
+                    np.put_along_axis(first, order, before < k, axis=1)
+                    if rest:
+                        kth = batch.column(3).to_numpy(zero_copy_only=False)[own]
+                        bound = np.cos(np.maximum(0.0, angle - radii[b]))
+                        first = ~first & (bound >= np.where(np.isnan(kth), -2.0, kth)[:, None] - BOUND_SLACK)
+                    q, t = np.nonzero(first & (sizes[b] > 0))
+                    found.append((own[q], t.astype(np.int32)))
+            rows, tiles = (np.concatenate(x) for x in zip(*found))
+            some = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(tiles), some.column(1), some.column(2)], ["_b", "_t", *batch.schema.names[1:3]])
+    return run
+
+
+def _pruned_topk(q: DataFrame, c: DataFrame, k: int, block_cols: list[str], q_id: str, c_id: str, vec: str, tile: int, visits: dict) -> DataFrame:
+    """Exact top-k through tiles of near candidates (a centre and the widest angle to it each).
+
+    A candidate's cosine is at most cos(angle to the tile's centre - the tile's widest angle). Queries go to
+    their nearest tiles first, and then to those whose bound reaches the k-th cosine found; a tile beyond it cannot
+    hold a better or an equal one. Centres are spread over a sample of a bounded number of candidates; all
+    candidates are in a tile. At most MAX_TILES centres and their sizes reach the driver and the tasks.
+    """
+    spark = q.sparkSession
+    blocks = c.groupBy(*block_cols).agg(F.count(F.lit(1)).alias("_n")).where(reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in block_cols])).collect()
+    total = sum(r["_n"] for r in blocks)
+    rows_a_tile = max(tile, -(-total // MAX_TILES))
+    wanted = [-(-r["_n"] // rows_a_tile) for r in blocks]
+    names = spark.createDataFrame([(*[r[x] for x in block_cols], i, r["_n"], wanted[i]) for i, r in enumerate(blocks)],
+                                  StructType([c.schema[x] for x in block_cols] + [StructField("_b", IntegerType()), StructField("_n", LongType()), StructField("_m", LongType())]))
+    numbered = c.join(F.broadcast(names), block_cols)
+    sample = numbered.where(F.pmod(F.xxhash64(c_id), F.col("_n")) < SAMPLE * F.col("_m")).select("_b", vec).toArrow()
+    centres = [np.zeros((0, 1))] * len(blocks)
+    if sample.num_rows:
+        unit = _matrix(sample.column(1).combine_chunks())
+        for b, rows in _by_block(sample.column(0).to_numpy()):
+            centres[b] = _spread(unit[rows], wanted[b])
+        dim = unit.shape[1]
+        # a block that the sample missed has one tile of any direction
+        centres = [x if len(x) else np.eye(1, dim) for x in centres]
+    elif blocks:
+        one = _matrix(c.select(vec).limit(1).toArrow().column(0).combine_chunks())
+        centres = [one] * len(blocks)
+    own = numbered.select("_b", c_id, vec)
+    kinds = {f.name: f.dataType.simpleString() for f in c.schema}
+    tiled = cut_lineage(own.mapInArrow(_assign_fn(centres), f"_b int, _t int, _cos double, {c_id} {kinds[c_id]}, {vec} {kinds[vec]}"))
+    sizes = [np.zeros(len(x), dtype=np.int64) for x in centres]
+    radii = [np.zeros(len(x)) for x in centres]
+    for r in tiled.groupBy("_b", "_t").agg(F.count(F.lit(1)).alias("n"), F.min("_cos").alias("cos")).collect():
+        sizes[r["_b"]][r["_t"]], radii[r["_b"]][r["_t"]] = r["n"], _angles(np.array(r["cos"]))
+    tiled = tiled.drop("_cos")
+    qs = cut_lineage(q.join(F.broadcast(names), block_cols).select("_b", q_id, vec))
+    kind = f"_b int, _t int, {q_id} {dict(q.dtypes)[q_id]}, {vec} {dict(q.dtypes)[vec]}"
+    schema = StructType([StructField("_b", IntegerType()), StructField("_t", IntegerType()), q.schema[q_id], c.schema[c_id], StructField("sim", DoubleType())])
+
+    def search(rows: DataFrame, rest: bool) -> DataFrame:
+        routed = rows.mapInArrow(_route_fn(centres, sizes, radii, k, rest), kind)
+        held = routed.groupBy("_b", "_t").agg(F.count(F.lit(1)).alias("n")).collect()
+        visits["visited"] = visits.get("visited", 0) + sum(r["n"] for r in held)
+        parts = spark.createDataFrame([(r["_b"], r["_t"], -(-r["n"] // tile), int(-(-sizes[r["_b"]][r["_t"]] // tile))) for r in held],
+                                      "_b int, _t int, _qt int, _ct int")
+        return _tile_parts(routed, tiled, parts, ["_b", "_t"], q_id, c_id, vec, k, schema).select("_b", q_id, c_id, "sim")
+
+    visits["all"] = sum(r["n"] * int((sizes[r["_b"]] > 0).sum()) for r in qs.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
+    found = cut_lineage(_ranked(search(qs, False), ["_b"], q_id, c_id, k))
+    kth = found.where(F.col("rank") == k).select("_b", q_id, F.round("sim", SIM_DIGITS).alias("_kth"))
+    more = search(qs.join(kth, ["_b", q_id], "left").select("_b", q_id, vec, "_kth"), True)
+    out = _ranked(found.drop("rank").unionByName(more), ["_b"], q_id, c_id, k)
+    return out.join(F.broadcast(names), "_b").select(*block_cols, q_id, c_id, "sim", "rank")

@@ -39,3 +39,32 @@ def test_k_larger_than_block(spark):
     r = cosine_topk(qd, cd, 10, ["blk"]).orderBy("rank").collect()
     assert [x.cid for x in r] == [7, 8]
     assert abs(r[0].sim - 2 ** -0.5) < 1e-12 and abs(r[1].sim) < 1e-12
+
+
+def test_index_prunes_tiles_of_clustered_vectors(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 12))
+    c = [("x" if i % 5 else "y", i, (centres[i % 20] + 0.05 * rng.normal(size=12)).tolist()) for i in range(3000)]
+    c += [("x", 5000 + i, c[1][2]) for i in range(150)]  # a crowd of ties, more than a tile
+    q = [("x" if i % 2 else "y", i, (centres[i % 20] + 0.05 * rng.normal(size=12)).tolist()) for i in range(200)] + [("x", 900, [0.0] * 12), ("z", 901, [1.0] * 12)]
+    qd = spark.createDataFrame(q, "blk string, qid long, vec array<double>").repartition(3)
+    cd = spark.createDataFrame(c, "blk string, cid long, vec array<double>").repartition(3)
+    visits = {}
+    got = {}
+    for r in sorted(cosine_topk(qd, cd, 7, ["blk"], tile=64, visits=visits).collect(), key=lambda r: r["rank"]):
+        got.setdefault((r.blk, r.qid), []).append(r.cid)
+    want = {k: v for k, v in _brute(q, c, 7).items() if v}
+    assert got == want
+    assert visits["all"] > 5000 and visits["visited"] < 0.5 * visits["all"]
+    plain = {}
+    for r in sorted(cosine_topk(qd, cd, 7, ["blk"], most=4000).collect(), key=lambda r: r["rank"]):
+        plain.setdefault((r.blk, r.qid), []).append(r.cid)
+    assert plain == want
+
+
+def test_index_of_nothing(spark):
+    qd = spark.createDataFrame([("y", 1, [1.0, 0.0])], "blk string, qid long, vec array<double>")
+    cd = spark.createDataFrame([("y", 7, [1.0, 1.0]), (None, 8, [0.0, 1.0])], "blk string, cid long, vec array<double>")
+    assert cosine_topk(qd, cd.where("false"), 3, ["blk"]).count() == 0
+    assert cosine_topk(qd.where("false"), cd, 3, ["blk"]).count() == 0
+    assert [r.cid for r in cosine_topk(qd, cd, 3, ["blk"]).collect()] == [7]
