@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.constants import DIRECTIONS
+from pairlens.constants import CONCEPTS, DIRECTIONS
 
 CELL_KEYS = ["explainer", "split", "concept", "base_direction", "target_direction"]
 DIRECTION_PAIRS = [(b, t) for b in DIRECTIONS for t in DIRECTIONS if b != t]
@@ -57,6 +57,11 @@ def score_pivot(cells: DataFrame) -> DataFrame:
     return p.withColumn("average", F.when(n > 0, avg / n))
 
 
+def concept_pivot(by_concept: DataFrame) -> DataFrame:
+    """A4: explainer x concept table of the concept averages (fixed pivot values)."""
+    return by_concept.groupBy("explainer", "split").pivot("concept", list(CONCEPTS)).agg(F.first("average"))
+
+
 def coverage(errors: DataFrame) -> DataFrame:
     """A5: valid vs optional pairs per explainer and the percentage (Q17: non-null errors)."""
     g = errors.groupBy("explainer", "split").agg(

@@ -7,6 +7,7 @@ collected. Row ids are arithmetic (no global row_number), so builds stay paralle
 """
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 from pairlens.constants import CONCEPTS, DEFAULT_SEED, DIRECTIONS
 from pairlens.operators import hygiene
 from pairlens.operators.ingest import split_halves
-from pairlens.session import cut_lineage
-from pairlens.sources.tables import read_table
+from pairlens.session import cut_lineage, ensure_checkpoint_dir
+from pairlens.sources.sinks import write_table
+from pairlens.sources.tables import GENERATION_SCHEMA, REVIEW_SCHEMA, read_splits, read_table
+
+#: Folders of stand-in inputs by session, input folder and name.
+_STORED: dict[tuple, str] = {}
 
 _FOUR = (*DIRECTIONS, "")  # aspect value wheel incl. "no label"
 
@@ -98,14 +103,14 @@ def generations(revs: DataFrame) -> DataFrame:
 
 
 def full_set(revs: DataFrame, clean_gens: DataFrame) -> DataFrame:
-    """Sources (generation_index -1) UNION ALL clean generations; ``rid`` = 2*key + src."""
+    """Sources (generation_index -1) UNION ALL clean generations of all splits; ``rid`` = 2*key + src."""
     src = revs.select(
-        F.lit(0).alias("src"), F.col("id").alias("k"), "original_id", F.col("description").alias("text"),
+        F.lit(0).alias("src"), F.col("id").alias("k"), "split", "original_id", F.col("description").alias("text"),
         F.lit(-1).alias("generation_index"), F.lit(None).cast("string").alias("intervention_aspect"),
         *[F.coalesce(F.nullif(F.col(f"{c}_aspect_majority"), F.lit("")), F.lit("unknown")).alias(f"{c}_predictions")
           for c in CONCEPTS])
     gen = clean_gens.select(
-        F.lit(1).alias("src"), F.col("g_id").alias("k"), "original_id", F.col("generation").alias("text"),
+        F.lit(1).alias("src"), F.col("g_id").alias("k"), "split", "original_id", F.col("generation").alias("text"),
         "generation_index", "intervention_aspect",
         *[F.col(f"{c}_predictions_generation").alias(f"{c}_predictions") for c in CONCEPTS])
     u = src.unionByName(gen)
@@ -139,6 +144,15 @@ class Fixtures:
             self._cache[name] = read_table(self.spark, self.sf_dir, name)
         return self._cache[name]
 
+    def _stored(self, name: str, build, partition_by=()) -> str:
+        """Folder of a stand-in input, which would exist before any query: written once a session through the sinks."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = f"{ensure_checkpoint_dir(self.spark)}/inputs-{uuid.uuid4().hex}/{name}"
+            write_table(build(), path, partition_by)
+            _STORED[key] = path
+        return _STORED[key]
+
     def _memo(self, key, build):
         if key not in self._cache:
             self._cache[key] = build()
@@ -146,11 +160,13 @@ class Fixtures:
 
     @property
     def reviews(self) -> DataFrame:
-        return self._memo("fx_reviews", lambda: reviews(self.table("documents")))
+        return self._memo("fx_reviews", lambda: read_splits(
+            self.spark, self._stored("reviews", lambda: reviews(self.table("documents")), ("split",)), REVIEW_SCHEMA))
 
     @property
     def generations(self) -> DataFrame:
-        return self._memo("fx_generations", lambda: generations(self.reviews))
+        return self._memo("fx_generations", lambda: read_splits(
+            self.spark, self._stored("generations", lambda: generations(self.reviews), ("split",)), GENERATION_SCHEMA))
 
     @property
     def clean_generations(self) -> DataFrame:
@@ -170,10 +186,11 @@ class Fixtures:
             "text_len", F.char_length("text")).withColumn("text", F.sha2("text", 256))))
 
     def vectors(self, model: str = "base") -> DataFrame:
-        """Stored vectors of every review and generation (their ids share one space). It stands for a table
-        that exists before any query, so it is written once."""
-        ids = self.reviews.select(F.col("id").alias("text_id")).union(self.generations.select("g_id")).distinct()
-        return self._memo(("fx_vectors", model), lambda: cut_lineage(text_vectors(ids, self.table("embeddings"), model)))
+        """Stored vectors of every review and generation (their ids share one space)."""
+        def build():
+            ids = self.reviews.select(F.col("id").alias("text_id")).union(self.generations.select("g_id")).distinct()
+            return text_vectors(ids, self.table("embeddings"), model)
+        return self._memo(("fx_vectors", model), lambda: self.spark.read.parquet(self._stored(f"vectors-{model}", build)))
 
     @property
     def full_set(self) -> DataFrame:
@@ -193,3 +210,16 @@ class Fixtures:
             *[F.coalesce(F.nullif(F.col(f"{c}_aspect_majority"), F.lit("")), F.lit("unknown")).alias(f"{c}_predictions")
               for c in CONCEPTS])
         return self._memo("fx_matching", lambda: split_halves(pool, self.seed).where("half = 'matching'").drop("half"))
+
+    @property
+    def expanded_matching_set(self) -> DataFrame:
+        """U4: the matching half (generation_index -1) UNION ALL the accepted generations written from its reviews, with
+        ``rid`` = 2 * key + src; a generation's labels are its predictions."""
+        src = self.matching_set.select(F.lit(0).alias("src"), F.col("id").alias("k"), "original_id", F.lit(-1).alias("generation_index"), "has_text",
+                                       *[f"{c}_{x}" for c in CONCEPTS for x in ("label", "predictions")])
+        originals = self.reviews.where((F.col("split") == "train_exclusive") & F.col("is_original")).select("id", "original_id")
+        kept = originals.join(self.matching_set.select("id"), "id", "left_semi").select("original_id")
+        gen = self.accepted_generations.join(kept, "original_id", "left_semi").select(
+            F.lit(1).alias("src"), F.col("g_id").alias("k"), "original_id", "generation_index", F.col("generation").isNotNull().alias("has_text"),
+            *[F.col(f"{c}_predictions_generation").alias(f"{c}_{x}") for c in CONCEPTS for x in ("label", "predictions")])
+        return src.unionByName(gen).select((F.col("k") * 2 + F.col("src")).alias("rid"), "*")

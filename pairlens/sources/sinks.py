@@ -1,4 +1,4 @@
-"""Sinks (S7-S16): partitioned table writes instead of one CSV per loop iteration."""
+"""Sinks (S7-S16): partitioned table writes that a retried run repeats without leaving rows twice."""
 from __future__ import annotations
 
 import json
@@ -6,16 +6,19 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.operators.metrics import DIRECTION_PAIRS, direction_label
+from pairlens.operators.metrics import concept_pivot, score_by_concept, score_overall, score_pivot
 
 
 def write_table(df: DataFrame, path: str, partition_by=(), fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """One write, partitioned by the loop keys (e.g. ``split``)."""
+    """One write, partitioned by the loop keys (e.g. ``split``).
+
+    A partitioned overwrite replaces the partitions that ``df`` holds and leaves the others.
+    """
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", True).option("escape", '"')
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     w.save(path)
 
 
@@ -27,11 +30,17 @@ def write_matches(pairs_with_matches: DataFrame, path: str) -> None:
 
 
 def write_scores(cells: DataFrame, path: str) -> None:
-    """Rounded per-concept direction tables plus their average, partitioned by split and concept."""
-    d = cells.withColumn("direction", F.concat_ws("_to_", "base_direction", "target_direction"))
-    labels = [direction_label(b, t) for b, t in DIRECTION_PAIRS]
-    p = d.groupBy("explainer", "split", "concept").pivot("direction", labels).agg(F.first(F.bround("icace_error", 2)))
-    write_table(p, path, ("split", "concept"))
+    """``path``/concepts: a row an explainer with the rounded directions and their average (rounded), partitioned by
+    split and concept; ``path``/overall: the concepts' averages and their rounded mean, partitioned by split."""
+    concepts = score_pivot(cells)
+    write_table(concepts.withColumn("average", F.bround("average", 2)), f"{path}/concepts", ("split", "concept"))
+    write_table(overall_table(cells), f"{path}/overall", ("split",))
+
+
+def overall_table(cells: DataFrame) -> DataFrame:
+    """A3, A4: (explainer, split, a column a concept, average)."""
+    return concept_pivot(score_by_concept(cells)).join(score_overall(score_by_concept(cells)).select(
+        "explainer", "split", F.col("score").alias("average")), ["explainer", "split"])
 
 
 def metrics_long(row_df: DataFrame, id_cols=()) -> DataFrame:
@@ -41,12 +50,12 @@ def metrics_long(row_df: DataFrame, id_cols=()) -> DataFrame:
         list(id_cols), value_cols, "metric", "value")
 
 
-def write_config(spark: SparkSession, config: dict, path: str) -> None:
-    """The run configuration as one JSON row."""
-    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "config string").coalesce(1).write.mode(
-        "overwrite").text(path)
+def write_config(spark: SparkSession, config: dict, path: str, run: str) -> None:
+    """A run's configuration as JSON text, one row a run."""
+    row = spark.createDataFrame([(run, json.dumps(config, sort_keys=True))], "run string, config string")
+    write_table(row.coalesce(1), path, ("run",))
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """Append (run, split, name, value) rows to the metrics table."""
-    write_table(df, path, mode="append")
+def append_metrics(df: DataFrame, path: str, run: str) -> None:
+    """(name, value, ...) rows of one run, beside those of other runs; written again they replace themselves."""
+    write_table(df.withColumn("run", F.lit(run)), path, ("run",))
