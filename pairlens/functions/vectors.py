@@ -65,12 +65,12 @@ def one_hot(x, n: int, offset: int = 0) -> Column:
                        lambda i: F.when(i == _c(x) - F.lit(offset), F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def exp_logit(cos, temperature, coef=None) -> Column:
+def exp_logit(cos, temperature, coef: float | None = None) -> Column:
     """Coef * exp(cos / T); a zero coefficient contributes 0."""
     v = F.exp(_c(cos) / temperature)
     if coef is None:
         return v
-    return F.when(coef == 0, F.lit(0.0)).otherwise(coef * v)
+    return F.lit(float(coef)) * v if coef else F.lit(0.0)
 
 
 def argmax(p) -> Column:
