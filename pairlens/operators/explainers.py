@@ -96,6 +96,13 @@ class ExplainContext:
                 "id as cid", VECTOR, f"stack({len(CONCEPTS)}, {parts}) as (concept, label, o1, o2, o3)")
         return self._memo["cands"]
 
+    @property
+    def n_candidates(self) -> int:
+        """Rows of the candidate set: no block of the similarity search has more."""
+        if "n_cands" not in self._memo:
+            self._memo["n_cands"] = self.matching_set.count()
+        return self._memo["n_cands"]
+
     def candidate_probs(self) -> DataFrame:
         if "cand_probs" not in self._memo:
             self._memo["cand_probs"] = score_keys(self.matching_set.select(F.col("id").alias("cid")),
@@ -132,7 +139,7 @@ class MatchingExplainer:
                              F.col("target_direction").alias("label")).distinct()
         q = attach_vectors(q, ctx.embeddings, "qid")
         cands = ctx.candidates.select("cid", "concept", "label", VECTOR)
-        return cosine_topk(q, cands, k or self.top_k, ["concept", "label"], "qid", "cid", VECTOR)
+        return cosine_topk(q, cands, k or self.top_k, ["concept", "label"], "qid", "cid", VECTOR, most=ctx.n_candidates)
 
     def pair_errors(self, ctx: ExplainContext) -> DataFrame:
         n = ctx.n_labels
@@ -229,7 +236,7 @@ class ApproxExplainer:
         if self.exact:
             q = base.select(F.col("id_base").alias("qid"), *block).distinct()
             q = attach_vectors(q, ctx.embeddings, "qid")
-            best = cosine_topk(q, cands.select("cid", *block, VECTOR), 1, block, "qid", "cid", VECTOR)
+            best = cosine_topk(q, cands.select("cid", *block, VECTOR), 1, block, "qid", "cid", VECTOR, most=ctx.n_candidates)
             picked = base.join(best.withColumnRenamed("qid", "id_base"), ["id_base", *block], "left")
         else:
             pos = seeded_positions(cands.select("cid", *block), block, "cid", ctx.seed, salt_chars=2)

@@ -79,9 +79,13 @@ def decode_predictions(df: DataFrame, fmt: str = "{}_predictions_generation", st
     return df.withColumns({fmt.format(c): decode_aspect_prediction(F.col(fmt.format(c)), strict) for c in CONCEPTS})
 
 
+def treatment_consistent(fmt: str = "{}_predictions_generation") -> Column:
+    """F6 predicate: the predicted label of the intervened concept equals the target direction."""
+    return F.col("target_direction") == concept_value(F.col("intervention_aspect"), fmt)
+
+
 def keep_treatment_consistent(df: DataFrame, fmt: str = "{}_predictions_generation") -> DataFrame:
-    """the predicted label of the intervened concept equals the target direction."""
-    return df.where(F.col("target_direction") == concept_value(F.col("intervention_aspect"), fmt))
+    return df.where(treatment_consistent(fmt))
 
 
 def dry_clean(df: DataFrame, order_col: str = "g_id") -> DataFrame:
@@ -92,7 +96,7 @@ def dry_clean(df: DataFrame, order_col: str = "g_id") -> DataFrame:
 
 
 def funnel_counts(df: DataFrame, by: list[str], order_col: str = "g_id") -> DataFrame:
-    """Rows left after each stage and floor-percent dropped, in one pass per group.
+    """Rows left after each stage (F1-F4, W1, F6) and floor-percent dropped by cleaning, in one pass per group.
 
     W1 is evaluated on the survivors of F1+F2 (as in the sequential funnel).
     """
@@ -113,6 +117,7 @@ def funnel_counts(df: DataFrame, by: list[str], order_col: str = "g_id") -> Data
         F.count_if(s3).cast("bigint").alias("n_after_dedup"),
         F.count_if(s4).cast("bigint").alias("n_after_fault_words"),
         F.count_if(s5).cast("bigint").alias("n_clean"),
+        F.count_if(s5 & F.coalesce(treatment_consistent(), F.lit(False))).cast("bigint").alias("n_accepted"),
     )
     return out.withColumn(
         "pct_dropped",

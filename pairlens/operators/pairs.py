@@ -76,6 +76,14 @@ def drop_unsuccessful_edits(pairs: DataFrame) -> DataFrame:
     return pairs.where(~F.coalesce(same, F.lit(False)))
 
 
+def pair_drop_counts(pairs: DataFrame) -> DataFrame:
+    """Per split and kind the mined pairs (before F13), those that F13 drops, and the floor-percent."""
+    same = F.count_if(F.col("intervention_aspect_base") == F.col("intervention_aspect_counterfactual"))
+    n = F.count(F.lit(1))
+    return pairs.groupBy("split", "kind").agg(n.cast("bigint").alias("n_pairs"), same.cast("bigint").alias("n_unchanged"),
+                                              F.floor(100 * same / n).cast("bigint").alias("pct_dropped"))
+
+
 def with_pair_id(pairs: DataFrame) -> DataFrame:
     """Stable pair key from the two review ids."""
     return pairs.withColumn("pair_id", F.concat_ws(":", F.col("id_base").cast("string"),

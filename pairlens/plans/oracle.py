@@ -94,21 +94,21 @@ fx_clean as (
     from fx_generations where {F12_SQL}) d
   where rn = 1 and {F3_SQL} and {F4_SQL})"""
 
-_TREAT_CASE = "case intervention_aspect " + " ".join(
+TREAT_CASE = "case intervention_aspect " + " ".join(
     f"when '{c}' then {c}_predictions_generation" for c in CONCEPTS) + " end"
 
 _ACCEPTED = f"""
-fx_accepted as (select * from fx_clean where target_direction = {_TREAT_CASE})"""
+fx_accepted as (select * from fx_clean where target_direction = {TREAT_CASE})"""
 
 _FULL = f"""
 fx_full_set as (
   select 2 * k + src as rid, * from (
-    select 0 as src, id as k, original_id, description as text, -1 as generation_index,
+    select 0 as src, id as k, split, original_id, description as text, -1 as generation_index,
       cast(null as varchar) as intervention_aspect,
       {", ".join(f"coalesce(nullif({c}_aspect_majority, ''), 'unknown') as {c}_predictions" for c in CONCEPTS)}
     from fx_reviews
     union all
-    select 1, g_id, original_id, generation, generation_index, intervention_aspect,
+    select 1, g_id, split, original_id, generation, generation_index, intervention_aspect,
       {", ".join(f"{c}_predictions_generation" for c in CONCEPTS)}
     from fx_clean) u)"""
 
@@ -166,7 +166,23 @@ cand as (
       + " from matching where text is not null"
       for c in CONCEPTS)})"""
 
-PRELUDE = ",".join([_REVIEWS, _GENERATIONS, _CLEAN, _ACCEPTED, _FULL, _EMB, _PAIRS, _MATCHING])
+_EXPANDED = f"""
+fx_expanded as (
+  select 2 * k + src as rid, * from (
+    select 0 as src, m.id as k, r.original_id, -1 as generation_index, m.text is not null as has_text,
+      {", ".join(f"m.{c}_label, m.{c}_pred as {c}_predictions" for c in CONCEPTS)}
+    from matching m join fx_reviews r on r.id = m.id
+    union all
+    select 1, g.g_id, g.original_id, g.generation_index, g.generation is not null,
+      {", ".join(f"g.{c}_predictions_generation, g.{c}_predictions_generation" for c in CONCEPTS)}
+    from fx_accepted g join fx_reviews r on r.original_id = g.original_id and r.is_original join matching m on m.id = r.id) x),
+xcand as (
+  {" union all ".join(
+      f"select rid as cid, k, '{c}' as concept, {c}_label as label, "
+      + ", ".join(f"{o}_predictions as o{i + 1}" for i, o in enumerate([x for x in CONCEPTS if x != c]))
+      + " from fx_expanded where has_text" for c in CONCEPTS)})"""
+
+PRELUDE = ",".join([_REVIEWS, _GENERATIONS, _CLEAN, _ACCEPTED, _FULL, _EMB, _PAIRS, _MATCHING, _EXPANDED])
 
 
 def with_prelude(body: str, extra_ctes: str = "") -> str:

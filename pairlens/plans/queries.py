@@ -6,15 +6,17 @@ engine and the oracle compare by value.
 from __future__ import annotations
 
 import re
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.constants import CONCEPTS, DEFAULT_SEED, run_label
+from pairlens.constants import CONCEPTS, DEFAULT_SEED, SCORE_ENCODINGS, run_label
 from pairlens.operators import explainers as X
 from pairlens.operators import metrics as M
-from pairlens.operators.pairs import LABEL_COLS, mine_pairs, original_diagnostics
+from pairlens.operators.pairs import LABEL_COLS, mine_pairs, original_diagnostics, pair_drop_counts
+from pairlens.operators.scoring import predicted_classes
 from pairlens.plans import oracle as O
 from pairlens.session import cut_lineage
 from pairlens.sources.fixtures import MODELS, Fixtures
@@ -45,10 +47,11 @@ def r6(c: str):
     return F.round(F.col(c), 6).alias(c)
 
 
-def context(spark: SparkSession, sf_dir: str, seed: int = DEFAULT_SEED, model: str = "base") -> tuple[Fixtures, X.ExplainContext]:
+def context(spark: SparkSession, sf_dir: str, seed: int = DEFAULT_SEED, model: str = "base",
+            scorer: str = "linear_head") -> tuple[Fixtures, X.ExplainContext]:
     fx = Fixtures(spark, sf_dir, seed)
     ctx = X.ExplainContext(pairs=mine_pairs(fx.explained_reviews, LABEL_COLS), matching_set=fx.matching_set,
-                           generations=fx.accepted_generations, embeddings=fx.vectors(model), seed=seed)
+                           generations=fx.accepted_generations, embeddings=fx.vectors(model), scorer=scorer, seed=seed)
     return fx, ctx
 
 
@@ -157,19 +160,40 @@ def _model_sql(sql: str, shift: int) -> str:
     return re.sub(r"(\w+\.\w+) % " + re.escape(O.N_EMB), rf"(\1 + {shift}) % {O.N_EMB}", sql)
 
 
+#: The second head reads the next five dimensions.
+BATCH_SQL = re.sub(r"exp\(4 \* v\[(\d)\]\)", lambda m: f"exp(4 * v[{int(m[1]) + 5}])", SCORE_CELLS_SQL)
+RUNS = [(m, m, "linear_head") for m in MODELS] + [("batch", "base", "batch_head")]  # name, vectors, scorer
+
+
 @register("score_cells_by_model", " union all ".join(
-    f"select '{m}' as model, * from ({_model_sql(SCORE_CELLS_SQL, shift)}) m{i}" for i, (m, shift) in enumerate(MODELS.items())))
+    f"select '{name}' as model, * from ({_model_sql(SCORE_CELLS_SQL, MODELS[vectors]) if scorer == 'linear_head' else BATCH_SQL}) m{i}"
+    for i, (name, vectors, scorer) in enumerate(RUNS)))
 def q_score_cells_by_model(spark, sf_dir):
-    """The flagship's cells for each scoring model."""
+    """The flagship's cells for each model to explain: three sets of vectors, two heads."""
     out = None
-    for model in MODELS:
-        _, ctx = context(spark, sf_dir, model=model)
+    for name, vectors, scorer in RUNS:
+        _, ctx = context(spark, sf_dir, model=vectors, scorer=scorer)
         cells = M.score_cells(X.MatchingExplainer(top_k=FLAGSHIP_K).pair_errors(ctx))
-        cells = cells.select(F.lit(model).alias("model"), *M.CELL_KEYS, "n_pairs", "n_valid", r6("icace_error"))
+        cells = cells.select(F.lit(name).alias("model"), *M.CELL_KEYS, "n_pairs", "n_valid", r6("icace_error"))
         out = cells if out is None else out.unionByName(cells)
     return out
 
 
+def _class_sql(first: int) -> str:
+    best = f"greatest({', '.join(f'u[{first + i}]' for i in range(1, 6))})"
+    return "case " + " ".join(f"when v[{first + i}] = {best.replace('u[', 'v[')} then {i - 1}" for i in range(1, 6)) + " end"
+
+
+@register("scored_classes", O.with_prelude(" union all ".join(
+    f"select r.id, '{s}' as scorer, ({_class_sql(first)})::int as class from fx_reviews r "
+    f"join (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings) e on e.vec_id = r.id % {O.N_EMB}"
+    for s, first in (("linear_head", 0), ("batch_head", 5)))))
+def q_scored_classes(spark, sf_dir):
+    """The class that each registered head gives each review."""
+    fx = Fixtures(spark, sf_dir)
+    return predicted_classes(fx.reviews.select("id"), fx.vectors(), "id", ["linear_head", "batch_head"])
+
+
 _BEST = f"""
 bm as (
   select r.qid, r.concept, r.label, avg(e.p1) as m1, avg(e.p2) as m2, avg(e.p3) as m3, avg(e.p4) as m4, avg(e.p5) as m5,
@@ -434,6 +458,7 @@ select split, count(*)::bigint as n_input,
   count(*) filter (where s3)::bigint as n_after_dedup,
   count(*) filter (where s3 and {O.F3_SQL})::bigint as n_after_fault_words,
   count(*) filter (where s3 and {O.F3_SQL} and {O.F4_SQL})::bigint as n_clean,
+  count(*) filter (where s3 and {O.F3_SQL} and {O.F4_SQL} and target_direction = {O.TREAT_CASE})::bigint as n_accepted,
   case when count(*) > 0 then floor(100 * (count(*) - count(*) filter (where s3 and {O.F3_SQL} and {O.F4_SQL}))
        / count(*))::bigint end as pct_dropped
 from (
@@ -479,12 +504,12 @@ def q_split_halves(spark, sf_dir):
 
 
 @register("full_set", O.with_prelude(
-    "select rid, src, k, original_id, generation_index, intervention_aspect, "
+    "select rid, src, k, split, original_id, generation_index, intervention_aspect, "
     + ", ".join(f"{c}_predictions" for c in CONCEPTS)
     + ", length(text)::bigint as text_len, md5(text) as text_md5 from fx_full_set"))
 def q_full_set(spark, sf_dir):
     f = Fixtures(spark, sf_dir).full_set
-    return f.select("rid", "src", "k", "original_id", "generation_index", "intervention_aspect",
+    return f.select("rid", "src", "k", "split", "original_id", "generation_index", "intervention_aspect",
                     *[f"{c}_predictions" for c in CONCEPTS], F.length("text").cast("bigint").alias("text_len"),
                     F.md5("text").alias("text_md5"))
 
@@ -503,9 +528,7 @@ def q_onehot(spark, sf_dir):
 # ---------------------------------------------------------------- phase 7/8: contrastive sets and metrics
 from pairlens.operators import contrastive as C  # noqa: E402
 
-TREATMENT = "food"
 GEN_INDEX = "-101"
-_CONF = C.confounders(TREATMENT)
 _QI = ", ".join(str(i) for i in I.parse_generation_index(GEN_INDEX))
 
 
@@ -513,171 +536,159 @@ def contrastive_parts(spark, sf_dir, seed: int = DEFAULT_SEED):
     fx = Fixtures(spark, sf_dir, seed)
     fs = fx.mining_set
     qs = C.query_rows(fs, GEN_INDEX)
-    tcf = C.treatment_members(fs, qs, TREATMENT)
-    ccf = C.confounder_members(fs, qs, TREATMENT)
-    return fx, fs, qs, tcf, ccf
+    return fx, fs, qs, C.treatment_members(fs, qs), C.confounder_members(fs, qs)
 
 
 def kept_samples(spark, sf_dir):
     fx, fs, qs, tcf, ccf = contrastive_parts(spark, sf_dir)
-    kept = C.kept_queries(C.role_counts(fs, qs, TREATMENT, tcf, ccf)).select("q_rid")
-    kq = qs.join(kept.withColumnRenamed("q_rid", "rid"), "rid", "left_semi")
-    samples = C.sample_members(fs, kq, TREATMENT, tcf.join(kept, "q_rid", "left_semi"),
-                               ccf.join(kept, "q_rid", "left_semi"))
+    # narrow relations, each read for the counts and for the samples
+    tcf, ccf = cut_lineage(tcf), cut_lineage(ccf)
+    kept = cut_lineage(C.kept_queries(C.role_counts(fs, qs, tcf, ccf)).select(*C.QUERY))
+    samples = C.sample_members(fs, kept, tcf.join(kept, C.QUERY, "left_semi"), ccf.join(kept, C.QUERY, "left_semi"))
     # <= 20 rows per kept query, read twice by the cosine stage: materialise once
     return fx, fs, cut_lineage(samples)
 
 
-def _role_count_ctes(treatment: str) -> str:
-    conf = C.confounders(treatment)
-    c1, c2, c3 = (f"{c}_predictions" for c in conf)
-    return f"""
-cq as (select rid as q_rid, k as q_k, original_id as q_orig, text as q_text, {treatment}_predictions as q_t,
-              {c1} as q_c1, {c2} as q_c2, {c3} as q_c3
-       from fx_full_set where generation_index in ({_QI}) and length(text) > 2),
-ctcf as (select q.q_rid, m.rid as m_rid from cq q join fx_full_set m on m.original_id = q.q_orig
-         where m.rid <> q.q_rid and coalesce(m.text <> q.q_text, true) and coalesce(m.{treatment}_predictions <> q.q_t, true)
-           and (m.intervention_aspect = '{treatment}' or m.generation_index = -1)
-           and m.{c1} = q.q_c1 and m.{c2} = q.q_c2 and m.{c3} = q.q_c3),
-cccf as (select q.q_rid, m.rid as m_rid from cq q join fx_full_set m on m.original_id = q.q_orig
-         where m.rid <> q.q_rid and coalesce(m.text <> q.q_text, true) and m.{treatment}_predictions = q.q_t
-           and (m.intervention_aspect in ({", ".join(f"'{c}'" for c in conf)}) or m.generation_index = -1)
-           and (coalesce(m.{c1} = q.q_c1, false)::int + coalesce(m.{c2} = q.q_c2, false)::int
-                + coalesce(m.{c3} = q.q_c3, false)::int) = 2),
+def _views_sql(name: str, source: str, label: str, extra: str) -> str:
+    """One row per row and treatment, with the treatment's label as t and the confounders' as c1 .. c3."""
+    return f"{name} as (" + " union all ".join(
+        f"select '{t}' as treatment, split, {extra}, {label.format(t)} as t, "
+        + ", ".join(f"{label.format(c)} as c{i + 1}" for i, c in enumerate(C.confounders(t))) + f" from {source}" for t in CONCEPTS) + ")"
+
+
+_CT_CTES = _views_sql("cv", "fx_full_set", "{}_predictions", "rid, k, original_id, text, generation_index, intervention_aspect") + f""",
+cq as (select * from cv where generation_index in ({_QI}) and length(text) > 2),
+cpair as (
+  select q.treatment, q.split, q.rid as q_rid, m.rid as m_rid, q.t as q_t, m.t as m_t, m.intervention_aspect as ia, m.generation_index as gi,
+         m.original_id = q.original_id as same_original, coalesce(m.text <> q.text, true) as other_text,
+         coalesce(m.c1 = q.c1, false)::int + coalesce(m.c2 = q.c2, false)::int + coalesce(m.c3 = q.c3, false)::int as n_equal
+  from cq q join cv m on m.treatment = q.treatment and m.split = q.split and m.rid <> q.rid),
+ctcf as (select treatment, split, q_rid, m_rid from cpair
+         where same_original and other_text and n_equal = 3 and coalesce(m_t <> q_t, true) and (ia = treatment or gi = -1)),
+cccf as (select treatment, split, q_rid, m_rid from cpair
+         where same_original and other_text and n_equal = 2 and m_t = q_t and ((ia <> treatment and ia in ({O.CONS})) or gi = -1)),
+capp as (select treatment, split, q_rid, m_rid from cpair where not same_original and n_equal = 3),
+cneg as (select treatment, split, q_rid, m_rid from cpair where same_original or n_equal < 3),
 ccounts as (
-  select q.q_rid, coalesce(t.n, 0)::bigint as n_tcf, coalesce(c.n, 0)::bigint as n_ccf, a.n_approx::bigint as n_approx,
-         ((select count(*) from fx_full_set) - 1 - a.n_approx)::bigint as n_negative
+  select q.treatment, q.split, q.rid as q_rid, coalesce(t.n, 0)::bigint as n_tcf, coalesce(c.n, 0)::bigint as n_ccf,
+         coalesce(a.n, 0)::bigint as n_approx, coalesce(g.n, 0)::bigint as n_negative
   from cq q
-  left join (select q_rid, count(*) as n from ctcf group by q_rid) t using (q_rid)
-  left join (select q_rid, count(*) as n from cccf group by q_rid) c using (q_rid)
-  join (select q.q_rid, count(r.rid) as n_approx from cq q left join fx_full_set r
-          on r.original_id <> q.q_orig and r.{c1} = q.q_c1 and r.{c2} = q.q_c2 and r.{c3} = q.q_c3
-        group by q.q_rid) a using (q_rid))"""
-
-
-_c1, _c2, _c3 = (f"{c}_predictions" for c in _CONF)
-_CT_CTES = _role_count_ctes(TREATMENT) + f""",
+  left join (select treatment, q_rid, count(*) as n from ctcf group by all) t on t.treatment = q.treatment and t.q_rid = q.rid
+  left join (select treatment, q_rid, count(*) as n from cccf group by all) c on c.treatment = q.treatment and c.q_rid = q.rid
+  left join (select treatment, q_rid, count(*) as n from capp group by all) a on a.treatment = q.treatment and a.q_rid = q.rid
+  left join (select treatment, q_rid, count(*) as n from cneg group by all) g on g.treatment = q.treatment and g.q_rid = q.rid),
 ckept as (select * from ccounts where n_tcf > 0 and n_ccf > 0 and n_approx > 0 and n_negative > 0),
-cfs as (select rid, original_id, {_c1} as c1, {_c2} as c2, {_c3} as c3 from fx_full_set),
-cgp as (select *, row_number() over (partition by c1, c2, c3 order by {O._md5('rid')}, rid) - 1 as gpos,
-               count(*) over (partition by c1, c2, c3) as n_g from cfs),
-cgrp as (select c1, c2, c3, n_g, coalesce(sum(n_g) over (order by c1 nulls first, c2 nulls first, c3 nulls first
-                rows between unbounded preceding and 1 preceding), 0) as goff
-         from (select distinct c1, c2, c3, n_g from cgp) g),
-cglob as (select p.rid, p.original_id, p.c1, p.c2, p.c3, p.gpos, g.goff + p.gpos as glob from cgp p join cgrp g
-          on p.c1 is not distinct from g.c1 and p.c2 is not distinct from g.c2 and p.c3 is not distinct from g.c3),
-cop as (select rid, original_id, c1, c2, c3,
-               row_number() over (partition by original_id, c1, c2, c3 order by {O._md5('rid')}, rid) - 1 as opos,
-               count(*) over (partition by original_id, c1, c2, c3) as n_go from cfs),
-ckq as (
-  select q.q_rid, q.q_orig, q.q_c1, q.q_c2, q.q_c3, {O._md5_int('q.q_rid')} as h,
-         (q.q_c1 is not null and q.q_c2 is not null and q.q_c3 is not null) as keyed,
-         case when q.q_c1 is not null and q.q_c2 is not null and q.q_c3 is not null then g.n_g else 0 end as n_g,
-         case when q.q_c1 is not null and q.q_c2 is not null and q.q_c3 is not null then g.goff else 0 end as goff,
-         case when q.q_c1 is not null and q.q_c2 is not null and q.q_c3 is not null then o.n_go else 1 end as s,
-         o.opos as q_opos
-  from cq q join ckept using (q_rid) left join cgrp g on g.c1 = q.q_c1 and g.c2 = q.q_c2 and g.c3 = q.q_c3
-  join cop o on o.rid = q.q_rid),
-capprox as (
-  select q_rid, 'approx' as role, m_rid, (row_number() over (partition by q_rid order by d) - 1)::bigint as j from (
-    select k.q_rid, d.d, p.rid as m_rid, p.original_id as m_orig, k.q_orig
-    from ckq k, unnest(range(0, least(5 + k.s, k.n_g))) as d(d)
-    join cglob p on p.c1 = k.q_c1 and p.c2 = k.q_c2 and p.c3 = k.q_c3 and p.gpos = (k.h + d.d) % k.n_g
-    where k.keyed and k.n_g > 0) z
-  where m_orig <> q_orig qualify j < 5),
-cnegd as (
-  select k.*, d.d, (k.h + d.d) % k.total as u from (
-    select *, (select count(*) from fx_full_set) - n_g as avail,
-           (select count(*) from fx_full_set) - n_g + s - 1 as total from ckq) k,
-    unnest(range(0, least(5 + case when k.keyed then 0 else 1 end, k.total))) as d(d)
-  where k.total > 0),
-cneg as (
-  select q_rid, 'negative' as role, m_rid, (row_number() over (partition by q_rid order by d) - 1)::bigint as j from (
-    select n.q_rid, n.d, p.rid as m_rid from cnegd n join cglob p
-      on p.glob = case when n.u < n.goff then n.u else n.u + n.n_g end where n.u < n.avail
-    union all
-    select n.q_rid, n.d, o.rid from cnegd n join cop o on o.original_id = n.q_orig and o.c1 = n.q_c1 and o.c2 = n.q_c2
-      and o.c3 = n.q_c3 and o.opos = case when n.u - n.avail < n.q_opos then n.u - n.avail else n.u - n.avail + 1 end
-    where n.u >= n.avail) z
-  where m_rid <> q_rid qualify j < 5),
+cplace as (select treatment, rid, row_number() over (partition by treatment, split order by c1 nulls first, c2 nulls first, c3 nulls first,
+                  {O._md5('original_id')}, original_id, {O._md5('rid')}, rid) as place from cv),
+crank as (
+  select r.*, row_number() over (partition by r.treatment, r.q_rid, r.role order by p.place) - 1 as r,
+         count(*) over (partition by r.treatment, r.q_rid, r.role) as n
+  from (select 'approx' as role, * from capp union all select 'negative', * from cneg) r
+  join ckept k on k.treatment = r.treatment and k.q_rid = r.q_rid
+  join cplace p on p.treatment = r.treatment and p.rid = r.m_rid),
+cdraw as (
+  select treatment, q_rid, role, unnest(ds) as d, generate_subscripts(ds, 1) - 1 as j from (
+    select treatment, q_rid, role, list_reduce(list_prepend([]::bigint[], list_transform(range(least(5, n)), lambda i: [i])), lambda s, x:
+      list_append(s, case when list_contains(s, ('0x' || substr(md5('{O.SEED}|' || treatment || '|' || q_rid || '|' || role || '|' || x[1]), 1, 15))::bigint
+                                               % (n - least(5, n) + x[1] + 1))
+                     then n - least(5, n) + x[1]
+                     else ('0x' || substr(md5('{O.SEED}|' || treatment || '|' || q_rid || '|' || role || '|' || x[1]), 1, 15))::bigint
+                          % (n - least(5, n) + x[1] + 1) end)) as ds
+    from (select distinct treatment, q_rid, role, n from crank) u) z),
 csamples as (
-  select q_rid, 't_cf' as role, m_rid, (row_number() over (partition by q_rid order by
-         md5('{O.SEED}|' || cast(q_rid as varchar) || '|' || cast(m_rid as varchar)), m_rid) - 1)::bigint as j
-  from ctcf where q_rid in (select q_rid from ckept) qualify j < 5
+  select treatment, split, q_rid, role, m_rid, j from (
+    select *, (row_number() over (partition by treatment, q_rid, role order by md5('{O.SEED}|' || treatment || '|' || q_rid || '|' || m_rid), m_rid) - 1)::bigint as j
+    from (select 't_cf' as role, * from ctcf union all select 'c_cf', * from cccf) l
+    where exists (select 1 from ckept k where k.treatment = l.treatment and k.q_rid = l.q_rid)) s where j < 5
   union all
-  select q_rid, 'c_cf', m_rid, (row_number() over (partition by q_rid order by
-         md5('{O.SEED}|' || cast(q_rid as varchar) || '|' || cast(m_rid as varchar)), m_rid) - 1)::bigint as j
-  from cccf where q_rid in (select q_rid from ckept) qualify j < 5
-  union all select * from capprox
-  union all select * from cneg),
+  select r.treatment, r.split, r.q_rid, r.role, r.m_rid, d.j::bigint from crank r
+  join cdraw d on d.treatment = r.treatment and d.q_rid = r.q_rid and d.role = r.role and d.d = r.r),
 ccos as (
   select s.*, list_dot_product(eq.u, em.u) as cos from csamples s
   join fx_full_set fq on fq.rid = s.q_rid join fx_full_set fm on fm.rid = s.m_rid
   join emb eq on eq.vec_id = fq.k % {O.N_EMB} join emb em on em.vec_id = fm.k % {O.N_EMB}),
 cterms as (
-  select q_rid, role, avg(cos) as mean_cos, avg(exp(cos / 1.0)) as term1, avg(exp(cos / 0.1)) as term01
-  from ccos group by q_rid, role),
+  select treatment, split, q_rid, role, avg(cos) as mean_cos, avg(exp(cos / 1.0)) as term1, avg(exp(cos / 0.1)) as term01
+  from ccos group by all),
 cpiv as (
-  select q_rid, {", ".join(f"max(case when role = '{r}' then term1 end) as {r}_1, max(case when role = '{r}' then term01 end) as {r}_01" for r in C.ROLES)}
-  from cterms group by q_rid)"""
+  select treatment, split, q_rid, {", ".join(f"max(case when role = '{r}' then term1 end) as {r}_1, max(case when role = '{r}' then term01 end) as {r}_01" for r in C.ROLES)}
+  from cterms group by all)"""
 
 
 def _ct(body: str) -> str:
     return O.with_prelude(body, _CT_CTES)
 
 
-@register("contrastive_tcf", _ct("select q_rid, m_rid from ctcf"))
+@register("contrastive_tcf", _ct("select * from ctcf"))
 def q_contrastive_tcf(spark, sf_dir):
     return contrastive_parts(spark, sf_dir)[3]
 
 
-@register("contrastive_ccf", _ct("select q_rid, m_rid from cccf"))
+@register("contrastive_ccf", _ct("select * from cccf"))
 def q_contrastive_ccf(spark, sf_dir):
     return contrastive_parts(spark, sf_dir)[4]
 
 
 @register("contrastive_role_counts", _ct("select * from ccounts"))
 def q_contrastive_role_counts(spark, sf_dir):
+    """J13-J16 sizes of every query, for the four treatments and all splits."""
     _, fs, qs, tcf, ccf = contrastive_parts(spark, sf_dir)
-    return C.role_counts(fs, qs, TREATMENT, tcf, ccf)
+    return C.role_counts(fs, qs, tcf, ccf)
 
 
 @register("contrastive_kept", _ct("select * from ckept"))
 def q_contrastive_kept(spark, sf_dir):
     _, fs, qs, tcf, ccf = contrastive_parts(spark, sf_dir)
-    return C.kept_queries(C.role_counts(fs, qs, TREATMENT, tcf, ccf))
+    return C.kept_queries(C.role_counts(fs, qs, tcf, ccf))
+
+
+_NS = "n_tcf", "n_ccf", "n_approx", "n_negative"
 
 
-@register("contrastive_samples", _ct("select q_rid, role, m_rid, j from csamples"))
+@register("contrastive_counts_by_treatment", _ct(
+    "select treatment, split, count(*)::bigint as n_queries, "
+    "count(*) filter (where n_tcf > 0 and n_ccf > 0 and n_approx > 0 and n_negative > 0)::bigint as n_kept, "
+    + ", ".join(f"sum({n})::bigint as {n}" for n in _NS) + " from ccounts group by all"))
+def q_contrastive_counts_by_treatment(spark, sf_dir):
+    """Sizes of the four roles by treatment and split."""
+    counts = q_contrastive_role_counts(spark, sf_dir)
+    all_four = (F.col("n_tcf") > 0) & (F.col("n_ccf") > 0) & (F.col("n_approx") > 0) & (F.col("n_negative") > 0)
+    return counts.groupBy("treatment", "split").agg(F.count(F.lit(1)).cast("bigint").alias("n_queries"),
+                                                    F.count_if(all_four).cast("bigint").alias("n_kept"), *[F.sum(n).alias(n) for n in _NS])
+
+
+@register("contrastive_samples", _ct("select treatment, split, q_rid, role, m_rid, j from csamples"))
 def q_contrastive_samples(spark, sf_dir):
     return kept_samples(spark, sf_dir)[2]
 
 
-def _terms(spark, sf_dir, temperature=1.0):
+def _cosines(spark, sf_dir):
     fx, fs, samples = kept_samples(spark, sf_dir)
-    cos = C.member_cosines(samples, fs, fx.vectors())
-    return C.role_terms(cos, temperature, mean_loss=True)
+    return C.member_cosines(samples, fs, fx.vectors())
 
 
 @register("role_similarity", _ct(
-    "select role, round(avg(mean_cos), 6) as mean_sim, count(*)::bigint as n_queries from cterms group by role"))
+    "select treatment, split, role, round(avg(mean_cos), 6) as mean_sim, count(*)::bigint as n_queries from cterms group by all"))
 def q_role_similarity(spark, sf_dir):
-    return C.role_similarity(_terms(spark, sf_dir)).select("role", r6("mean_sim"), "n_queries")
+    return C.role_similarity(C.role_terms(_cosines(spark, sf_dir))).select("treatment", "split", "role", r6("mean_sim"), "n_queries")
 
 
 @register("order_relation", _ct("""
-select round(t - a, 6) as differences_positive, round(c - n, 6) as differences_negative,
+select treatment, split, round(t - a, 6) as differences_positive, round(c - n, 6) as differences_negative,
        round(a - n, 6) as differences_samples, round(t - c, 6) as differences_counterfactuals,
        (t - a > 0 and c - n > 0 and a - n > 0 and t - c > 0)::int as is_order_relation
-from (select max(case when role = 't_cf' then m end) as t, max(case when role = 'c_cf' then m end) as c,
+from (select treatment, split, max(case when role = 't_cf' then m end) as t, max(case when role = 'c_cf' then m end) as c,
              max(case when role = 'approx' then m end) as a, max(case when role = 'negative' then m end) as n
-      from (select role, avg(mean_cos) as m from cterms group by role) x) y"""))
+      from (select treatment, split, role, avg(mean_cos) as m from cterms group by all) x group by all) y"""))
 def q_order_relation(spark, sf_dir):
-    o = C.order_relation(C.role_similarity(_terms(spark, sf_dir)))
-    return o.select(*[r6(c) for c in o.columns if c.startswith("differences")], "is_order_relation")
+    o = C.order_relation(C.role_similarity(C.role_terms(_cosines(spark, sf_dir))))
+    return o.select("treatment", "split", *[r6(c) for c in o.columns if c.startswith("differences")], "is_order_relation")
 
 
-_V1 = "-ln((coalesce(t_cf_{s}, 0) + coalesce(approx_{s}, 0)) / (coalesce(t_cf_{s}, 0) + coalesce(approx_{s}, 0) + coalesce(negative_{s}, 0) + coalesce(c_cf_{s}, 0)))"
+def _v1(s: str, coef: dict) -> str:
+    of = {r: f"{float(coef[r])} * coalesce({r}_{s}, 0)" for r in C.ROLES}
+    pos = f"({of['t_cf']} + {of['approx']})"
+    return f"-ln({pos} / ({pos} + {of['negative']} + {of['c_cf']}))"
 
 
 def _v0(s: str, coef: dict) -> str:
@@ -685,47 +696,100 @@ def _v0(s: str, coef: dict) -> str:
     return " + ".join(f"{float(coef[n])} * -ln({names[a]} / ({names[a]} + {names[b]}))" for n, a, b in C.V0_TERMS)
 
 
-V0_SWEEP = {"tcf_cfc": 1, "tcf_pax": 1, "tcf_nax": 0, "pax_nax": 0, "pax_cfc": 1, "cfc_nax": 0}
-V0_FIXED = {n: 1 for n, _, _ in C.V0_TERMS}
-
-
-@register("contrastive_loss_v1", _ct(f"select q_rid, round({_V1.format(s='1')}, 6) as loss from cpiv"))
+@register("contrastive_loss_v1", _ct(f"select treatment, split, q_rid, round({_v1('1', C.V1_SWEEP)}, 6) as loss from cpiv"))
 def q_contrastive_loss_v1(spark, sf_dir):
-    return C.loss_v1(_terms(spark, sf_dir)).select("q_rid", r6("loss"))
+    return C.loss_v1(C.role_terms(_cosines(spark, sf_dir))).select(*C.QUERY, r6("loss"))
 
 
-@register("contrastive_loss_v0", _ct(f"select q_rid, round({_v0('01', V0_SWEEP)}, 6) as loss from cpiv"))
+@register("contrastive_loss_v0", _ct(f"select treatment, split, q_rid, round({_v0('01', C.V0_SWEEP)}, 6) as loss from cpiv"))
 def q_contrastive_loss_v0(spark, sf_dir):
-    return C.loss_v0(_terms(spark, sf_dir, 0.1), V0_SWEEP).select("q_rid", r6("loss"))
+    return C.loss_v0(C.role_terms(_cosines(spark, sf_dir), 0.1), C.V0_SWEEP).select(*C.QUERY, r6("loss"))
+
+
+@register("contrastive_loss_legacy", _ct("""
+select t.treatment, t.split, t.q_rid, t.m_rid, round(-ln((x + a) / (x + a + n + c)), 6) as loss
+from (select treatment, split, q_rid, m_rid, exp(cos / 0.1) as x from ccos where role = 't_cf') t
+join (select treatment, q_rid, coalesce(sum(exp(cos / 0.1)) filter (where role = 'approx'), 0) as a,
+             coalesce(sum(exp(cos / 0.1)) filter (where role = 'negative'), 0) as n,
+             coalesce(sum(exp(cos / 0.1)) filter (where role = 'c_cf'), 0) as c from ccos group by all) s
+  on s.treatment = t.treatment and s.q_rid = t.q_rid"""))
+def q_contrastive_loss_legacy(spark, sf_dir):
+    """The sum-mode loss, a row per t_cf member."""
+    return C.loss_legacy(_cosines(spark, sf_dir)).select(*C.QUERY, "m_rid", r6("loss"))
+
+
+@register("contrastive_evaluation", _ct(f"""
+select treatment, split, round(avg({_v0('01', C.V0_SWEEP)}), 6) as loss, round(avg({_v0('1', C.V0_FIXED)}), 6) as loss_fixed,
+       count(*)::bigint as n_queries from cpiv group by all"""))
+def q_contrastive_evaluation(spark, sf_dir):
+    """Mean loss of the run's setting, and with temperature and coefficients 1 (Q24)."""
+    e = C.evaluation(_cosines(spark, sf_dir), 0, C.V0_SWEEP, 0.1)
+    return e.select("treatment", "split", r6("loss"), r6("loss_fixed"), "n_queries")
+
+
+#: Loss version, name and coefficients of each run of the grid.
+SETTINGS = [(1, "swept", C.V1_SWEEP), (1, "counterfactuals x3", {**C.V1_FIXED, "t_cf": 3, "c_cf": 3}), (1, "no approx", {**C.V1_FIXED, "approx": 0}),
+            (0, "swept", C.V0_SWEEP), (0, "fixed", C.V0_FIXED)]
+TEMPERATURES = {"1": 1.0, "01": 0.1}
+_GRID = " union all ".join(
+    f"select treatment, split, {v} as loss_version, '{name}' as coefficients, {t}::double as temperature, {(_v1 if v else _v0)(s, coef)} as loss from cpiv"
+    for v, name, coef in SETTINGS for s, t in TEMPERATURES.items())
 
 
 @register("loss_grid", _ct(f"""
-select loss_version, temperature, round(avg(loss), 6) as mean_loss, count(loss)::bigint as n_queries from (
-  select 1 as loss_version, 1.0::double as temperature, {_V1.format(s='1')} as loss from cpiv
-  union all select 1, 0.1::double, {_V1.format(s="01")} from cpiv
-  union all select 0, 1.0::double, {_v0("1", V0_SWEEP)} from cpiv
-  union all select 0, 0.1::double, {_v0("01", V0_SWEEP)} from cpiv) g
-group by all"""))
+select treatment, split, loss_version, coefficients, temperature, round(avg(loss), 6) as mean_loss, count(loss)::bigint as n_queries
+from ({_GRID}) g group by all"""))
 def q_loss_grid(spark, sf_dir):
-    """Every (loss version, temperature) combination from one cosine pass."""
-    fx, fs, samples = kept_samples(spark, sf_dir)
-    cos = C.member_cosines(samples, fs, fx.vectors())
-    return C.loss_grid(cos, [1.0, 0.1], V0_SWEEP).withColumn("mean_loss", F.round("mean_loss", 6))
+    """Every (treatment, loss version, coefficient set, temperature) from one cosine pass."""
+    return C.loss_grid(_cosines(spark, sf_dir), list(TEMPERATURES.values()), SETTINGS).withColumn("mean_loss", F.round("mean_loss", 6))
 
 
 @register("loss_best", _ct(f"""
-select loss_version, temperature, mean_loss from (
-  select *, row_number() over (partition by loss_version order by mean_loss, temperature) as nth from (
-    select loss_version, temperature, round(avg(loss), 6) as mean_loss from (
-      select 1 as loss_version, 1.0::double as temperature, {_V1.format(s='1')} as loss from cpiv
-      union all select 1, 0.1::double, {_V1.format(s="01")} from cpiv
-      union all select 0, 1.0::double, {_v0("1", V0_SWEEP)} from cpiv
-      union all select 0, 0.1::double, {_v0("01", V0_SWEEP)} from cpiv) g group by all) h) b where nth = 1"""))
+select treatment, split, loss_version, coefficients, temperature, mean_loss from (
+  select *, row_number() over (partition by treatment, split, loss_version order by mean_loss, coefficients, temperature) as nth from (
+    select treatment, split, loss_version, coefficients, temperature, round(avg(loss), 6) as mean_loss from ({_GRID}) g group by all) h) b where nth = 1"""))
 def q_loss_best(spark, sf_dir):
-    """The setting of least mean loss of each version (the lower temperature at a tie), by min_by."""
+    """The setting of least mean loss of each version (by name, then the lower temperature, at a tie), by min_by."""
     grid = q_loss_grid(spark, sf_dir)
-    best = F.min_by(F.struct("temperature", "mean_loss"), F.struct("mean_loss", "temperature")).alias("b")
-    return grid.groupBy("loss_version").agg(best).select("loss_version", "b.temperature", "b.mean_loss")
+    run = F.struct("coefficients", "temperature", "mean_loss")
+    best = F.min_by(run, F.struct("mean_loss", "coefficients", "temperature")).alias("b")
+    return grid.groupBy("treatment", "split", "loss_version").agg(best).select("treatment", "split", "loss_version", "b.*")
+
+
+EVAL_SPLITS = ("validation", "test")
+_EVAL_CTES = _views_sql("ev", f"fx_reviews where split in {EVAL_SPLITS}", "{}_aspect_majority", "id, original_id, description") + f""",
+egen as (""" + " union all ".join(
+    f"select '{t}' as treatment, g_id, split, original_id, text, intervention_aspect, "
+    + ", ".join(f"{c}_predictions_generation as c{i + 1}" for i, c in enumerate(C.confounders(t))) + " from fx_accepted" for t in CONCEPTS) + f"""),
+emem as (
+  select s.treatment, s.split, s.id, g.g_id, case when g.intervention_aspect = s.treatment then 't_cf' else 'c_cf' end as role
+  from ev s join egen g on g.treatment = s.treatment and g.split = s.split and g.original_id = s.original_id and g.text = s.description
+  where case when g.intervention_aspect = s.treatment then g.c1 = s.c1 and g.c2 = s.c2 and g.c3 = s.c3 else g.intervention_aspect in ({O.CONS}) end),
+eroles as (
+  select s.treatment, s.split, s.id, (select count(*) from emem m where m.treatment = s.treatment and m.id = s.id and m.role = 't_cf')::bigint as n_tcf,
+    (select count(*) from emem m where m.treatment = s.treatment and m.id = s.id and m.role = 'c_cf')::bigint as n_ccf,
+    (select count(*) from ev r where r.treatment = s.treatment and r.split = s.split and r.original_id <> s.original_id
+       and r.c1 = s.c1 and r.c2 = s.c2 and r.c3 = s.c3)::bigint as n_approx,
+    (select count(*) from ev r where r.treatment = s.treatment and r.split = s.split and r.original_id <> s.original_id
+       and not coalesce(r.c1 = s.c1 and r.c2 = s.c2 and r.c3 = s.c3, false))::bigint as n_negative
+  from ev s)"""
+
+
+def _eval_tables(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return tuple(t.where(F.col("split").isin(*EVAL_SPLITS)) for t in (fx.reviews, fx.accepted_generations))
+
+
+@register("contrastive_eval_members", O.with_prelude("select * from emem", _EVAL_CTES))
+def q_contrastive_eval_members(spark, sf_dir):
+    """The members of t_cf and c_cf of every source, evaluation variant, four treatments."""
+    return C.eval_members(*_eval_tables(spark, sf_dir))
+
+
+@register("contrastive_eval_roles", O.with_prelude(
+    "select * from eroles where n_tcf > 0 and n_ccf > 0 and n_approx > 0 and n_negative > 0", _EVAL_CTES))
+def q_contrastive_eval_roles(spark, sf_dir):
+    return C.eval_role_counts(*_eval_tables(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- phase 9: top-k sweep
@@ -754,83 +818,203 @@ def q_topk_sweep(spark, sf_dir):
         F.round(F.avg("icace_error"), 6).alias("icace_error")).withColumn("k", F.col("k").cast("bigint"))
 
 
-# ---------------------------------------------------------------- phase 10: model jobs (no SQL oracle)
-from pairlens.operators import models as MD  # noqa: E402
+# ---------------------------------------------------------------- phase 10: model jobs
+from pairlens.operators import naive_bayes as NB  # noqa: E402
 
+TRAIN_SPLIT = "train_exclusive"
+ASPECTS = {f"{c}_class": 3 for c in CONCEPTS}
 
-@register("aspect_classifier")
-def q_aspect_classifier(spark, sf_dir):
-    """Per-concept 3-class text models trained on train_exclusive, applied to every labelled review."""
+
+def _nb_sql(name: str, source: str, targets: dict[str, int]) -> str:
+    """CTE {name}(id, target, class, score): log-scores of every text of {source} (id, description, split, a column a target)."""
+    long = " union all ".join(f"select id, split, '{t}' as target, {t} as class from {source}" for t in targets)
+    classes = " union all ".join(f"select '{t}' as target, c as class from range({k}) r(c)" for t, k in targets.items())
+    return f"""
+{name}_words as (
+  select id, token, count(*) as n from (
+    select id, unnest(regexp_extract_all(lower(description), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as token from {source}) w group by all),
+{name}_long as ({long}),
+{name}_train as (select * from {name}_long where split = '{TRAIN_SPLIT}' and class is not null),
+{name}_classes as ({classes}),
+{name}_priors as (
+  select c.target, c.class, ln((count(t.id) + 1) / (any_value(a.n) + any_value(a.k))) as prior
+  from {name}_classes c
+  join (select c.target, count(distinct c.class) as k, (select count(*) from {name}_train t where t.target = c.target) as n from {name}_classes c group by c.target) a
+    on a.target = c.target
+  left join {name}_train t on t.target = c.target and t.class = c.class group by c.target, c.class),
+{name}_counts as (select t.target, t.class, w.token, sum(w.n) as n from {name}_train t join {name}_words w on w.id = t.id group by all),
+{name}_sizes as (select target, count(distinct token) as words from {name}_counts group by target),
+{name}_totals as (select c.target, c.class, coalesce(sum(x.n), 0) as n from {name}_classes c left join {name}_counts x
+                  on x.target = c.target and x.class = c.class group by all),
+{name}_p as (
+  select v.target, v.token, t.class, ln((coalesce(x.n, 0) + 1) / (t.n + s.words)) as p
+  from (select distinct target, token from {name}_counts) v join {name}_totals t on t.target = v.target join {name}_sizes s on s.target = v.target
+  left join {name}_counts x on x.target = v.target and x.token = v.token and x.class = t.class),
+{name}_sums as (select w.id, p.target, p.class, sum(w.n * p.p) as s from {name}_words w join {name}_p p on p.token = w.token group by all),
+{name} as (
+  select i.id, r.target, r.class, round(coalesce(s.s, 0) + r.prior, 6) as score
+  from (select id from {source}) i cross join {name}_priors r left join {name}_sums s on s.id = i.id and s.target = r.target and s.class = r.class),
+{name}_best as (
+  select *, row_number() over (partition by id, target order by score desc, class) as nth,
+         1 / sum(exp(score - top)) over (partition by id, target) as confidence
+  from (select *, max(score) over (partition by id, target) as top from {name}) b)"""
+
+
+_CLASS = "case {} when 'unknown' then 0 when 'Negative' then 1 when 'Positive' then 2 end"
+_ASPECT_CTES = "aset as (select id, split, description, " + ", ".join(
+    f"{_CLASS.format(f'{c}_aspect_majority')} as {c}_class" for c in CONCEPTS) + " from fx_reviews)," + _nb_sql("anb", "aset", ASPECTS)
+_ASPECT_ROWS = f"""
+select l.id, l.split, left(l.target, length(l.target) - 6) as concept, l.class as label, b.class::int as prediction, b.confidence
+from anb_long l join anb_best b on b.id = l.id and b.target = l.target and b.nth = 1 where l.class is not null"""
+
+
+def aspect_predictions(spark, sf_dir) -> DataFrame:
+    """The four aspects' classes of every review, learnt from the training split's labels."""
     revs = Fixtures(spark, sf_dir).reviews
-    p = MD.aspect_predictions(revs, MD.train_aspect_models(revs))
-    return p.select("id", "split", "concept", "label", "prediction",
-                    F.round(F.array_max("probs"), 6).alias("confidence"))
+    rows = I.aspect_classes(revs)
+    model = NB.train(rows.where(F.col("split") == TRAIN_SPLIT), "id", "description", ASPECTS)
+    probs = model.probabilities(rows.select("id", "description"), "id", "description")
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("concept"), F.col(f"{c}_class").alias("label"), F.col(f"{c}_class_probs").alias("aspect_probs"))
+                                for c in CONCEPTS])).alias("a")
+    long = rows.select("id", "split", *ASPECTS).join(probs, "id").select("id", "split", parts).select("id", "split", "a.*")
+    return NB.predicted(long.where("label is not null"), "aspect")
+
 
+@register("aspect_classifier", O.with_prelude(
+    f"select id, split, concept, label, prediction, round(confidence, 4) as confidence from ({_ASPECT_ROWS}) a", _ASPECT_CTES))
+def q_aspect_classifier(spark, sf_dir):
+    p = aspect_predictions(spark, sf_dir)
+    return p.select("id", "split", "concept", "label", "prediction", F.round("confidence", 4).alias("confidence"))
 
-@register("accuracy_by_split")
+
+@register("accuracy_by_split", O.with_prelude(
+    f"select concept, split, round(avg((label = prediction)::int), 6) as accuracy, count(*)::bigint as n from ({_ASPECT_ROWS}) a group by all", _ASPECT_CTES))
 def q_accuracy_by_split(spark, sf_dir):
     """Accuracy of the aspect models per concept and split."""
-    revs = Fixtures(spark, sf_dir).reviews
-    p = MD.aspect_predictions(revs, MD.train_aspect_models(revs))
-    return M.accuracy(p, "prediction", "label", by=("concept", "split")).select(
+    return M.accuracy(aspect_predictions(spark, sf_dir), "prediction", "label", by=("concept", "split")).select(
         "concept", "split", F.round("accuracy", 6).alias("accuracy"), "n")
 
 
-@register("sentiment_classifier")
+_SCORES = {"score_class": 5}
+_SCORE_CTES = f"""
+sset as (select id, split, description, case review_majority {" ".join(f"when '{k}' then {v}" for k, v in SCORE_ENCODINGS['5-way'].items())} end as score_class
+         from fx_reviews where not (split like 'train%' and review_majority = 'no majority')),""" + _nb_sql("snb", "sset", _SCORES)
+
+
+@register("sentiment_classifier", O.with_prelude("""
+select l.id, l.split, l.class as label, b.class::int as prediction, round(b.confidence, 4) as confidence
+from snb_long l join snb_best b on b.id = l.id and b.nth = 1 where l.class is not null""", _SCORE_CTES))
 def q_sentiment_classifier(spark, sf_dir):
     """R2: 5-way review-score model; predictions for every encodable review."""
-    enc = I.encode_reviews(Fixtures(spark, sf_dir).reviews, "5-way")
-    p = MD.sentiment_predictions(MD.train_sentiment_model(enc), enc)
-    return p.select("id", "split", "label", "prediction")
+    enc = I.encode_reviews(Fixtures(spark, sf_dir).reviews, "5-way").withColumnRenamed("review_majority", "score_class")
+    model = NB.train(enc.where(F.col("split") == TRAIN_SPLIT), "id", "description", _SCORES)
+    probs = model.probabilities(enc.select("id", "description"), "id", "description")
+    p = NB.predicted(enc.where("score_class is not null").select("id", "split", F.col("score_class").alias("label")).join(probs, "id"), "score_class")
+    return p.select("id", "split", "label", "prediction", F.round("confidence", 4).alias("confidence"))
 
 
-_EV = [c for c in _CONF]
+# ---------------------------------------------------------------- phase 11: vectors by version, batches, drop counts
+from pairlens.operators.sampling import seeded_positions  # noqa: E402
+from pairlens.operators.vector_store import VectorStore  # noqa: E402
+from pairlens.session import ensure_checkpoint_dir  # noqa: E402
 
-
-EVAL_SPLITS = ("validation", "test")
+_CHANGED = "case when id % 3 = 0 then description || ' again' else description end"
 
 
-def _eval_sql(split: str) -> str:
-    return O.with_prelude(f"""
-select '{split}' as split, s.id, t.n_tcf::bigint as n_tcf, t.n_ccf::bigint as n_ccf, a.n_approx::bigint as n_approx,
-       ((select count(*) from fx_reviews where split = '{split}') - o.n_o - a.n_approx)::bigint as n_negative
-from fx_reviews s
-join (select s.id,
-             count(*) filter (where g.intervention_aspect = '{TREATMENT}' and {" and ".join(f"g.{c}_predictions_generation = s.{c}_aspect_majority" for c in _EV)}) as n_tcf,
-             count(*) filter (where g.intervention_aspect in ({", ".join(f"'{c}'" for c in _EV)})) as n_ccf
-      from fx_reviews s join fx_accepted g on g.original_id = s.original_id and g.text = s.description
-      where s.split = '{split}' and g.split = '{split}' group by s.id) t on t.id = s.id
-join (select s.id, count(r.id) as n_approx from fx_reviews s left join fx_reviews r
-        on r.split = '{split}' and r.original_id <> s.original_id
-        and {" and ".join(f"r.{c}_aspect_majority = s.{c}_aspect_majority" for c in _EV)}
-      where s.split = '{split}' group by s.id) a on a.id = s.id
-join (select original_id, count(*) as n_o from fx_reviews where split = '{split}' group by original_id) o
-  on o.original_id = s.original_id
-where s.split = '{split}' and t.n_tcf > 0 and t.n_ccf > 0 and a.n_approx > 0
-  and (select count(*) from fx_reviews where split = '{split}') - o.n_o - a.n_approx > 0""")
-
-
-@register("contrastive_eval_roles", " union all ".join(f"select * from ({_eval_sql(sp)}) {sp}_roles" for sp in EVAL_SPLITS))
-def q_contrastive_eval_roles(spark, sf_dir):
+@register("vectors_latest", O.with_prelude(f"""
+select r.id as text_id, (case when id % 3 = 0 then 2 else 1 end)::int as build, sha256(coalesce({_CHANGED}, '')) as text_hash, round(e.embedding[1]::double, 6) as v1
+from fx_reviews r join embeddings e on e.vec_id = (r.id + case when id % 3 = 0 then {MODELS['shift-7']} else 0 end) % {O.N_EMB}"""))
+def q_vectors_latest(spark, sf_dir):
+    """Two builds of a vector store; the second, of a refreshed model, embeds the changed texts alone."""
     fx = Fixtures(spark, sf_dir)
-    out = None
-    for split in EVAL_SPLITS:  # each set is evaluated for itself
-        src = fx.reviews.where(F.col("split") == split)
-        gens = fx.accepted_generations.where(F.col("split") == split)
-        roles = C.eval_role_counts(src, gens, TREATMENT).select(F.lit(split).alias("split"), "*")
-        out = roles if out is None else out.unionByName(roles)
-    return out
+    first = fx.reviews.select(F.col("id").alias("text_id"), F.col("description").alias("text"))
+    second = fx.reviews.select(F.col("id").alias("text_id"), F.expr(_CHANGED).alias("text"))
+    store = VectorStore(spark, f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    for build, texts, vectors in ((1, first, "base"), (2, second, "shift-7")):
+        store.refresh(texts, "embedder", build, lambda t, v=vectors: t.select("text_id").join(fx.vectors(v).select("text_id", "vec"), "text_id"))
+    return store.latest("embedder").select("text_id", "build", "text_hash", F.round(F.element_at("vec", 1), 6).alias("v1"))
 
 
-@register("contrastive_counts_by_treatment", " union all ".join(
-    f"select '{t}' as treatment, * from ({O.with_prelude('select * from ccounts', _role_count_ctes(t))}) {t}_counts" for t in CONCEPTS))
-def q_contrastive_counts_by_treatment(spark, sf_dir):
-    """J13-J16 sizes for each of the four treatments, over one materialised set."""
-    fs = Fixtures(spark, sf_dir).mining_set
-    qs = C.query_rows(fs, GEN_INDEX)
-    out = None
-    for t in CONCEPTS:
-        counts = C.role_counts(fs, qs, t, C.treatment_members(fs, qs, t), C.confounder_members(fs, qs, t))
-        counts = counts.select(F.lit(t).alias("treatment"), "*")
-        out = counts if out is None else out.unionByName(counts)
-    return out
+BATCH_TEXTS = 32
+
+
+@register("batch_order", O.with_prelude(f"""
+select split, (nth // {BATCH_TEXTS})::bigint as batch, (nth % {BATCH_TEXTS})::bigint as place, rid from (
+  select split, rid, row_number() over (partition by split order by {O._md5('rid')}, rid) - 1 as nth from fx_full_set) b"""))
+def q_batch_order(spark, sf_dir):
+    """T4: all texts in seeded order, in batches with gapless numbers, for each split."""
+    placed = seeded_positions(Fixtures(spark, sf_dir).mining_set.select("split", "rid"), ["split"], "rid", DEFAULT_SEED)
+    return placed.select("split", F.floor(F.col("_pos") / BATCH_TEXTS).alias("batch"), F.pmod("_pos", F.lit(BATCH_TEXTS)).alias("place"), "rid")
+
+
+@register("review_drops", O.with_prelude("""
+select split, count(*)::bigint as n_reviews, count(*) filter (where split like 'train%' and review_majority = 'no majority')::bigint as n_no_majority,
+  floor(100 * count(*) filter (where split like 'train%' and review_majority = 'no majority') / count(*))::bigint as pct_dropped
+from fx_reviews group by split"""))
+def q_review_drops(spark, sf_dir):
+    """A11 of F7: reviews without a majority that each split loses."""
+    return I.drop_counts(Fixtures(spark, sf_dir).reviews)
+
+
+@register("pair_drops", O.with_prelude("""
+select split, kind, count(*)::bigint as n_pairs, count(*) filter (where iab = iac)::bigint as n_unchanged,
+  floor(100 * count(*) filter (where iab = iac) / count(*))::bigint as pct_dropped
+from (select *, case it """ + " ".join(f"when '{c}' then {c}_b" for c in CONCEPTS) + " end as iab, case it " + " ".join(f"when '{c}' then {c}_k" for c in CONCEPTS)
+    + """ end as iac from (select *, coalesce(et_b, et_k) as it from pairs_raw) p0) p1 group by all"""))
+def q_pair_drops(spark, sf_dir):
+    """A11 of F13: pairs whose intervened label did not change."""
+    return pair_drop_counts(mine_pairs(Fixtures(spark, sf_dir).reviews, LABEL_COLS, drop_unchanged=False))
+
+
+# ---------------------------------------------------------------- phase 12: the expanded candidate set
+_X_ID = "cast(2 * c.id_base as varchar) || ':' || cast(2 * c.id_counterfactual as varchar) as pair_id"
+
+
+@register("matching_set", O.with_prelude(
+    "select rid, src, k, original_id, generation_index, " + ", ".join(f"{c}_label, {c}_predictions" for c in CONCEPTS) + " from fx_expanded"))
+def q_matching_set(spark, sf_dir):
+    """U4: sources of the matching half and the accepted generations of their reviews."""
+    return Fixtures(spark, sf_dir).expanded_matching_set.drop("has_text")
+
+
+def expanded_context(spark, sf_dir) -> X.ExplainContext:
+    """The explained pairs against the expanded set. Reviews and generations have ids of their own there: 2 * id and
+    2 * id + 1, for pairs and vectors too."""
+    fx, ctx = context(spark, sf_dir)
+    pairs = ctx.pairs.withColumns({c: F.col(c) * 2 for c in ("id_base", "id_counterfactual")})
+    vectors = fx.vectors()
+    both = vectors.select(F.explode(F.array(F.col("text_id") * 2, F.col("text_id") * 2 + 1)).alias("text_id"), "vec")
+    return X.ExplainContext(pairs=pairs, matching_set=fx.expanded_matching_set.withColumnRenamed("rid", "id"),
+                            generations=ctx.generations, embeddings=both, seed=ctx.seed)
+
+
+@register("icace_matching_expanded", O.with_prelude(f"""
+select '{MATCH_A1}' as explainer, c.split, {_X_ID}, c.concept, c.base_direction, c.target_direction, round({O.l2('m.m', 'c.c')}, 6) as icace_error
+from cells c left join (
+  select r.qid, r.concept, r.label, avg(e.p1) as m1, avg(e.p2) as m2, avg(e.p3) as m3, avg(e.p4) as m4, avg(e.p5) as m5
+  from (select *, row_number() over (partition by concept, label, qid order by round(sim, 9) desc, cid) as rank from (
+          select q.qid, q.concept, q.label, c.cid, c.k, list_dot_product(eq.u, ec.u) as sim
+          from (select distinct id_base as qid, concept, target_direction as label from cells) q
+          join xcand c on c.concept = q.concept and c.label = q.label
+          join emb eq on eq.vec_id = q.qid % {O.N_EMB} join emb ec on ec.vec_id = c.k % {O.N_EMB}) s) r
+  join emb e on e.vec_id = r.k % {O.N_EMB} where r.rank <= {FLAGSHIP_K} and r.sim > 0.0 group by all) m
+on m.qid = c.id_base and m.concept = c.concept and m.label = c.target_direction"""))
+def q_icace_matching_expanded(spark, sf_dir):
+    """E2 over U4: matches may be generations."""
+    return _errors_out(X.MatchingExplainer(top_k=FLAGSHIP_K).pair_errors(expanded_context(spark, sf_dir)))
+
+
+@register("icace_approx_expanded", O.with_prelude(f"""
+select '{EXACT}' as explainer, c.split, {_X_ID}, c.concept, c.base_direction, c.target_direction, round({O.l2('e.p', 'c.c')}, 6) as icace_error
+from xb c left join (
+  select * from (
+    select b.id_base as qid, b.concept, b.target_direction as label, k.k, row_number() over (partition by b.id_base, b.concept, b.target_direction, b.o1, b.o2, b.o3
+             order by round(list_dot_product(eq.u, ec.u), 9) desc, k.cid) as rk, b.o1, b.o2, b.o3
+    from (select distinct id_base, concept, target_direction, o1, o2, o3 from xb) b
+    join xcand k on k.concept = b.concept and k.label = b.target_direction and k.o1 = b.o1 and k.o2 = b.o2 and k.o3 = b.o3
+    join emb eq on eq.vec_id = b.id_base % {O.N_EMB} join emb ec on ec.vec_id = k.k % {O.N_EMB}) z where rk = 1) x
+  on x.qid = c.id_base and x.concept = c.concept and x.label = c.target_direction and x.o1 = c.o1 and x.o2 = c.o2 and x.o3 = c.o3
+left join emb e on e.vec_id = x.k % {O.N_EMB}""", f"xb as (select c.*, {_OTHERS_SQL} from cells c)"))
+def q_icace_approx_expanded(spark, sf_dir):
+    """E3 over U4: the confounder match may be a generation."""
+    return _errors_out(X.ApproxExplainer(exact=True).pair_errors(expanded_context(spark, sf_dir)))
