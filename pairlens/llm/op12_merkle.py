@@ -123,14 +123,17 @@ def proofs(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
 
     ``tops``: grp, depth, the ``path`` from a group's last node on, and columns that its rows take over.
     """
-    paths, carried = tops.withColumn("pos", F.lit(0).cast("long")), [c for c in tops.columns if c not in ("grp", "path")]
+    carried = [c for c in tops.columns if c not in ("grp", "path")]
+    below = None
     for k in reversed(range(len(levels))):
-        parents = paths.where(F.col("depth") > k).withColumnsRenamed({"pos": "up", "path": "rest"})
+        # parents are the nodes of the level above, and the last nodes of the groups that end there
+        parents = tops.where(F.col("depth") == k + 1).select("grp", F.lit(0).cast("long").alias("up"), *carried, F.col("path").alias("rest"))
+        if below is not None:
+            parents = parents.unionByName(below.select("grp", F.col("pos").alias("up"), *carried, F.col("path").alias("rest")))
         path = F.concat(F.array(F.struct("before", "behind")), F.col("rest")).alias("path")
         down = levels[k].withColumn("up", F.floor(F.col("pos") / FANOUT)).join(parents, ["grp", "up"])
-        if not k:
-            return down.select(*levels[0].columns, *carried, path)
-        paths = down.select("grp", "pos", *carried, path).unionByName(paths.where(F.col("depth") <= k))
+        below = down.select(*(["grp", "pos"] if k else levels[0].columns), *carried, path)
+    return below
 
 
 def folded(leaf: Column, path: Column) -> Column:
