@@ -113,18 +113,20 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, ranked: np.ndarray, q_ids
     """(query id, vector id, distance) of the block's best for each query. ``ids``: a row of ids a vector."""
     files = InvertedFiles(ranked, pivots)
     first = min(len(ids), max(RERANK_LEAST, int(np.ceil(RERANK * len(ids)))))
+    sole = np.where(ids[:, 1] == NO_ID, ids[:, 0], NO_ID)  # the id of a vector that has one
     out = []
     for qid, q, perm, least in zip(q_ids, q_vectors, q_ranked, placed(q_vectors, vectors)):
         far = files.footrule(perm)
         near = np.argpartition(far, first - 1)[:first] if first < len(ids) else np.arange(len(ids))
+        near = near[sole[near] != qid]  # vectors of the query's own id alone are no candidates, however many
         exact = np.sqrt(((vectors[near] - q) ** 2).sum(axis=1))
         if first < len(ids):
-            open_ = ~(least > (np.partition(exact, k)[k] ** 2 if first > k else np.inf))
+            open_ = ~(least > (np.partition(exact, k - 1)[k - 1] ** 2 if len(exact) >= k else np.inf))
             open_[near] = False
-            rest = np.flatnonzero(open_)
+            rest = np.flatnonzero(open_ & (sole != qid))
             near, exact = np.concatenate([near, rest]), np.concatenate([exact, np.sqrt(((vectors[rest] - q) ** 2).sum(axis=1))])
-        if len(near) > k + 1:  # one of them may be the query's own row
-            close = exact <= np.partition(exact, k)[k]
+        if len(near) > k:  # each has an id that is not the query's
+            close = exact <= np.partition(exact, k - 1)[k - 1]
             near, exact = near[close], exact[close]
         every, far = ids[near].ravel(), np.repeat(exact, ids.shape[1])
         fine = (every != NO_ID) & (every != qid)
