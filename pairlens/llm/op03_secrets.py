@@ -154,12 +154,13 @@ def fit(random: list[str], ordinary: list[str]) -> Model:
 def train(docs: DataFrame) -> Model:
     """The models from a bounded sample of the rows and the drawn strings."""
     total = docs.count()
-    key = F.xxhash64(F.lit(SEED), "doc_id")
+    # by id and text: rows of one id are picked each for itself, and equal rows count once
+    key = F.xxhash64(F.lit(SEED), "doc_id", "text")
     part = F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
     room = F.greatest(F.lit(1), F.char_length("text") - SAMPLE_CHARS + 1)
-    passage = F.substring("text", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), room).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    passage = F.substring("text", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id", "text"), room).cast("int") + 1, F.lit(SAMPLE_CHARS))
     rows = (docs.select("doc_id", text_or_empty().alias("text")).where(part < min(1.0, SAMPLE_DOCS / max(1, total)))
-            .select("doc_id", passage.alias("passage")).orderBy("doc_id", "passage").toArrow())
+            .select(key.alias("key"), passage.alias("passage")).dropDuplicates(["key"]).orderBy("key").limit(2 * SAMPLE_DOCS).toArrow())
     random, words = [], []
     for text in rows.column("passage").to_pylist():
         spans = pattern_spans(text)

@@ -27,11 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import map_slices, read, slices, small_batches, string_bytes, string_offsets
+from pairlens.llm.common import map_slices, read, slices, small_batches, string_bytes, string_offsets, unused
 
-#: Bounds of the labelled sample: expected documents a language, and languages (the commonest).
+#: Bounds of the labelled sample: documents a language, and documents in all (fewer a language where there are many).
 DOCS_PER_LANG = 400
-MAX_LANGS = 200
+SAMPLE_DOCS = 80_000
 #: Code points of the passages that a sampled document gives, each from a place that its hash picks.
 PASSAGES = (600, 150, 40)
 BUCKET_BITS = 16
@@ -151,7 +151,7 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     parts = [[b[lo:hi][ok[lo:hi]] for lo, hi in zip(s, [*s[1:], len(b)])] for b, ok, s in zip(buckets, inside, starts)]
     docs = [np.concatenate(p) for p in zip(*parts)]
     rows = rng.permutation([i for i, d in enumerate(docs) if len(d)])
-    held, train = (rows[::5], np.delete(rows, np.s_[::5])) if len(rows) >= 50 else (rows, rows)
+    held, train = rows[4::5], np.delete(rows, np.s_[4::5])
     size = 1 << BUCKET_BITS
     e = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)).astype(np.float32)
     w = np.zeros((DIM, len(names)), dtype=np.float32)
@@ -198,18 +198,22 @@ def train(docs: DataFrame) -> Model | None:
     """A model from a bounded sample of the labelled rows whose remainder is not 2."""
     rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("id")) != 2))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_DOCS).collect()
     if not counts:
         return None
-    hashed = F.xxhash64(F.lit(SEED), "id")
-    part = (F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53)))
-    rate = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, DOCS_PER_LANG / r["count"]))) for r in counts], F.lit(0.0))
-    picked = rows.where(part < rate)
+    of, rate = unused(rows.columns, "of", "rate")
+    most = max(1, min(DOCS_PER_LANG, SAMPLE_DOCS // len(counts)))
+    chances = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["count"])) for r in counts], f"{of} string, {rate} double")
+    # by id and text: rows of one id are picked each for itself, and equal rows count once
+    rows = rows.withColumn("picked_by", F.xxhash64(F.lit(SEED), "id", "text"))
+    part = F.shiftrightunsigned("picked_by", 11) / F.lit(float(1 << 53))
+    picked = rows.join(F.broadcast(chances), F.col("lang") == F.col(of)).where(part < F.col(rate))
     cuts = []
     for size in PASSAGES:
         room = F.greatest(F.lit(1), F.char_length("text") - size + 1)
-        cuts.append(F.substring("text", F.pmod(F.xxhash64(F.lit(size), "id"), room).cast("int") + 1, F.lit(size)))
-    got = picked.select("lang", "id", F.explode(F.array(*cuts)).alias("passage")).orderBy("id", "lang", "passage").toArrow()
+        cuts.append(F.substring("text", F.pmod(F.xxhash64(F.lit(size), "picked_by"), room).cast("int") + 1, F.lit(size)))
+    short = picked.select("lang", "picked_by", F.array(*cuts).alias("cuts")).dropDuplicates(["lang", "picked_by"])
+    got = short.orderBy("picked_by", "lang").limit(2 * SAMPLE_DOCS).select("lang", F.explode("cuts").alias("passage")).toArrow()
     return fit(got.column("passage").to_pylist(), got.column("lang").to_pylist())
 
 
