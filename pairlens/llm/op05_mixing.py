@@ -91,8 +91,9 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, power:
     rows = rows.withColumn(copy, F.explode(F.sequence(F.col(before) + 1, F.least(F.col(n), F.col(before) + step)).cast("array<int>")))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                             F.col(copy).cast("string")).cast("binary"))
-    rows = rows.withColumn(order, key).select(*kept, copy, order)
-    return rows.repartition(order).sortWithinPartitions(order)
+    # rows of one id, or equal in everything, have one key: their numbers deal them out too
+    rows = rows.withColumn(order, key).select(*kept, copy, order, F.monotonically_increasing_id().alias(n))
+    return rows.repartition(order, n).sortWithinPartitions(order).drop(n)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

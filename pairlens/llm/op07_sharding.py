@@ -6,12 +6,13 @@ the weighted quantile that gives each side its share of the leaves, until every
 nodes of a level are cut together: their extents come from one aggregate, and the quantiles from
 histograms of partial sums that are refined until the bin that holds a cut is light; only a row a node
 reaches the driver. A place along a dimension is an integer of the quantised coordinate, then the text's
-checksum, then a hash of the id, so ties, and equal texts in one place, can be cut anywhere and stay
+checksum, then a hash of the id and of the row's number in its file part (written down at once, so that it
+stays), so ties, equal texts, and rows equal in everything can be cut anywhere, and equal texts stay
 next to each other. Slots are counted in hashed parts of a shard, so no task holds a whole one.
 
 Defined cases: a null text has no bytes (size 8) and the checksum of an empty text; null source or
-language is a value of its own; a null ``doc_id`` is carried; equal rows lie together (in one shard)
-and get slots each; an empty table gives an empty result; other columns are not read.
+language is a value of its own; a null ``doc_id`` is carried; equal rows lie together (in one shard,
+or on both sides of a cut) and get slots each; an empty table gives an empty result; other columns are not read.
 """
 from __future__ import annotations
 
@@ -45,7 +46,7 @@ def points(docs: DataFrame) -> DataFrame:
     unit = [F.log2(F.col("chars") + 1) / 31.0, (F.col("bytes") / F.greatest("chars", F.lit(1)) - 1) / 3.0,
             hashed("source"), hashed("lang")]
     low = (F.shiftleft(F.shiftright("text_crc32", 32 - SUM_BITS), ID_BITS)
-           + F.xxhash64("doc_id", "text_crc32").bitwiseAND((1 << ID_BITS) - 1))
+           + F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()).bitwiseAND((1 << ID_BITS) - 1))
     top = (1 << LEVEL_BITS) - 1
     at = [F.shiftleft((F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0)) * top).cast("long"), SUM_BITS + ID_BITS) + low for u in unit]
     return rows.select("doc_id", (F.col("bytes") + ROW_BYTES).alias("size"), "text_crc32", F.array(*at).alias("at"))
@@ -119,13 +120,13 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def slotted(rows: DataFrame, shards: int) -> DataFrame:
     """Adds slot, gapless from 0 in each shard: parts of a shard by hash, each after those before it."""
-    rows = checkpointed(rows)
+    rows = checkpointed(rows.withColumn("nr", F.monotonically_increasing_id()))
     parts = max(1, -(-rows.count() // (shards * SLOT_ROWS)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "nr"), F.lit(parts)))
     sizes = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
     placed = rows.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")))
-    return placed.join(before, ["shard", "part"]).withColumn("slot", (F.col("before") + F.col("nth") - 1).cast("long")).drop("part", "nth", "before")
+    return placed.join(before, ["shard", "part"]).withColumn("slot", (F.col("before") + F.col("nth") - 1).cast("long")).drop("part", "nth", "before", "nr")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,21 @@ def test_unfit_vectors_take_no_part(spark):
     assert perm.search(table.where("false")).count() == 0
 
 
+def test_many_rows_of_the_querys_own_id(spark, monkeypatch):
+    monkeypatch.setattr(perm, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(perm, "RERANK_LEAST", 12)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(230, 8))
+    v[:30] = v[0] + 1e-4 * rng.normal(size=(30, 8))
+    ids = [100] * 30 + list(range(101, 301))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in perm.search(table).collect()}
+    near = {i: min(math.dist(v[a], x) for a in range(30)) for i, x in zip(ids[30:], v[30:])}
+    want = sorted((d, i) for i, d in near.items())[:10]
+    assert [got[100, r][0] for r in range(1, 11)] == [i for _, i in want]
+    assert all(got[100, r][1] == pytest.approx(d, abs=1e-12) for r, (d, _) in enumerate(want, 1))
+
+
 def test_footrule_is_the_footrule():
     rng = np.random.default_rng(8)
     ranked = np.array([rng.permutation(12)[:5] for _ in range(40)])
@@ -186,6 +201,30 @@ def test_shards_are_near_equal(spark, monkeypatch):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
 
 
+def test_rows_equal_in_everything_are_parted(spark, monkeypatch):
+    """A third of the rows is one row many times: shards stay near equal in bytes, copies are shuffled apart."""
+    from pyspark.sql import functions as F
+
+    i = F.col("id")
+    docs = spark.range(6000).select(
+        F.when(i % 3 == 0, F.lit(5)).otherwise(i).alias("doc_id"), F.when(i % 3 == 0, F.lit("the same text")).otherwise(
+            F.repeat(F.lit("ab "), (i % 7 + 1).cast("int"))).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    monkeypatch.setattr(kd, "SLOT_ROWS", 100)
+    rows = kd.slotted(kd.kd_shards(docs), kd.SHARDS).collect()
+    size = Counter()
+    for r in rows:
+        size[r.shard] += r.size
+    assert len(rows) == 6000 and len(size) == 24 and max(size.values()) <= 1.05 * min(size.values())
+    for s in size:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = Counter(r.p for r in mix.replicated(docs).select(F.spark_partition_id().alias("p")).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(parts.values()) < 1.3 * sum(parts.values()) / 4
+
+
 def test_registry():
     assert [k for k in QUERIES if k.startswith("op")] == sorted((k for k in QUERIES if k.startswith("op")), key=lambda k: int(k[2:].split("_")[0]))
     assert len(QUERIES) == 14 and "pipeline" in QUERIES and set(ORACLE) <= set(QUERIES)
@@ -220,8 +259,3 @@ def test_pipeline_stages(spark, tmp_path):
     totals = {r.doc_id: r.doc_tokens for r in packed}
     copies = Counter(r.doc_id for r in mixed)
     assert all(tokens[i] == totals[i] * n for i, n in copies.items()) and set(tokens) == set(copies)
-
-
-def test_pipeline_run_takes_edge_rows(spark, edge_docs, tmp_path):
-    edge_docs.write.parquet(str(tmp_path / "documents.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
