@@ -4,10 +4,9 @@ An anchor is an occurrence of a common word; its signature is the anchor with th
 after it. A text's fingerprint is the set of its signatures as 32-bit hashes, and two fingerprints are
 compared by Jaccard similarity. For sets of lengths a <= b it is at most a / b, so sets are put in
 partitions by length, only those within reach of the threshold meet, and a comparison ends as soon as
-the signatures left cannot reach it (``length_partitions`` and ``partners``, over a list; ``compare`` does
-without them, as it meets given pairs alone and gives their whole likeness).
+the signatures left cannot reach it: ``near_duplicates`` so finds the classes of all documents.
 
-``compare`` sets each document beside its edited text (second half taken from the next document in id
+``compare`` meets given pairs alone and gives their whole likeness, so it prunes nothing. It sets each document beside its edited text (second half taken from the next document in id
 order) and beside that next document. Rows travel once, into buckets in id order; the first row of a
 bucket also goes to the bucket before it, so that every row meets its follower in one task that streams.
 
@@ -22,15 +21,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import read, slices, small_batches, text_or_empty
-from pairlens.llm.ordering import bounds, bucketed, order_key
+from pairlens.llm.common import checkpointed, read, slices, small_batches, text_or_empty
+from pairlens.llm.op10_simhash import component_roots
+from pairlens.llm.ordering import in_buckets, listed, order_key
 
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset("""
@@ -39,8 +39,12 @@ als auf aus bei das dem den der des die ein eine es im ist mit nach nicht oder u
 au aux avec ce dans de du elle en est et il la le les ne ou par pas pour que qui se son sur un une
 con del el esa ese esta este las lo los no para pero por si su una y
 """.split())
-#: Content words of a signature.
+#: Content words of a signature; the likeness from which documents are near-duplicates.
 CHAIN = 2
+THRESHOLD = 0.8
+#: Counters of signatures (a power of two), and sets of a posting list that meet in one task.
+SKETCH = 1 << 20
+TILE_SETS = 1024
 
 
 def signatures(text: str, chain: int = CHAIN, anchors: frozenset[str] = ANCHORS) -> np.ndarray:
@@ -91,25 +95,6 @@ def length_partitions(threshold: float, longest: int) -> list[int]:
     return out
 
 
-def partners(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int, float]]:
-    """Pairs (i < j) of at least the threshold among the sets of one block, by length partition: only sets
-    of one partition and the next meet, in order of length, and only as long as lengths allow."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    lows = length_partitions(threshold, len(sets[order[-1]]) if order else 0)
-    lengths = [len(sets[i]) for i in order]
-    out = []
-    for at, i in enumerate(order):
-        part = max(k for k, low in enumerate(lows) if low <= lengths[at])
-        end = bisect_left(lengths, lows[part + 2]) if part + 2 < len(lows) else len(order)
-        for j in order[at + 1: end]:
-            if len(sets[i]) < threshold * len(sets[j]):
-                break
-            s = likeness(sets[i], sets[j], threshold)
-            if s >= threshold:
-                out.append((min(i, j), max(i, j), s))
-    return out
-
-
 def packed(sigs: np.ndarray) -> str:
     return base64.b64encode(sigs.astype("<u4").tobytes()).decode()
 
@@ -121,7 +106,7 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
             prints = [packed(signatures(t, chain)) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).mapInArrow(
         run, "doc_id long, fingerprint string")
 
 
@@ -129,19 +114,20 @@ def followed(docs: DataFrame) -> DataFrame:
     """(bucket, follower, doc_id, text), each bucket's rows in id order, then, marked, the first row of the
     next bucket (of the first bucket, after the last)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), order_key().alias("key"))
-    inner = bounds(rows.select("key"), "key")
-    rows = bucketed(rows, "key", inner)
-    firsts = {r["bucket"]: r["first"] for r in rows.groupBy("bucket").agg(F.min("key").alias("first")).collect()}  # a row a bucket
+    rows, _ = in_buckets(rows)
+    firsts = {r["bucket"]: r["first"] for r in rows.groupBy("bucket").agg(F.min(F.struct("key", "text_hash")).alias("first")).collect()}  # a row a bucket
     there = sorted(firsts)
+    most = max(there, default=0) + 1
     before = {b: there[i - 1] for i, b in enumerate(there)}
-    leads = F.col("key").isin([firsts[b] for b in there])
-    behind = F.element_at(F.array(*[F.lit(before.get(b, 0)) for b in range(max(there, default=0) + 1)]), F.col("bucket") + 1)
+    at = F.col("bucket")
+    leads = ((F.col("key") == listed([firsts[b]["key"] if b in firsts else 0 for b in range(most)], at, "long"))
+             & (F.col("text_hash") == listed([firsts[b]["text_hash"] if b in firsts else 0 for b in range(most)], at, "long")))
     own = F.struct("bucket", F.lit(False).alias("follower"))
-    more = F.struct(behind.alias("bucket"), F.lit(True).alias("follower"))
+    more = F.struct(listed([before.get(b, 0) for b in range(most)], at, "int").alias("bucket"), F.lit(True).alias("follower"))
     places = F.explode(F.when(leads, F.array(own, more)).otherwise(F.array(own)))
     rows = rows.withColumn("place", places)
-    return (rows.select("place.bucket", "place.follower", "doc_id", "key", "text").repartition(max(1, len(there)), "bucket")
-            .sortWithinPartitions("bucket", "follower", "key", F.xxhash64("text")).select("bucket", "follower", "doc_id", "text"))
+    return (rows.select("place.bucket", "place.follower", "doc_id", "key", "text_hash", "text").repartition(max(1, len(there)), "bucket")
+            .sortWithinPartitions("bucket", "follower", "key", "text_hash").select("bucket", "follower", "doc_id", "text"))
 
 
 def compare(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
@@ -178,6 +164,131 @@ def compare(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
                                           "edited_fingerprint string, near_edited double, near_next double")
 
 
+# ---------------------------------------------------------------- near-duplicates among all documents
+def unpacked(sigs: str) -> np.ndarray:
+    return np.frombuffer(base64.b64decode(sigs), dtype="<u4")
+
+
+class Prefixes:
+    """The signatures of a set that it is posted under: a partner of at least the threshold shares one of the
+    rarest, so many that fewer than threshold x size are left. ``seen`` counts signatures by their low bits (too high
+    where several share them, never too low); rarer ones come first, then smaller ones."""
+
+    def __init__(self, seen: np.ndarray, threshold: float):
+        self.seen, self.threshold = seen, threshold
+
+    def count(self, sigs: np.ndarray) -> np.ndarray:
+        return self.seen[sigs & np.uint32(len(self.seen) - 1)]
+
+    def of(self, sigs: np.ndarray) -> np.ndarray:
+        order = np.lexsort((sigs, self.count(sigs)))
+        return sigs[order][: len(sigs) - int(np.ceil(self.threshold * len(sigs) - 1e-9)) + 1]
+
+    def first_common(self, a: np.ndarray, b: np.ndarray) -> int:
+        """The first, in that order, of the signatures that two prefixes share."""
+        both = np.intersect1d(a, b)
+        return int(both[np.lexsort((both, self.count(both)))[0]])
+
+
+def cell_links(sig: int, rows: list[tuple[str, bool, np.ndarray]], prefixes: Prefixes, first: list[int],
+               second: list[int]) -> tuple[dict[str, int], list[tuple[str, str]]]:
+    """Links among the sets posted under one signature, each counted where the two share no earlier one: (links by key,
+    a tree over each linked group). ``rows``: key, whether the cell is of the set's own partition, its signatures; a pair
+    is one place of ``first`` and one of ``second``, or two of ``first`` if both are one list."""
+    links, tree, root = {}, [], {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    threshold, own = prefixes.threshold, {i: prefixes.of(rows[i][2]) for i in {*first, *second}}
+    by_size = sorted(second, key=lambda j: len(rows[j][2]))
+    sizes = [len(rows[j][2]) for j in by_size]
+    for i in first:
+        key, home, sigs = rows[i]
+        reach = slice(bisect_left(sizes, threshold * len(sigs) - 1e-9), bisect_right(sizes, len(sigs) / threshold + 1e-9))
+        for j in by_size[reach]:
+            other, there, theirs = rows[j]
+            if (first is second and key >= other) or not (home or there) or likeness(sigs, theirs, threshold) < threshold:
+                continue
+            if prefixes.first_common(own[i], own[j]) != sig:
+                continue
+            links[key], links[other] = links.get(key, 0) + 1, links.get(other, 0) + 1
+            a, b = find(key), find(other)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                tree.append((max(key, other), min(key, other)))
+    return links, tree
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN) -> DataFrame:
+    """(doc_id, class_id, links): one row a document. Documents of equal fingerprints are of one class; fingerprints
+    of at least the threshold are linked, and ``links`` counts the other fingerprints that a document's is linked to;
+    ``class_id`` is the smallest id reachable (null if all are).
+
+    Fingerprints are put in partitions by length and posted under their rarest signatures in their own and the next one;
+    a signature that is no other's needs no posting. A posting list of more than ``TILE_SETS`` is cut into tiles, and each pair of
+    tiles meets in a task of its own. Tasks return counts and, of a linked group, a tree.
+    """
+    prints = checkpointed(fingerprints(docs, chain).withColumn("set_key", F.sha2("fingerprint", 256)))
+    sets = checkpointed(prints.where("fingerprint <> ''").groupBy("set_key").agg(F.first("fingerprint").alias("fingerprint")))
+    counted = sets.mapInArrow(_sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SKETCH rows
+    seen = np.zeros(SKETCH, dtype=np.int64)
+    seen[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    longest = sets.agg(F.max(F.length("fingerprint"))).first()[0] or 0
+    lows = length_partitions(threshold, longest)  # base64 of four bytes a signature: longer than any set
+    prefixes = Prefixes(seen, threshold)
+
+    def posted(batches):
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sigs = unpacked(text)
+                part = bisect_right(lows, len(sigs)) - 1
+                prefix = prefixes.of(sigs)
+                for sig in prefix[prefixes.count(prefix) > 1].tolist():
+                    out += [(key, part, sig, True), (key, part + 1, sig, False)]
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.bool_()]
+            cols = zip(*out) if out else [[]] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["set_key", "part", "sig", "home"])
+
+    postings = checkpointed(small_batches(sets).mapInArrow(posted, "set_key string, part int, sig long, home boolean"))
+    lists = postings.groupBy("part", "sig").agg(F.count("*").alias("m"), F.count_if("home").alias("homes")).where("m > 1 and homes > 0")
+    tiles = F.ceil(F.col("m") / TILE_SETS).cast("int")
+    rows = postings.join(lists.select("part", "sig", tiles.alias("tiles")), ["part", "sig"]).withColumn("tile", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int"))
+    # a tile meets itself, those behind it as the first and those before it as the second
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cells = cells.select("set_key", "part", "sig", "home", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+    cells = cells.join(sets, "set_key")
+
+    def meet(part: pa.Table) -> pa.Table:
+        lo, hi, sig = part.column("lo")[0].as_py(), part.column("hi")[0].as_py(), part.column("sig")[0].as_py()
+        own = [(k, h, unpacked(f)) for k, h, f in zip(part.column("set_key").to_pylist(), part.column("home").to_pylist(), part.column("fingerprint").to_pylist())]
+        tile = part.column("tile").to_pylist()
+        first = [i for i, t in enumerate(tile) if t == lo]
+        second = first if lo == hi else [i for i, t in enumerate(tile) if t == hi]
+        links, tree = cell_links(sig, own, prefixes, first, second)
+        return pa.table({"u": pa.array([*links, *(a for a, _ in tree)], pa.string()), "v": pa.array([None] * len(links) + [b for _, b in tree], pa.string()),
+                         "n": pa.array([*links.values()] + [0] * len(tree), pa.int64())})
+
+    met = checkpointed(cells.groupBy("part", "sig", "lo", "hi").applyInArrow(meet, "u string, v string, n long"))
+    links = met.where("v is null").groupBy(F.col("u").alias("set_key")).agg(F.sum("n").alias("links"))
+    roots = component_roots(checkpointed(met.where("v is not null").select("u", "v").distinct()))
+    classes = prints.groupBy("set_key").agg(F.min("doc_id").alias("first")).join(
+        roots.select(F.col("u").alias("set_key"), F.col("v").alias("root")), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    least = classes.groupBy("root").agg(F.min("first").alias("class_id"))
+    of = classes.join(least, "root").join(links, "set_key", "left").select("set_key", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return prints.select("doc_id", "set_key").join(of, "set_key").select("doc_id", "class_id", "links")
+
+
+def _sketch(batches):
+    for batch in batches:
+        parts = [unpacked(t) for t in batch.column(1).to_pylist()]
+        slots, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint32), *parts]) & np.uint32(SKETCH - 1), return_counts=True)
+        yield pa.record_batch([pa.array(slots.astype(np.int32)), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+
 def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likenesses."""
     return compare(read(spark, sf_dir, "documents"))

@@ -38,13 +38,47 @@ def test_pruned_jaccard_and_partitions_lose_no_pair(threshold):
             j = jaccard(a, b)
             assert spot.likeness(a, b, threshold) == (pytest.approx(j) if j >= threshold else 0.0)
     if threshold:
-        want = {(i, k) for i in range(len(sets)) for k in range(i + 1, len(sets)) if jaccard(sets[i], sets[k]) >= threshold}
-        assert {(i, k) for i, k, _ in spot.partners(sets, threshold)} == want
+        lows = spot.length_partitions(threshold, 50)
+        part = [max(k for k, low in enumerate(lows) if low <= len(x)) for x in sets]
+        assert all(abs(part[i] - part[k]) <= 1 for i in range(len(sets)) for k in range(i) if jaccard(sets[i], sets[k]) >= threshold)
+
+
+def plain_classes(prints, threshold):
+    """(class, links) by document from all pairs of distinct sets."""
+    sets = {tuple(s) for _, s in prints}
+    near = {a: [b for b in sets if a != b and jaccard(np.array(a), np.array(b)) >= threshold and a and b] for a in sets}
+    seen, label = {}, {}
+    for a in sets:
+        if a not in seen:
+            group, todo = {a}, [a]
+            while todo:
+                todo += [b for b in near[todo.pop()] if b not in group and not group.add(b)]
+            least = min((i for i, s in prints if tuple(s) in group and i is not None), default=None)
+            seen.update(dict.fromkeys(group)), label.update(dict.fromkeys(group, least))
+    return Counter((i, label[tuple(s)], len(near[tuple(s)])) for i, s in prints)
+
+
+@pytest.mark.parametrize("tile, sketch", [(1024, 1 << 20), (3, 64)])
+def test_near_duplicates_of_all_documents(spark, edge_docs, edge_rows, no_docs, monkeypatch, tile, sketch):
+    monkeypatch.setattr(spot, "TILE_SETS", tile)
+    monkeypatch.setattr(spot, "SKETCH", sketch)
+    from tests.llm.conftest import sentence
+
+    rows = [(r[0], r[1]) for r in edge_rows]
+    for k in range(6):  # near copies: a word changed here and there
+        words = sentence(900 + k % 2, 400).split()
+        for j in range(12):
+            rows.append((1000 + 20 * k + j, " ".join(w if (i + j) % (37 + 5 * j) else f"w{j}" for i, w in enumerate(words))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, spot.near_duplicates(docs).collect()))
+    want = plain_classes([(i, spot.signatures(t or "").tolist()) for i, t in rows], spot.THRESHOLD)
+    assert got == want and max(n for _, _, n in want) > 5 and len({c for _, c, n in want if n}) > 1
+    assert spot.near_duplicates(no_docs).count() == 0
 
 
 @pytest.mark.parametrize("rows", [4096, 7])
 def test_documents_meet_their_followers(edge_docs, edge_rows, monkeypatch, rows):
-    monkeypatch.setattr(ordering.bounds, "__defaults__", (rows,))
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", rows)
     got = [tuple(r) for r in spot.compare(edge_docs).collect()]
     assert len(got) == len(edge_rows)
     # rows of one id are ordered by their texts' hash, so compare where ids are single or texts equal
@@ -150,3 +184,16 @@ def test_gray_order_and_search():
     index = sim.GrayIndex(*[np.unique(base)[np.argsort(sim.gray_rank(np.unique(base)))]] * 2)
     found = sum(len(r) for r, _ in index.search(near, 2))
     assert found == (np.bitwise_count(near[:, None] ^ base[None, :]) <= 2).sum()
+
+
+def test_one_id_on_a_third_of_the_rows_is_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 50)
+    rows = [(7 if i % 3 == 0 else i, f"text {i}") for i in range(3000)] + [(None, f"null {i}") for i in range(300)]
+    rows += [((1 << 60) + i, "near the end of doubles") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("key", ordering.order_key())
+    placed, n = ordering.in_buckets(df)
+    got = sorted(((r.bucket, r.key, r.text_hash) for r in placed.collect()))
+    assert [x[1:] for x in got] == sorted(x[1:] for x in got) and len(got) == len(rows)  # buckets ascend with key and hash
+    sizes = Counter(b for b, _, _ in got)
+    assert max(sizes) < n and max(c for b, c in sizes.items()) <= 210 and sum(c > 150 for c in sizes.values()) <= 1
+    assert len({b for b, key, _ in got if key == 7}) > 10 and len({b for b, key, _ in got if key == ordering.LEAST}) > 2
