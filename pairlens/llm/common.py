@@ -50,6 +50,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of this job in the shared store, once all that is read from it is written elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, each lengthened until no column has it (Spark's names ignore case)."""
     taken, out = {c.lower() for c in columns}, []

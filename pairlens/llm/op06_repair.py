@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import gathered, read, shared_folder, small_batches, text_or_empty, worker_cache
-from pairlens.llm.ordering import bounds, bucketed, order_key
+from pairlens.llm.common import checkpointed, gathered, read, removed, shared_folder, small_batches, text_or_empty, worker_cache
+from pairlens.llm.ordering import in_buckets, order_key
 from pairlens.llm.word_ids import ENCODE_BYTES, WordStore, encode_column, load_tokenizer, spread
 
 TOKENIZER = "word_bpe_49k.json"
@@ -222,9 +222,8 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = END_ID) -> None:
     """Shards of all documents in ascending id order: a table of bucket, part, docs, ids, data."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), order_key().alias("key"))
-    inner = bounds(rows.select("key"), "key")
-    rows = (bucketed(rows, "key", inner).repartition(len(inner) + 1, "bucket").sortWithinPartitions("bucket", "key", F.xxhash64("text"))
-            .select("bucket", "doc_id", "text"))
+    rows, buckets = in_buckets(rows)
+    rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "key", "text_hash").select("bucket", "doc_id", "text")
 
     def run(batches):
         known, words = load_tokenizer(tokenizer), worker_cache(f"words:{tokenizer}", WordStore)
@@ -291,4 +290,6 @@ def op6_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
     write_shards(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), path)
-    return read_documents(spark, path)
+    found = checkpointed(read_documents(spark, path))
+    removed(spark, path)
+    return found

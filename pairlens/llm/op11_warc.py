@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import checkpointed, read, shared_folder, small_batches
+from pairlens.llm.common import checkpointed, read, removed, shared_folder, small_batches
 
 VERSION = b"WARC/1.1"
 #: Bytes of a record's block, of a chunk of the transfer framing, and records of a file.
@@ -314,6 +314,7 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(read(spark, sf_dir, "pages"), folder)
     # narrow rows, read twice by the join
     found = checkpointed(read_archives(spark, folder))
+    removed(spark, folder)
     return resolved(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -10,7 +10,7 @@ of documents that hold it linked.
 Texts are cut into atoms that no token of either crosses (see ``word_ids``; for B the vocabulary is
 looked at), and an atom's alignment is kept in the worker. Other texts are aligned whole.
 
-Distinct texts are aligned in slices of about 8 MB and written to the folder that
+Distinct texts are aligned in slices of about 6 MB and written to the folder that
 ``spark.checkpoint.dir`` names, a row a slice: the texts' measures, their links as places in the slice's
 table of id pairs, and that table with the documents that hold each pair. Counts are summed over the
 slices' tables, and what the corpus says of a slice's pairs comes back to the slice's row, so neither
@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import gathered, read, shared_folder, small_batches, string_bytes, string_offsets, worker_cache
+from pairlens.llm.common import checkpointed, gathered, read, removed, shared_folder, small_batches, string_bytes, string_offsets, worker_cache
 from pairlens.llm.word_ids import ENDINGS, WordStore, coded_atoms, endings, plain_rows, spread
 
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
 #: Text bytes of a slice, about; atoms whose alignment a worker keeps.
-SLICE_TEXT = 8 << 20
-KEPT_ATOMS = 300_000
+SLICE_TEXT = 6 << 20
+KEPT_ATOMS = 200_000
 #: What a text, an atom or a slice's row is measured by.
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 #: The blank that sentencepiece writes as a visible character.
@@ -235,7 +235,8 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, folder: str) -> DataFra
     key = F.unhex(F.sha2("text", 256))
     distinct = rows.where("text <> ''").groupBy("text").agg(F.count("*").alias("docs")).select("text", key.alias("text_key"), "docs")
     write_slices(distinct, path_a, path_b, folder)
-    found = text_measures(docs.sparkSession.read.parquet(folder))
+    # a row a distinct text; after it the folder is read no more
+    found = checkpointed(text_measures(docs.sparkSession.read.parquet(folder)))
     joined = rows.select("doc_id", key.alias("text_key")).join(found, "text_key", "left")
     return joined.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in [*MEASURES, "n_best", "count_sum"]],
                          F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
@@ -245,5 +246,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's alignment of a byte-level and a sentencepiece tokenizer."""
     import public_tokenizers
 
-    return alignment(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_A), public_tokenizers.path(TOKENIZER_B),
-                     f"{shared_folder(spark)}/token-links-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/token-links-{uuid.uuid4().hex}"
+    found = alignment(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_A), public_tokenizers.path(TOKENIZER_B), folder)
+    removed(spark, folder)
+    return found
