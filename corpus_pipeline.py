@@ -2,7 +2,14 @@
 
 Each stage takes what its predecessor kept and returns the columns of documents; the last returns the
 pieces of the packed sequences with their ids. Between stages the rows are written as Parquet, in
-``run`` to the folder that ``spark.checkpoint.dir`` names, so a lost executor costs one stage's tasks.
+``run`` to the folder that ``spark.checkpoint.dir`` names, so a lost executor costs one stage's tasks; a
+stage's rows are deleted once the next one's are written, but for those that the result is read from.
+
+Defined cases: a row with a null text, or one without a letter, goes at the first stage; other nulls, in any
+column, are carried, and a null source is a source; of rows with a null ``doc_id`` near-duplicates are one
+group's like others', and one of each group stays; a document whose rate draws no copy goes at the mixing
+stage; repeated rows are one document after near-dedup; an empty table gives an empty result; columns beyond
+those of documents are carried to the last stage, whatever their names, which returns its own alone.
 """
 from __future__ import annotations
 
@@ -13,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.llm import op03_secrets, op04_langid, op05_mixing, op09_packing, op10_simhash
-from pairlens.llm.common import read, shared_folder, unused
+from pairlens.llm.common import read, removed, shared_folder, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +57,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Trained models, SimHash and tokenizers are beyond SQL; tests hold run() against plain Python.
+#: Trained models, SimHash and tokenizers are beyond SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
@@ -61,4 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
