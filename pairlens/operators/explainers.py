@@ -63,6 +63,7 @@ class ExplainContext:
     generations: DataFrame      # accepted generations (g_id, original_id, intervention_aspect, target_direction, ...)
     embeddings: DataFrame       # text_id, vec (one model's)
     scorer: str = "linear_head"
+    base_predictions: DataFrame | None = None  # id, {c}_prediction: aspect labels a model gives the bases; else their gold labels
     seed: int = DEFAULT_SEED
     materialize: bool = True
     _memo: dict = field(default_factory=dict)
@@ -111,9 +112,13 @@ class ExplainContext:
 
     def base_others(self) -> DataFrame:
         """Cell pairs with the base's predictions of the three non-treated concepts as o1..o3."""
+        cells = self.cells
+        if self.base_predictions is not None:
+            own = self.base_predictions.select(F.col("id").alias("id_base"), *[F.col(f"{c}_prediction").alias(f"{c}_pred_base") for c in CONCEPTS])
+            cells = cells.drop(*[f"{c}_pred_base" for c in CONCEPTS]).join(own, "id_base", "left")
         cases = {f"o{i + 1}": F.coalesce(*[F.when(F.col("concept") == c, F.col(f"{_others(c)[i]}_pred_base"))
                                           for c in CONCEPTS]) for i in range(3)}
-        return self.cells.withColumns(cases)
+        return cells.withColumns(cases)
 
 
 def _finish(df: DataFrame, name: str) -> DataFrame:

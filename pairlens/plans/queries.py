@@ -12,7 +12,9 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.constants import CONCEPTS, DEFAULT_SEED, SCORE_ENCODINGS, run_label
+from pairlens.constants import ASPECT_CODE_TO_LABEL, CONCEPTS, DEFAULT_SEED, SCORE_ENCODINGS, run_label
+from pairlens.functions.labels import literal_map
+from pairlens.functions.vectors import argmax
 from pairlens.operators import explainers as X
 from pairlens.operators import metrics as M
 from pairlens.operators.pairs import LABEL_COLS, mine_pairs, original_diagnostics, pair_drop_counts
@@ -20,6 +22,7 @@ from pairlens.operators.scoring import predicted_classes
 from pairlens.plans import oracle as O
 from pairlens.session import cut_lineage
 from pairlens.sources.fixtures import MODELS, Fixtures
+from pairlens.sources.sinks import overall_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -385,6 +388,15 @@ def q_score_pivot(spark, sf_dir):
     return p.select("explainer", "split", "concept", *[F.col(f"`{c}`") for c in _PIVOT_COLS], r6("average"))
 
 
+@register("score_table", O.with_prelude(
+    "select explainer, split, " + ", ".join(f"round(max(case when concept = '{c}' then average end), 6) as {c}" for c in CONCEPTS)
+    + ", round_even(avg(average), 2) as average from rep_concept group by all", _REP_CTES))
+def q_score_table(spark, sf_dir):
+    """A3/A4: explainers by concepts, with the overall score."""
+    t = overall_table(M.score_cells(all_errors(spark, sf_dir)))
+    return t.select("explainer", "split", *[r6(c) for c in CONCEPTS], "average")
+
+
 @register("coverage", O.with_prelude(
     "select explainer, split, count(*)::bigint as n_optional, count(icace_error)::bigint as n_valid, "
     "round(100.0 * count(icace_error) / count(*), 6) as pct_valid from rep_err group by all", _REP_CTES))
@@ -497,6 +509,40 @@ def q_aspect_training_set(spark, sf_dir):
                                                                          "label")
 
 
+@register("gen_decoded", O.with_prelude("select g_id, " + ", ".join(
+    f"nullif({c}_predictions_generation, '') as {c}_predictions_generation" for c in CONCEPTS) + " from fx_generations"))
+def q_gen_decoded(spark, sf_dir):
+    """Predictions stored as codes, as text of a number or of a tensor, read back as labels (one without a label has
+    no code); an unknown code is an error."""
+    code = {label: number for number, label in ASPECT_CODE_TO_LABEL.items()}
+    shapes = [lambda x: x, lambda x: F.concat(F.lit("tensor("), x, F.lit(")")), lambda x: F.concat(F.lit(" "), x, F.lit(" "))]
+    g = Fixtures(spark, sf_dir).generations
+    for i, c in enumerate(CONCEPTS):
+        name = f"{c}_predictions_generation"
+        number = F.element_at(literal_map(code), F.col(name)).cast("string")
+        nth = F.pmod(F.col("g_id") + i, F.lit(3))
+        g = g.withColumn(name, F.when(nth == 0, shapes[0](number)).when(nth == 1, shapes[1](number)).otherwise(F.trim(shapes[2](number))))
+    return H.decode_predictions(g).select("g_id", *[f"{c}_predictions_generation" for c in CONCEPTS])
+
+
+@register("aspects_filled", O.with_prelude("select id, split, " + ", ".join(f"coalesce({c}_aspect_majority, '') as {c}_aspect_majority" for c in CONCEPTS)
+          + " from (select id, split, review_majority, " + ", ".join(f"nullif({c}_aspect_majority, '') as {c}_aspect_majority" for c in CONCEPTS)
+          + " from fx_reviews) r where not (split like 'train%' and review_majority = 'no majority')"))
+def q_aspects_filled(spark, sf_dir):
+    """missing aspect labels become empty text."""
+    raw = Fixtures(spark, sf_dir).reviews.withColumns({f"{c}_aspect_majority": F.nullif(F.col(f"{c}_aspect_majority"), F.lit("")) for c in CONCEPTS})
+    return I.encode_reviews(raw, "5-way").select("id", "split", *I.ASPECT_COLS)
+
+
+@register("sentiment_training_set", O.with_prelude(
+    "select md5(description) as text_md5, case review_majority " + " ".join(f"when '{k}' then {v}" for k, v in SCORE_ENCODINGS["2-way"].items())
+    + " end as labels from fx_reviews where review_majority not in ('no majority', '3')"))
+def q_sentiment_training_set(spark, sf_dir):
+    """rows of the sentiment model under the standard names, from a table with others."""
+    r = Fixtures(spark, sf_dir).reviews.select(F.col("description").alias("text"), F.col("review_majority").alias("edit_rating"))
+    return I.sentiment_training_set(r, "2-way").select(F.md5("description").alias("text_md5"), "labels")
+
+
 @register("split_halves", O.with_prelude("select id, half from fx_halves"))
 def q_split_halves(spark, sf_dir):
     r = Fixtures(spark, sf_dir).reviews.where(F.col("split") == "train_exclusive")
@@ -870,10 +916,9 @@ from anb_long l join anb_best b on b.id = l.id and b.target = l.target and b.nth
 
 def aspect_predictions(spark, sf_dir) -> DataFrame:
     """The four aspects' classes of every review, learnt from the training split's labels."""
-    revs = Fixtures(spark, sf_dir).reviews
-    rows = I.aspect_classes(revs)
-    model = NB.train(rows.where(F.col("split") == TRAIN_SPLIT), "id", "description", ASPECTS)
-    probs = model.probabilities(rows.select("id", "description"), "id", "description")
+    fx = Fixtures(spark, sf_dir)
+    rows = I.aspect_classes(fx.reviews)
+    probs = aspect_model(fx).probabilities(rows.select("id", "description"), "id", "description")
     parts = F.explode(F.array(*[F.struct(F.lit(c).alias("concept"), F.col(f"{c}_class").alias("label"), F.col(f"{c}_class_probs").alias("aspect_probs"))
                                 for c in CONCEPTS])).alias("a")
     long = rows.select("id", "split", *ASPECTS).join(probs, "id").select("id", "split", parts).select("id", "split", "a.*")
@@ -895,6 +940,63 @@ def q_accuracy_by_split(spark, sf_dir):
         "concept", "split", F.round("accuracy", 6).alias("accuracy"), "n")
 
 
+_GEN_CTES = _ASPECT_CTES + """,
+gwords as (select id, token, count(*) as n from (
+  select g_id as id, unnest(regexp_extract_all(lower(generation), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as token from fx_clean) w group by all),
+gsums as (select w.id, p.target, p.class, sum(w.n * p.p) as s from gwords w join anb_p p on p.token = w.token group by all),
+gscore as (select i.g_id as id, r.target, r.class, round(coalesce(s.s, 0) + r.prior, 6) as score from fx_clean i cross join anb_priors r
+           left join gsums s on s.id = i.g_id and s.target = r.target and s.class = r.class)"""
+
+
+@register("generation_aspects", O.with_prelude("""
+select id as g_id, left(target, length(target) - 6) as concept, case arg_min(class, (-score, class)) when 0 then 'unknown' when 1 then 'Negative' else 'Positive' end as prediction
+from gscore group by id, target""", _GEN_CTES))
+def q_generation_aspects(spark, sf_dir):
+    """The four aspects of every clean generation, by the models learnt from reviews."""
+    fx = Fixtures(spark, sf_dir)
+    model = aspect_model(fx)
+    probs = model.probabilities(fx.clean_generations.select("g_id", F.col("generation").alias("description")), "g_id", "description")
+    return aspect_labels(probs, "g_id")
+
+
+def aspect_model(fx: Fixtures) -> NB.NaiveBayes:
+    rows = I.aspect_classes(fx.reviews)
+    return NB.train(rows.where(F.col("split") == TRAIN_SPLIT), "id", "description", ASPECTS)
+
+
+def aspect_labels(probs: DataFrame, key: str) -> DataFrame:
+    """(key, concept, prediction): the label of each concept's greatest probability."""
+    names = F.array(*[F.lit(ASPECT_CODE_TO_LABEL[i]) for i in range(3)])
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("concept"), F.element_at(names, (argmax(f"{c}_class_probs") + 1).cast("int")).alias("prediction"))
+                                for c in CONCEPTS])).alias("a")
+    return probs.select(key, parts).select(key, "a.*")
+
+
+_PREDICTED = ", ".join(f"max(case when b.target = '{c}_class' then case b.class when 0 then 'unknown' when 1 then 'Negative' else 'Positive' end end) as {c}_pb" for c in CONCEPTS)
+
+
+@register("icace_approx_predicted", O.with_prelude(f"""
+select '{EXACT}' as explainer, c.split, c.pair_id, c.concept, c.base_direction, c.target_direction, round({O.l2('e.p', 'c.c')}, 6) as icace_error
+from pb c left join (
+  select * from (
+    select b.id_base as qid, b.concept, b.target_direction as label, k.cid, row_number() over (partition by b.id_base, b.concept, b.target_direction
+             order by round(list_dot_product(eq.u, ec.u), 9) desc, k.cid) as rk
+    from (select distinct id_base, concept, target_direction, o1, o2, o3 from pb) b
+    join cand k on k.concept = b.concept and k.label = b.target_direction and k.o1 = b.o1 and k.o2 = b.o2 and k.o3 = b.o3
+    join emb eq on eq.vec_id = b.id_base % {O.N_EMB} join emb ec on ec.vec_id = k.cid % {O.N_EMB}) z where rk = 1) x
+  on x.qid = c.id_base and x.concept = c.concept and x.label = c.target_direction
+left join emb e on e.vec_id = x.cid % {O.N_EMB}""", _ASPECT_CTES + f""",
+plabels as (select b.id, {_PREDICTED} from anb_best b where b.nth = 1 group by b.id),
+pb as (select c.*, {_OTHERS_SQL.replace('c.', 'l.').replace('case l.concept', 'case c.concept')} from cells c join plabels l on l.id = c.id_base)"""))
+def q_icace_approx_predicted(spark, sf_dir):
+    """J4/J7 with the bases' confounders as the aspect models predict them."""
+    fx, ctx = context(spark, sf_dir)
+    probs = aspect_model(fx).probabilities(fx.explained_reviews.select("id", "description"), "id", "description")
+    wide = aspect_labels(probs, "id").groupBy("id").pivot("concept", list(CONCEPTS)).agg(F.first("prediction"))
+    ctx.base_predictions = wide.withColumnsRenamed({c: f"{c}_prediction" for c in CONCEPTS})
+    return _errors_out(X.ApproxExplainer(exact=True).pair_errors(ctx))
+
+
 _SCORES = {"score_class": 5}
 _SCORE_CTES = f"""
 sset as (select id, split, description, case review_majority {" ".join(f"when '{k}' then {v}" for k, v in SCORE_ENCODINGS['5-way'].items())} end as score_class
