@@ -33,6 +33,8 @@ FANOUT = 3
 BLOCK = FANOUT ** 8
 #: Copies of one row that a row makes at once.
 COPIES = 4096
+#: Levels of proofs in one plan.
+PLAN_LEVELS = 4
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
@@ -133,6 +135,8 @@ def proofs(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
         path = F.concat(F.array(F.struct("before", "behind")), F.col("rest")).alias("path")
         down = levels[k].withColumn("up", F.floor(F.col("pos") / FANOUT)).join(parents, ["grp", "up"])
         below = down.select(*(["grp", "pos"] if k else levels[0].columns), *carried, path)
+        if k and k % PLAN_LEVELS == 0:  # few rows; keeps the plan short
+            below = checkpointed(below)
     return below
 
 
