@@ -65,11 +65,14 @@ def leaves(docs: DataFrame, tamper_every: int = 2) -> DataFrame:
                        F.coalesce(other, leaf).alias("tampered"))
 
 
-def placed(rows: DataFrame, group: str, order: list[str], carried: list[str]) -> DataFrame:
-    """Equal rows expanded to a row each, with ``pos`` from 0 in their group's order and ``n``, the group's rows."""
+def placed(rows: DataFrame, group: str, order: list[str], carried: list[str], ranges: list[Column]) -> DataFrame:
+    """Equal rows expanded to a row each, with ``pos`` from 0 in their group's order and ``n``, the group's rows.
+
+    ``ranges``: short columns that ascend with ``order``; Spark samples them for the bounds of its partitions.
+    """
     keys = [group, *order, *carried]
     counted = rows.groupBy(*keys).agg(F.count("*").alias("copies"))
-    ranged = checkpointed(counted.repartitionByRange(group, *order, *carried).withColumn("part", F.spark_partition_id()))
+    ranged = checkpointed(counted.repartitionByRange(group, *ranges).withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy(group, "part").agg(F.sum("copies").alias("held"))
     # a group has a row here for each partition that it reaches into
     whole = Window.partitionBy(group)
@@ -147,11 +150,11 @@ def folded(leaf: Column, path: Column) -> Column:
 
 def manifest(docs: DataFrame, tamper_every: int = 2) -> DataFrame:
     """One row per row: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
-    rows = checkpointed(placed(leaves(docs, tamper_every), "grp", ["doc_id", "leaf"], ["tampered"]).withColumnRenamed("leaf", "digest"))
+    rows = checkpointed(placed(leaves(docs, tamper_every), "grp", ["doc_id", "leaf"], ["tampered"], [F.col("doc_id"), F.substring("leaf", 1, 8)]).withColumnRenamed("leaf", "digest"))
     levels, tops = tree(rows)
     # the tree of the sources, one group of its own
     tops = tops.select(F.lit("").alias("all"), F.col("grp").alias("source"), F.col("digest").alias("subroot"), F.col("depth").alias("below"))
-    sources = checkpointed(placed(tops, "all", ["source"], ["subroot", "below"]).withColumn("grp", F.lit("")).withColumn("digest", F.col("subroot")))
+    sources = checkpointed(placed(tops, "all", ["source"], ["subroot", "below"], [F.col("source")]).withColumn("grp", F.lit("")).withColumn("digest", F.col("subroot")))
     upper, top = tree(sources)
     root = top.first()
     none = F.array().cast("array<struct<before:string,behind:string>>")
