@@ -16,13 +16,12 @@ def test_stream_matches_batch(spark):
     gens = fx.generations
     root = tempfile.mkdtemp(prefix="pairlens-stream-")
     src = os.path.join(root, "src")
-    gens.write.parquet(src)
+    gens.orderBy("g_id").coalesce(1).write.parquet(src)  # rows arrive in id order: the first arrival is the first by id
     q = start(spark, src, gens.schema, os.path.join(root, "out"), os.path.join(root, "ckpt"))
     q.awaitTermination(300)
     streamed = spark.read.parquet(os.path.join(root, "out"))
     batch = fx.accepted_generations
-    # dedup keeps one row per key; which one may differ from the batch's first-by-id
-    key = ["generation", "base_direction", "target_direction"]
+    key = ["g_id", "generation", "base_direction", "target_direction"]
     assert streamed.count() == batch.count()
     assert streamed.select(*key).exceptAll(batch.select(*key)).count() == 0
 
