@@ -125,6 +125,20 @@ def test_role_invariants(spark):
     assert tcf.join(ccf, ["treatment", "q_rid", "m_rid"]).count() == 0  # t_cf and c_cf are disjoint
 
 
+def test_counts_by_treatment_hold_every_query(spark):
+    from pairlens.plans.queries import QUERIES
+
+    key = ["treatment", "split", "q_rid"]
+    sizes = ["n_tcf", "n_ccf", "n_approx", "n_negative"]
+    got = QUERIES["contrastive_counts_by_treatment"](spark, SF_SMALL).collect()
+    want = {tuple(r[k] for k in key): tuple(r[n] for n in sizes) for r in QUERIES["contrastive_role_counts"](spark, SF_SMALL).collect()}
+    assert len(got) == len(want) and {tuple(r[k] for k in key): tuple(r[n] for n in sizes) for r in got} == want
+    for r in got:
+        own = [v for k, v in want.items() if k[:2] == (r.treatment, r.split)]
+        assert (r.n_queries, r.n_kept) == (len(own), sum(min(v) > 0 for v in own))
+        assert (r.all_tcf, r.all_ccf, r.all_approx, r.all_negative) == tuple(map(sum, zip(*own)))
+
+
 def test_losses_on_hand_made_cosines(spark):
     import math
 
