@@ -27,3 +27,15 @@ def test_no_training_rows(spark):
     model = NB.train(df.where("false"), "id", "text", {"a": 2})
     r = NB.predicted(model.probabilities(df, "id", "text"), "a").first()
     assert r.a_probs == [0.5, 0.5] and r.prediction == 0
+
+
+def test_rare_tokens_travel_and_frequent_ones_do_not(spark):
+    """Two broadcast tokens of many: the same scores; and no token of a text is shuffled where all are broadcast."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 7)) + f" Common the {'x' * (i % 3)}", i % 2, (i % 3) or None) for i in range(60)]
+    rows += [(None, "w1 the", 1, 1), (None, None, 0, 2), (7, "w1 w1 twice", 1, 1), (100, None, 1, None), (101, " .,! ", 0, 1)]
+    df = spark.createDataFrame(rows, "id long, text string, a int, b int")
+    few, all_ = (NB.train(df.where("id is null or id % 4 > 0"), "id", "text", {"a": 2, "b": 3}, n) for n in (2, NB.FREQUENT))
+    got = [sorted(((r.id, *[round(x, 9) for x in (*r.a_probs, *r.b_probs)]) for r in m.probabilities(df, "id", "text").collect()), key=str) for m in (few, all_)]
+    assert got[0] == got[1] and len(got[0]) == len({r[0] for r in rows})
+    plan = all_.probabilities(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(token" not in plan and "BroadcastHashJoin" in plan
