@@ -1,6 +1,9 @@
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from pairlens.operators import topk as T
 from pairlens.operators.topk import cosine_topk
 
 
@@ -68,3 +71,31 @@ def test_index_of_nothing(spark):
     assert cosine_topk(qd, cd.where("false"), 3, ["blk"]).count() == 0
     assert cosine_topk(qd.where("false"), cd, 3, ["blk"]).count() == 0
     assert [r.cid for r in cosine_topk(qd, cd, 3, ["blk"]).collect()] == [7]
+
+
+def test_known_kth_leaves_pairs_below_it_out(spark):
+    rng = np.random.default_rng(5)
+    left, right = (T._Rows(pd.Series(list(rng.normal(size=(n, 8)).astype(np.float32)))) for n in (150, 700))
+    exact = np.round((left.raw / left.norms[:, None]) @ (right.raw / right.norms[:, None]).T, 9)
+    least = np.sort(exact, axis=1)[:, -3]
+    least[:2] = -2.0, 1.0  # nothing known; nothing reaches it
+    rows, cols, _ = T._best(left, right, 9, least)
+    for i in range(len(exact)):
+        want = [c for c in np.lexsort((np.arange(exact.shape[1]), -exact[i]))[:9] if exact[i, c] >= least[i]]
+        assert cols[rows == i].tolist() == want
+    assert np.bincount(rows, minlength=4)[:4].tolist() == [9, 0, 3, 3]
+
+
+def test_routes_are_cut_into_small_batches(monkeypatch):
+    monkeypatch.setattr(T, "PAIR_ROWS", 8)
+    v = np.random.default_rng(2).normal(size=(50, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(50, dtype=np.int32)), pa.array(np.arange(50)), pa.array(list(v)), pa.array([None] * 50, pa.float64())],
+                                       ["_b", "qid", "vec", "_kth"])
+    run = T._route_fn([np.eye(3, 4)], [np.array([5, 5, 5])], [np.array([0.1, 0.1, 0.1])], 5, True)
+    out = list(run([batch]))
+    assert max(b.num_rows for b in out) <= 8 and sum(b.num_rows for b in out) == 100  # two further tiles each
+
+
+def test_product_is_a_few_queries_wide(spark):
+    """A matrix of cosines held at once is at most 64 x 65,536 numbers of four bytes."""
+    assert T.MATMUL_ROWS * T.TILE_ROWS * 4 <= 1 << 24
