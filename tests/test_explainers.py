@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pairlens.operators import explainers as X
 from pairlens.operators import metrics as M
 from pairlens.operators.pairs import LABEL_COLS, mine_pairs
-from pairlens.plans.queries import context
+from pairlens.plans.queries import QUERIES, context, expanded_context
 from pairlens.sources.fixtures import Fixtures
 from tests.conftest import SF_SMALL
 
@@ -45,3 +45,31 @@ def test_sweep_ranks_once(spark):
     _, ctx = context(spark, SF_SMALL)
     plan = X.topk_sweep(ctx, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInPandas") == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_generations_are_cleaned_once(spark):
+    """What the explainers read of generations and candidates has been written narrow; no plan cleans texts again."""
+    _, ctx = context(spark, SF_SMALL)
+    for approach in (1, 2):
+        assert "instructor" not in _plan(X.GenerativeExplainer(approach=approach).pair_errors(ctx))
+    wide = expanded_context(spark, SF_SMALL)
+    assert "instructor" not in _plan(X.MatchingExplainer(top_k=3).pair_errors(wide))
+
+
+def test_sweep_joins_a_row_a_query(spark):
+    """The values of k are told apart behind the join with the pairs, not before it."""
+    _, ctx = context(spark, SF_SMALL)
+    lines = _plan(X.topk_sweep(ctx, 5)).splitlines()
+    first = {word: next(i for i, x in enumerate(lines) if word in x) for word in ("Generate", "Join")}
+    assert first["Generate"] < first["Join"]
+
+
+def test_report_joins_digests(spark):
+    lines = _plan(QUERIES["best_match_report"](spark, SF_SMALL)).splitlines()
+    first = {word: next(i for i, x in enumerate(lines) if word in x) for word in ("md5(", "Join")}
+    assert first["md5("] > first["Join"]
+    assert not any("FlatMapCoGroupsInPandas" in x for x in lines)  # one search, written once

@@ -68,3 +68,8 @@ def test_dry_clean_idempotent(spark):
     once = H.dry_clean(df)
     assert _ids(once) == [1]
     assert _ids(H.dry_clean(once)) == [1]
+
+
+def test_faults_lower_a_text_once(spark):
+    for faults in (H.ok_fault_words(), H.ok_fault_endings()):
+        assert str(faults).count("lower(") == 1
