@@ -49,12 +49,11 @@ def query_rows(full_set: DataFrame, generation_index: str = "-1") -> DataFrame:
     return full_set.where(F.col("generation_index").isin(idx) & (size > 2))
 
 
-def by_treatment(rows: DataFrame) -> DataFrame:
+def by_treatment(rows: DataFrame, carried=("text", "intervention_aspect", "generation_index")) -> DataFrame:
     """One row per row and treatment: its prediction as ``t``, the confounders' as ``c1`` .. ``c3`` in the concepts' order."""
     views = F.array(*[F.struct(F.lit(t).alias("treatment"), F.col(f"{t}_predictions").alias("t"),
                                *[F.col(f"{c}_predictions").alias(k) for k, c in zip(CONF, confounders(t))]) for t in CONCEPTS])
-    return rows.select("split", "rid", "original_id", "text", "intervention_aspect", "generation_index", F.explode(views).alias("v")).select(
-        "v.*", "split", "rid", "original_id", "text", "intervention_aspect", "generation_index")
+    return rows.select("split", "rid", "original_id", *carried, F.explode(views).alias("v")).select("v.*", "split", "rid", "original_id", *carried)
 
 
 def _sides(members: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +157,8 @@ def common_order(rows: DataFrame, seed: int) -> DataFrame:
     Rows are cut into slices by the first digits of the original's hash; a slice's rows are numbered by one task, and
     slices, a few hundred a group of a fixed label domain, by their counts.
     """
-    d = by_treatment(rows).select("treatment", "split", "rid", "original_id", *CONF, md5_order(seed, "original_id").alias("oh"), md5_order(seed, "rid").alias("rh"))
+    hashed = rows.withColumns({"oh": md5_order(seed, "original_id"), "rh": md5_order(seed, "rid")})  # once for the four treatments
+    d = by_treatment(hashed, ("oh", "rh")).select("treatment", "split", "rid", "original_id", *CONF, "oh", "rh")
     d = d.withColumn("slice", F.substr("oh", F.lit(1), F.lit(ORDER_DIGITS)))
     slices = d.groupBy("treatment", "split", *CONF, "slice").agg(F.count(F.lit(1)).alias("held"))
     ahead = Window.partitionBy("treatment", "split").orderBy(*[F.col(c).asc_nulls_first() for c in CONF], "slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -212,7 +212,7 @@ def member_cosines(samples: DataFrame, full_set: DataFrame, embeddings: DataFram
     v = v.select("rid", F.col(VECTOR).alias("v"), l2_norm(VECTOR).alias("n"))
     qv = v.select(F.col("rid").alias("q_rid"), F.col("v").alias("qv"), F.col("n").alias("qn"))
     mv = v.select(F.col("rid").alias("m_rid"), F.col("v").alias("mv"), F.col("n").alias("mn"))
-    s = samples.join(qv, "q_rid").join(mv, "m_rid")
+    s = samples.join(mv, "m_rid").join(qv, "q_rid")  # ends by query, as the terms are summed
     return s.withColumn("cos", cosine("qv", "mv", "qn", "mn")).drop("qv", "mv", "qn", "mn")
 
 
@@ -237,24 +237,32 @@ V0_FIXED = {name: 1 for name, _, _ in V0_TERMS}
 V1_FIXED = {role: 1 for role in ROLES}
 
 
-def v1_column(coef: dict | None = None) -> Column:
-    """A12 over pivoted role terms: -ln(P / (P + N)), P = t_cf + approx, N = negative + c_cf; absent role or coef 0 -> 0 (Q23)."""
+def v1_column(coef: dict | None = None, of: str = "{}") -> Column:
+    """A12 over pivoted role terms: -ln(P / (P + N)), P = t_cf + approx, N = negative + c_cf; absent role or coef 0 -> 0 (Q23).
+    ``of``: name of a role's column."""
     coef = coef or V1_FIXED
 
     def term(r):
-        return F.lit(0.0) if coef[r] == 0 else F.coalesce(F.lit(float(coef[r])) * F.col(r), F.lit(0.0))
+        return F.lit(0.0) if coef[r] == 0 else F.coalesce(F.lit(float(coef[r])) * F.col(of.format(r)), F.lit(0.0))
 
     pos = term(T_CF) + term(APPROX)
     return -F.log(pos / (pos + term(NEGATIVE) + term(C_CF)))
 
 
-def v0_column(coef: dict | None = None) -> Column:
+def v0_column(coef: dict | None = None, of: str = "{}") -> Column:
     """A13 over pivoted role terms: sum of six weighted -ln(a / (a + b)); an empty role makes the loss null (Q23)."""
     coef = coef or V0_FIXED
-    return reduce(lambda x, y: x + y, [F.lit(float(coef[name])) * -F.log(F.col(a) / (F.col(a) + F.col(b)))
+    col = {r: F.col(of.format(r)) for r in ROLES}
+    return reduce(lambda x, y: x + y, [F.lit(float(coef[name])) * -F.log(col[a] / (col[a] + col[b]))
                                        for name, a, b in V0_TERMS])
 
 
+def _terms_at(cos: DataFrame, temperatures: list[float]) -> DataFrame:
+    """Per query the mean of exp(cos / T) of each role at the i-th temperature as {role}_{i}, from one pass over the cosines."""
+    terms = cos.groupBy(*QUERY, "role").agg(*[F.avg(exp_logit("cos", F.lit(float(t)))).alias(f"term_{i}") for i, t in enumerate(temperatures)])
+    return terms.groupBy(*QUERY).agg(*[F.max(F.when(F.col("role") == r, F.col(f"term_{i}"))).alias(f"{r}_{i}") for r in ROLES for i in range(len(temperatures))])
+
+
 def loss_v1(terms: DataFrame, coef: dict | None = None) -> DataFrame:
     return _pivot_terms(terms, "term").select(*QUERY, v1_column(coef).alias("loss"))
 
@@ -278,12 +286,11 @@ def loss_legacy(cos: DataFrame, temperature: float = 0.1, coef: dict | None = No
 
 def loss_grid(cos: DataFrame, temperatures: list[float], settings: list[tuple[int, str, dict]]) -> DataFrame:
     """Mean loss of each (version, coefficient set) at each temperature, from one pass over the member cosines."""
-    hot = cos.withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures])))
-    terms = hot.groupBy("temperature", *QUERY, "role").agg(F.avg(exp_logit("cos", F.col("temperature"))).alias("term"))
-    wide = _pivot_terms(terms, "term", ("temperature", *QUERY))
-    losses = F.explode(F.array(*[F.struct(F.lit(version).alias("loss_version"), F.lit(name).alias("coefficients"),
-                                          (v1_column if version else v0_column)(coef).alias("loss")) for version, name, coef in settings]))
-    rows = wide.select("treatment", "split", "temperature", losses.alias("l")).select("treatment", "split", "temperature", "l.*")
+    wide = _terms_at(cos, temperatures)
+    losses = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("temperature"), F.lit(version).alias("loss_version"), F.lit(name).alias("coefficients"),
+                                          (v1_column if version else v0_column)(coef, f"{{}}_{i}").alias("loss"))
+                                 for version, name, coef in settings for i, t in enumerate(temperatures)]))
+    rows = wide.select("treatment", "split", losses.alias("l")).select("treatment", "split", "l.*")
     return rows.groupBy("treatment", "split", "loss_version", "coefficients", "temperature").agg(
         F.avg("loss").alias("mean_loss"), F.count("loss").cast("bigint").alias("n_queries"))
 
@@ -296,9 +303,8 @@ def role_similarity(terms: DataFrame) -> DataFrame:
 def evaluation(cos: DataFrame, version: int, coef: dict, temperature: float) -> DataFrame:
     """The mean loss with the run's coefficients and temperature and with all coefficients and the temperature 1."""
     column = v1_column if version else v0_column
-    own = _pivot_terms(role_terms(cos, temperature), "term").select(*QUERY, column(coef).alias("loss"))
-    fixed = _pivot_terms(role_terms(cos, 1.0), "term").select(*QUERY, column().alias("loss_fixed"))
-    return own.join(fixed, QUERY).groupBy("treatment", "split").agg(
+    both = _terms_at(cos, [temperature, 1.0]).select("treatment", "split", column(coef, "{}_0").alias("loss"), column(None, "{}_1").alias("loss_fixed"))
+    return both.groupBy("treatment", "split").agg(
         F.avg("loss").alias("loss"), F.avg("loss_fixed").alias("loss_fixed"), F.count(F.lit(1)).cast("bigint").alias("n_queries"))
 
 

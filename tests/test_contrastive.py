@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairlens.constants import CONCEPTS
 from pairlens.functions.seeded import distinct_draws
 from pairlens.operators import contrastive as C
+from pairlens.sources import fixtures
 from pairlens.sources.fixtures import Fixtures
 from tests.conftest import SF_SMALL
 
@@ -155,3 +156,33 @@ def test_losses_on_hand_made_cosines(spark):
     ev = C.evaluation(df, 1, {**C.V1_FIXED, "approx": 0}, 1.0).first()
     no_approx = -math.log(mean["t_cf"] / (mean["t_cf"] + mean["negative"] + mean["c_cf"]))
     assert abs(ev.loss_fixed - want) < 1e-9 and abs(ev.loss - no_approx) < 1e-9
+
+
+def test_mining_set_shuffles_no_text(spark, monkeypatch):
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return df
+
+    monkeypatch.setattr(fixtures, "cut_lineage", cut)
+    fx = Fixtures(spark, SF_SMALL)
+    fx.generations
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    broadcast = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        fx.mining_set
+    finally:
+        spark.conf.set(key, broadcast)
+    below = [lines[i + 1] for lines in plans for i, x in enumerate(lines) if "Exchange hashpartitioning(g_id" in x]
+    assert below and any("text_hash" in x for x in below) and not any("generation#" in x or " text#" in x for x in below)
+
+
+def test_temperatures_share_a_pass(spark):
+    df = spark.createDataFrame([("food", "a", 1, "t_cf", 2, 0.5)], "treatment string, split string, q_rid long, role string, m_rid long, cos double")
+    for out in (C.evaluation(df, 0, C.V0_SWEEP, 0.1), C.loss_grid(df, [1.0, 0.1], [(1, "x", C.V1_SWEEP)])):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+        lines = plan.splitlines()
+        assert not any("Generate" in x for x in lines[max(i for i, x in enumerate(lines) if "Aggregate" in x):])
