@@ -213,7 +213,8 @@ def member_cosines(samples: DataFrame, full_set: DataFrame, embeddings: DataFram
     qv = v.select(F.col("rid").alias("q_rid"), F.col("v").alias("qv"), F.col("n").alias("qn"))
     mv = v.select(F.col("rid").alias("m_rid"), F.col("v").alias("mv"), F.col("n").alias("mn"))
     s = samples.join(mv, "m_rid").join(qv, "q_rid")  # ends by query, as the terms are summed
-    return s.withColumn("cos", cosine("qv", "mv", "qn", "mn")).drop("qv", "mv", "qn", "mn")
+    # through a generator, so that it is not computed again for each use
+    return s.withColumn("cos", F.explode(F.array(cosine("qv", "mv", "qn", "mn")))).drop("qv", "mv", "qn", "mn")
 
 
 def role_terms(cos: DataFrame, temperature: float | Column = 1.0, mean_loss: bool = True) -> DataFrame:

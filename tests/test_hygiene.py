@@ -73,3 +73,10 @@ def test_dry_clean_idempotent(spark):
 def test_faults_lower_a_text_once(spark):
     for faults in (H.ok_fault_words(), H.ok_fault_endings()):
         assert str(faults).count("lower(") == 1
+
+
+def test_faults_at_once_as_one_by_one(spark):
+    texts = ["a preview", "fine food", None, "great pizza", "good, however,", "the ", "the\n", "Mention", "", "CHANGE but", "İ the"]
+    df = spark.createDataFrame([(i, "t", x, False, "a", "b") for i, x in enumerate(texts)], COLS)
+    assert _ids(H.drop_faults(df)) == _ids(H.drop_fault_endings(H.drop_fault_words(df))) == [1, 2, 5, 6, 8]
+    assert H.dry_clean(df)._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
