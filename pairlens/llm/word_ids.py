@@ -102,9 +102,12 @@ def encode_atoms(tokenizer, atoms: list[str]) -> dict[str, bytes]:
     opens = {s[0] for s in special}
     marker = None if tokenizer.encode_special_tokens else next(
         (s for s in special if not opens & set(s[1:]) and not any(t != s and t.startswith(s) for t in special)), None)
-    out, shared, rest = {}, [], []
-    for a in atoms:  # an atom that holds no first character of a special token takes no part in one
-        (rest if marker is None or opens & set(a) else shared).append(a)
+    out, shared, rest = {}, [], atoms
+    if marker is not None:  # an atom that holds no first character of a special token takes no part in one
+        holds = set()
+        for c in opens:
+            holds.update([a for a in atoms if c in a])
+        shared, rest = [a for a in atoms if a not in holds] if holds else atoms, [a for a in atoms if a in holds] if holds else []
     if shared:
         own = tokenizer.token_to_id(marker)
         groups = [shared[i: i + ATOMS_PER_CALL] for i in range(0, len(shared), ATOMS_PER_CALL)]
@@ -131,9 +134,10 @@ class WordStore:
         """What is known of each, None where unknown."""
         out = list(map(self.young.get, words))
         if self.old:
-            for i, known in enumerate(out):
-                if known is None and (known := self.old.get(words[i])) is not None:
-                    self.young[words[i]] = out[i] = known
+            young, old = self.young, self.old.get
+            for i in [i for i, known in enumerate(out) if known is None]:
+                if (known := old(words[i])) is not None:
+                    young[words[i]] = out[i] = known
         return out
 
     def add(self, words: dict) -> None:

@@ -151,3 +151,17 @@ def test_cut_lengths():
     for n in range(1, 5000, 7):
         parts = pack.cut(n, 1024)
         assert sum(parts) == n and max(parts) <= 1024 and sum(p & (p - 1) != 0 for p in parts) <= 1
+
+
+def test_atoms_with_a_special_tokens_first_character():
+    """Each atom's ids are the library's, whether or not it could begin a special token."""
+    import public_tokenizers
+
+    from pairlens.llm import word_ids
+
+    known = word_ids.load_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    first = sorted({s[0] for s in word_ids.special_strings(known)})
+    atoms = ["plain", " text", *first, *(f"x{c}y" for c in first), *(f"{c}|" for c in first), "é"]
+    for some in (atoms, ["plain", " text"], first, []):
+        got = word_ids.encode_atoms(known, some)
+        assert {a: np.frombuffer(v, dtype="<u4").tolist() for a, v in got.items()} == {a: known.encode(a, add_special_tokens=False).ids for a in some}
