@@ -1,6 +1,10 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.operators import topk as T
@@ -99,3 +103,58 @@ def test_routes_are_cut_into_small_batches(monkeypatch):
 def test_product_is_a_few_queries_wide(spark):
     """A matrix of cosines held at once is at most 64 x 65,536 numbers of four bytes."""
     assert T.MATMUL_ROWS * T.TILE_ROWS * 4 <= 1 << 24
+
+
+def _side(key, ids, vectors):
+    """Rows of one block as a cogroup's call gets them."""
+    return pa.table({"blk": ["x"] * len(ids), key: ids, "vec": pa.array(list(vectors), pa.list_(pa.float32()))}).to_pandas()
+
+
+def test_parts_of_a_cell_give_the_best_of_all(monkeypatch):
+    monkeypatch.setattr(T, "PART_ROWS", 16)
+    monkeypatch.setattr(T, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(T, "MATMUL_ROWS", 4)
+    monkeypatch.setattr(T, "PAIR_ROWS", 8)
+    rng = np.random.default_rng(8)
+    c = rng.normal(size=(130, 6)).astype(np.float32)
+    c[40:110] = c[3]  # ties over several parts
+    cid = rng.permutation(130)
+    q = np.concatenate([rng.normal(size=(45, 6)), c[3:4]]).astype(np.float32)
+    qd, cd = _side("qid", np.arange(46), q), _side("cid", cid, c)
+    want = _brute([("x", i, v.astype(float)) for i, v in enumerate(q)], [("x", int(i), v.astype(float)) for i, v in zip(cid, c)], 7)
+    for k in (7, 40):
+        got = {}
+        out = T._tile_topk_fn(["blk"], "qid", "cid", "vec", k)(qd, cd)
+        for r in sorted(out.to_dict("records"), key=lambda r: (-round(r["sim"], 9), r["cid"])):
+            got.setdefault((r["blk"], r["qid"]), []).append(r["cid"])
+        assert {key: ids[:7] for key, ids in got.items()} == want
+        assert all(len(ids) == k for ids in got.values())
+
+
+def test_a_call_copies_no_side():
+    """Beside the rows given, a call holds no copy of a side: matrices, unit vectors and cosines are of a few rows."""
+    rng = np.random.default_rng(9)
+    qd = _side("qid", np.arange(2000), rng.normal(size=(2000, 64)))
+    cd = _side("cid", np.arange(60_000), rng.normal(size=(60_000, 64)))
+    run = T._tile_topk_fn(["blk"], "qid", "cid", "vec", 3)
+    tracemalloc.start()
+    try:
+        assert len(run(qd, cd)) == 6000
+        assert tracemalloc.get_traced_memory()[1] < 60_000 * 64 * 4
+    finally:
+        tracemalloc.stop()
+
+
+def test_ragged_vectors_are_an_error():
+    with pytest.raises(ValueError, match="3 to 5"):
+        T._Rows(pd.Series([np.ones(3), np.ones(5)]))
+
+
+def test_tables_of_blocks_and_tiles_start_no_python_workers(spark, monkeypatch):
+    """A list of rows given to ``createDataFrame`` is read by Python workers of a kind of its own."""
+    given, real = [], SparkSession.createDataFrame
+    qd = spark.createDataFrame([("y", 1, [1.0, 0.0])], "blk string, qid long, vec array<double>")
+    cd = spark.createDataFrame([("y", i, [1.0, float(i)]) for i in range(9)], "blk string, cid long, vec array<double>")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **o: (given.append(type(data)), real(self, data, *a, **o))[1])
+    assert [r.cid for r in cosine_topk(qd, cd, 2, ["blk"], tile=4).orderBy("rank").collect()] == [0, 1]
+    assert given and set(given) == {pa.Table}
