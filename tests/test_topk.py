@@ -158,3 +158,14 @@ def test_tables_of_blocks_and_tiles_start_no_python_workers(spark, monkeypatch):
     monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **o: (given.append(type(data)), real(self, data, *a, **o))[1])
     assert [r.cid for r in cosine_topk(qd, cd, 2, ["blk"], tile=4).orderBy("rank").collect()] == [0, 1]
     assert given and set(given) == {pa.Table}
+
+
+def test_blocks_without_queries_are_not_written(spark, monkeypatch):
+    written, real = [], T.cut_lineage
+    monkeypatch.setattr(T, "cut_lineage", lambda df: (written.append(real(df)), written[-1])[1])
+    qd = spark.createDataFrame([("y", 1, [1.0, 0.0])], "blk string, qid long, vec array<double>")
+    cd = spark.createDataFrame([(b, i, [1.0, float(i)]) for i in range(9) for b in "xyz"], "blk string, cid long, vec array<double>")
+    visits = {}
+    assert [r.cid for r in cosine_topk(qd, cd, 2, ["blk"], tile=4, visits=visits).orderBy("rank").collect()] == [0, 1]
+    assert [df.count() for df in written if "cid" in df.columns and "vec" in df.columns] == [9]
+    assert visits["all"] <= 3
